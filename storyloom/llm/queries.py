@@ -4,21 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.functions.session import read_table
+from storyloom.llm import oracles
+from storyloom.llm.bpe import coding_digests
+from storyloom.llm.exact_dedup import exact_duplicates
+from storyloom.llm.mixing import mix
 from storyloom.llm.simhash import simhash_components
 
+#: Target weights of the mixing query, and the domain of a source: its number modulo 3.
+MIX_WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}, "source": {"src0": 2}}
+MIX_PERMILLE, MIX_EPOCHS, MIX_SEED = 900, 2, 42
+
+
+def source_domain():
+    return F.concat(F.lit("d"), F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3").cast("string"))
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED, source_domain())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_exact_dedup": op3_exact_dedup,
+        "op6_bpe": op6_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_exact_dedup": oracles.EXACT_DEDUP,
+        "op8_mixing": oracles.mixing(MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED),
+    }
