@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 # Fixed value: the public byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,27 +203,32 @@ def codec(path: str) -> Bpe:
     return Bpe(path)
 
 
-def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``(doc_id, ids array<int>, decoded string)``: each row's whole text encoded, and the ids decoded.
+def coded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
+    """``keep`` and ``(ids array<int>, n_tokens, decoded string)``: each row's whole text encoded, and the ids decoded.
 
     ``vocabulary`` is the path of a byte-level vocabulary file that all machines have. A null text
-    counts as empty: no ids, empty decoded text. Repeated rows are coded each; other columns are
-    ignored; an empty table gives an empty result. Memory is a few texts at a time.
+    counts as empty: no ids, empty decoded text. Repeated rows are coded each; columns that aren't kept are
+    ignored; an empty table gives an empty result. Memory is a few texts at a time. Without
+    ``decode`` there is no column ``decoded``.
     """
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    made = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded", StringType())]
+    schema = StructType([*rows.schema.fields[:-1], *(made if decode else made[:-1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
-                ids = bpe.encode_batch(part.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+                ids = bpe.encode_batch(part.column(part.num_columns - 1).to_pylist())
+                sizes = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+                columns = [*part.columns[:-1], lists, pa.array(sizes)]
+                if decode:
+                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def coding_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

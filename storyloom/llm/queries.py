@@ -13,6 +13,7 @@ from storyloom.llm import oracles
 from storyloom.llm.bpe import coding_digests
 from storyloom.llm.exact_dedup import exact_duplicates
 from storyloom.llm.mixing import mix
+from storyloom.llm.quality import held_out, scored, trained
 from storyloom.llm.simhash import simhash_components
 
 #: Target weights of the mixing query, and the domain of a source: its number modulo 3.
@@ -32,6 +33,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+#: A document is of quality if its probability is this or more.
+QUALITY_LINE = 0.3
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rated = scored(docs.select("doc_id", "text"), trained(docs, read_table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= QUALITY_LINE).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -47,6 +59,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op6_bpe": op6_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_mixing": op8_mixing,
