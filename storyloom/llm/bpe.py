@@ -27,9 +27,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 # Fixed value: the public byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Texts whose words are guessed and verified together.
 TOGETHER = 128
+#: Up to so many bytes, a word is merged without a heap.
+SHORT = 48
 NEVER = np.int32(2**31 - 1)
 
 
@@ -72,7 +74,11 @@ class Bpe:
             self.rank[t] = r
         self.right, self.left = self._edges(made_by, 2), self._edges(made_by, 1)
         self.guessable = self._guessable(vocab, made_by)
-        self.longest = max(map(len, self.guessable))
+        #: The longest token that starts with these three bytes.
+        self.reach: dict[bytes, int] = {}
+        for k in self.guessable:
+            if len(k) > 2:
+                self.reach[k[:3]] = max(len(k), self.reach.get(k[:3], 0))
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
@@ -126,10 +132,10 @@ class Bpe:
 
     def guess(self, word: bytes) -> list[int]:
         """Longest token first, from the left."""
-        out, i, n, tokens, longest = [], 0, len(word), self.guessable, self.longest
+        out, i, n, token, reach = [], 0, len(word), self.guessable.get, self.reach.get
         while i < n:
-            j = min(n, i + longest)
-            while (t := tokens.get(word[i:j])) is None:
+            j = min(n, i + reach(word[i : i + 3], 2))
+            while (t := token(word[i:j])) is None:
                 j -= 1
             out.append(t)
             i = j
@@ -139,6 +145,8 @@ class Bpe:
         """Merges in order of rank, leftmost first, with a heap."""
         ids = [self.byte_id[b] for b in word]
         n = len(ids)
+        if n <= SHORT:
+            return self._exact_short(ids)
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         merge = self.merge
         heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merge.get((ids[k], ids[k + 1])))]
@@ -157,6 +165,24 @@ class Bpe:
                 heapq.heappush(heap, (m[0], before[k], ids[before[k]], to, m[1]))
         return [t for t, on in zip(ids, live) if on]
 
+    def _exact_short(self, ids: list[int]) -> list[int]:
+        """The same without a heap: ranks of all neighbours in a list, of which the least is taken."""
+        merge = self.merge
+        none = (int(NEVER), 0)
+        pairs = [merge.get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            k = pairs.index(best)
+            ids[k : k + 2] = (best[1],)
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = merge.get((ids[k], ids[k + 1]), none)
+            if k:
+                pairs[k - 1] = merge.get((ids[k - 1], ids[k]), none)
+        return ids
+
     def learn(self, words: set[str]) -> None:
         """Encode words not known yet: guess, verify all pairs together, merge exactly those that fail."""
         new = [w for w in words if w not in self.known]
