@@ -47,3 +47,18 @@ summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER
 SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget,
   CAST(epochs + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM summed
 """
+
+
+CHAT_TOOLS = """
+WITH asks AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'assistant'),
+answers AS (SELECT conv_id, turn - 1 AS turn, turn AS answer_turn, text FROM conversations WHERE role = 'assistant'),
+met AS (
+  SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.turn, a.turn) AS asked, q.turn IS NOT NULL AS call, a.turn IS NOT NULL AS answered, a.answer_turn,
+    q.text AS question, a.text AS content FROM asks q FULL JOIN answers a ON q.conv_id = a.conv_id AND q.turn = a.turn),
+judged AS (SELECT *, CASE WHEN NOT call THEN 0 ELSE CAST(length(question) = 0 OR length(question) > 300 AS INTEGER) END AS n_errors FROM met)
+SELECT conv_id, 't' || asked AS call_id, CASE WHEN call THEN asked ELSE answer_turn END AS turn, CASE WHEN call THEN asked ELSE answer_turn END AS order_key, 0 AS order_level,
+  CASE WHEN NOT call THEN 'orphan' WHEN n_errors > 0 THEN 'invalid' WHEN answered THEN 'ok' ELSE 'open' END AS status, n_errors,
+  sha256('{"call":' || CASE WHEN call THEN '{"arguments":{"question":' || to_json(question) || ',"turn":' || asked || '},"id":"t' || asked || '","name":"answer"}' ELSE 'null' END
+    || ',"result":' || CASE WHEN answered THEN '{"content":' || to_json(content) || ',"id":"t' || asked || '"}' ELSE 'null' END || '}') AS message_sha256
+FROM judged
+"""

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from storyloom.functions.session import read_table
 from storyloom.llm import oracles
 from storyloom.llm.bpe import coding_digests
+from storyloom.llm.chat_tools import linked_calls
 from storyloom.llm.exact_dedup import exact_duplicates
+from storyloom.llm.html_text import main_text
+from storyloom.llm.language_id import held_out as language_held_out
+from storyloom.llm.language_id import identified, learned
+from storyloom.llm.media import text_media
 from storyloom.llm.mixing import mix
 from storyloom.llm.quality import held_out, scored, trained
 from storyloom.llm.simhash import simhash_components
+from storyloom.llm.url_rules import judged, mined_rules, url_parts
 
 #: Target weights of the mixing query, and the domain of a source: its number modulo 3.
 MIX_WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}, "source": {"src0": 2}}
@@ -29,6 +35,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = identified(docs, learned(docs))
+    return found.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +60,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= QUALITY_LINE).cast("int").alias("predicted"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -56,18 +76,66 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED, source_domain())
 
 
+#: The one tool of the chat query: a turn that asks, answered by the next turn.
+ANSWER = {
+    "type": "object", "required": ["question", "turn"], "additionalProperties": False,
+    "properties": {"question": {"type": "string", "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "minimum": 0}},
+}
+
+
+def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn that isn't the assistant's is a call of ``answer``, which needs the turn before the last one if that is a call too;
+    every assistant's turn is the result of the turn before it."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    named = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
+    asks = turns.where("role <> 'assistant'")
+    before = asks.select(F.col("conv_id").alias("c"), (F.col("turn") + 2).alias("t")).distinct()
+    arguments = F.to_json(F.struct("turn", F.col("text").alias("question")))
+    calls = asks.join(before, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
+        "conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("answer").alias("name"), arguments.alias("arguments"),
+        F.when(F.col("t").isNotNull(), F.array(named(F.col("turn") - 2))).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    found = linked_calls(calls, results, {"answer": ANSWER})
+    return found.select(
+        "conv_id", "call_id", "turn", F.col("key").alias("order_key"), F.col("level").cast("int").alias("order_level"), "status",
+        F.size("errors").cast("int").alias("n_errors"), F.sha2("message", 256).alias("message_sha256"),
+    )
+
+
+#: Rules that come before any mined one: verdict, host, start of the path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules are mined from pages whose document, named by the path's number, is labelled: block where its quality is 0."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read_table(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_parts(F.col("url"))[1], "([0-9]{1,18})(?:[.][a-z]+)?/?$", 1).try_cast("long")
+    labelled = pages.withColumn("of", number).join(labels.where("quality is not null"), F.col("of") == F.col("doc_id")).select(
+        "url", F.when(F.col("quality") == 0, "block").otherwise("allow").alias("verdict")
+    )
+    return judged(pages, URL_RULES, mined_rules(labelled))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_html_text": op2_html_text,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
+        "op5_media_columns": op5_media_columns,
         "op6_bpe": op6_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_mixing": op8_mixing,
+        "op9_chat_tools": op9_chat_tools,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": oracles.EXACT_DEDUP,
+        "op9_chat_tools": oracles.CHAT_TOOLS,
         "op8_mixing": oracles.mixing(MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED),
     }
