@@ -168,13 +168,22 @@ def learned(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYT
     """Profiles learned from rows with a language and a text that aren't held out.
 
     The sample is bounded: of each language the ``rows`` rows of least hashed doc_id among those of at most
-    ``most_bytes`` bytes. The rank limit is applied before the shuffle, so a frequent language moves no more than a rare one.
+    ``most_bytes`` bytes. Rows are counted first and only a stretch of the hash range about the limit is ranked, so a frequent language moves
+    no more than a rare one.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    small = known.where(F.octet_length("text") <= most_bytes).select("doc_id", "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = small.withColumn("place", place).where(F.col("place") <= rows).select(F.col("doc_id").alias("of"), F.col("lang").alias("in")).distinct()
-    sample = docs.where(F.octet_length("text") <= most_bytes).join(picked, (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("in")))
+    small = known.where(F.octet_length("text") <= most_bytes).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = {r["lang"]: r["n"] for r in small.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}  # one row for each language
+    if not counts:
+        return profiles([])
+    # a share of the hash range that holds twice the rows wanted, and 100 more; of these the least are taken
+    edge = lambda n: -(1 << 63) + min((1 << 64) - 1, (2 * rows + 100) * (1 << 64) // n)
+    edges = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(edge(n)))))
+    near = small.where(F.col("h") <= edges[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = near.withColumn("place", place).where(F.col("place") <= rows).select(F.col("doc_id").alias("of"), F.col("lang").alias("in")).distinct()
+    # at most ``rows`` rows for each language
+    sample = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(picked), (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("in")))
     return profiles(sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").toLocalIterator()))
 
 
