@@ -157,11 +157,11 @@ def resolved(items: DataFrame, key: str, payloads: DataFrame) -> DataFrame:
     """``items(key, items)`` exploded, with each reference's columns of ``payloads(digest, ...)``, one row for each item.
 
     ``payloads`` has a digest once. A reference whose digest isn't there, and a text, have nulls. A digest that many
-    items share is a hot key of the join, which AQE splits; nothing is grouped again.
+    items share is a hot key of the join, which AQE splits, as the key is no column that ``payloads`` can be grouped by already; nothing is grouped again.
     """
     rows = items.select(key, F.explode("items").alias("i")).select(key, "i.*")
-    stored = payloads.withColumnRenamed("digest", "_digest")
-    return rows.join(stored, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    stored = payloads.withColumnRenamed("digest", "_digest").withColumn("_key", F.xxhash64("_digest"))
+    return rows.join(stored, (F.xxhash64("digest") == F.col("_key")) & (F.col("digest") == F.col("_digest")), "left").drop("_digest", "_key")
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     folder = f"{checkpoint_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     stored_texts(docs).write.parquet(folder)
     store = docs.sparkSession.read.parquet(folder)
-    payloads = read_back(store).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")))
+    payloads = read_back(store).distinct()  # equal digests have equal columns
     caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(", "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
     pages = store.select(F.struct("doc_id", "n_bytes").alias("key"), figure_html(F.col("digest"), caption).alias("html"))
     found = resolved(sequences(pages, "key"), "key", payloads).where("kind = 'media'")
