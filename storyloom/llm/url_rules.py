@@ -114,7 +114,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame
     host, path = url_parts(F.col("url"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    found = matched(rows.where("fits is null"), mined).where(F.col("mined") != otherwise).withColumnRenamed("url", "_url")
-    return rows.join(found, F.when(F.col("fits").isNull(), F.col("url")) == F.col("_url"), "left").select(
-        "page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "mined", F.lit(otherwise)).alias("verdict")
-    )
+    open_ = rows.where("fits is null and url is not null")
+    # only urls whose mined verdict differs come back; the join's key differs from the grouping's, so AQE can split a hot url
+    found = matched(open_, mined).where(F.col("mined") != otherwise).select(F.xxhash64("url").alias("_key"), F.col("url").alias("_url"), "mined")
+    met = open_.join(found, (F.xxhash64("url") == F.col("_key")) & (F.col("url") == F.col("_url")), "left").select("page_id", "host", "path", "fits", "mined")
+    rest = rows.where("fits is not null or url is null").select("page_id", "host", "path", "fits", F.lit(None).cast("string").alias("mined"))
+    return met.union(rest).select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "mined", F.lit(otherwise)).alias("verdict"))
