@@ -100,14 +100,18 @@ def lowered(c: Column) -> Column:
 def event_summaries(events: DataFrame) -> DataFrame:
     """The inspector's columns, from whichever of the alternative columns a file has; a gap that's no number is -1."""
     have = set(events.columns)
-    pick = lambda names, default: next((F.coalesce(F.col(n), F.lit(default)) if default is not None else F.col(n) for n in names if n in have), F.lit(default))
+
+    def pick(names: list[str], default=None, kind: str = "int") -> Column:
+        found = next((F.col(n) for n in names if n in have), F.lit(None).cast(kind if default is None else "string"))
+        return found if default is None else F.coalesce(found, F.lit(default))
+
     score = lambda name: F.col(f"scores.{name}") if "scores" in have else F.col(f"llm_curator.{name}") if "llm_curator" in have else F.lit(None).cast("double")
     return events.select(
         pick(["canonical_name", "entity", "entity_key"], "unknown").alias("name"), pick(["entity_type", "entity_category", "type"], "unknown").alias("category"),
-        F.coalesce(pick(["gap_jump", "gap_scenes_non_omitted", "gap_scenes"], None).cast("string").try_cast("int"), F.lit(-1)).alias("gap"), pick(["scene_a_idx_non_omitted", "scene_a", "scene_a_idx"], None).alias("scene_a"),
-        pick(["scene_b_idx_non_omitted", "scene_b", "scene_b_idx"], None).alias("scene_b"), pick(["page_a"], None).alias("page_a"), pick(["page_b"], None).alias("page_b"), pick(["heading_a"], "").alias("heading_a"),
-        pick(["heading_b"], "").alias("heading_b"), pick(["score"], None).alias("score"), score("narrative_action_centrality").alias("action"), score("visual_grounded_score").alias("visual"),
-        score("state_change_potential").alias("state"), score("confidence").alias("conf"), pick(["context_a"], None).cast("array<string>").alias("context_a"), pick(["context_b"], None).cast("array<string>").alias("context_b"),
+        F.coalesce(pick(["gap_jump", "gap_scenes_non_omitted", "gap_scenes"]).cast("string").try_cast("int"), F.lit(-1)).alias("gap"), pick(["scene_a_idx_non_omitted", "scene_a", "scene_a_idx"]).alias("scene_a"),
+        pick(["scene_b_idx_non_omitted", "scene_b", "scene_b_idx"]).alias("scene_b"), pick(["page_a"]).alias("page_a"), pick(["page_b"]).alias("page_b"), pick(["heading_a"], "").alias("heading_a"),
+        pick(["heading_b"], "").alias("heading_b"), pick(["score"], kind="double").alias("score"), score("narrative_action_centrality").alias("action"), score("visual_grounded_score").alias("visual"),
+        score("state_change_potential").alias("state"), score("confidence").alias("conf"), pick(["context_a"], kind="array<string>").alias("context_a"), pick(["context_b"], kind="array<string>").alias("context_b"),
     )
 
 
