@@ -99,7 +99,9 @@ class ByteConvNet:
         p = 1 / (1 + np.exp(-np.clip(both @ w["out"] + w["out_bias"], -40, 40)))
         d_out = ((p - y) / len(y)).astype(np.float32)
         d_both = d_out[:, None] * w["out"]
-        d_hidden = d_both[doc, HIDDEN:] / count[doc, None] + d_both[doc, :HIDDEN] * (hidden == top[doc])
+        tops = (hidden == top[doc]).astype(np.float32)
+        tops /= np.add.reduceat(tops, first)[doc]  # chunks that tie share the gradient
+        d_hidden = d_both[doc, HIDDEN:] / count[doc, None] + d_both[doc, :HIDDEN] * tops
         d_hidden *= hidden > 0
         d_pooled = (d_hidden @ w["hidden"][:FILTERS].T) * (pooled > 0)
         chosen = windows[np.arange(n)[:, None], best]
