@@ -121,23 +121,24 @@ MERGED = (
 
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     """Records of a scene in order: each joins the first group that shares an alias, which takes in the others that do."""
-    groups: list[_Record] = []
-    ids: list[str] = []
-    for r in rows.sort_values(["channel_no", "pos"], kind="stable").to_dict("records"):
-        met = [g for g in groups if not g.aliases.isdisjoint(r["aliases"])]
-        home = met[0] if met else _Record(r)
-        if not met:
-            groups.append(home)
+    groups: dict[int, _Record] = {}  # in order of their first record
+    by_alias: dict[str, int] = {}
+    for n, r in enumerate(rows.sort_values(["channel_no", "pos"], kind="stable").to_dict("records")):
+        met = sorted({by_alias[a] for a in r["aliases"] if a in by_alias})
+        at = met[0] if met else n
+        home = groups.setdefault(at, _Record(r)) if not met else groups[at]
         for other in met[1:]:
-            home.take(other)
-            groups.remove(other)
+            gone = groups.pop(other)
+            home.take(gone)
+            by_alias.update(dict.fromkeys(gone.aliases, at))
         home.add(r)
+        by_alias.update(dict.fromkeys(r["aliases"], at))
     out = [
         (
             rows["story_id"].iloc[0], rows["scene_idx"].iloc[0], g.order[0], g.order[1], g.row["object_id"], g.name, list(g.forms), sorted(g.channels), sorted(g.aliases), max(g.votes, key=g.votes.get), g.seen,
             round(g.strength, 4), round(g.confidence, 4), list(g.evidence), g.keep,
         )
-        for g in groups
+        for g in groups.values()
     ]
     return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in MERGED.split(", ")])
 
