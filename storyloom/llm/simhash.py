@@ -39,8 +39,8 @@ SAMPLES = 128
 BLOCK = 4096
 #: Buckets up to this size are compared pair by pair, many at once.
 SMALL = 32
-#: Estimated seconds for a probe row (made, shuffled, sorted) and for a compared pair.
-ROW_S, PAIR_S = 1.5e-6, 6e-9
+#: Estimated seconds for a probe row (made, shuffled, sorted), the same with a sketch, and for a compared pair.
+ROW_S, SKETCH_ROW_S, PAIR_S = 1.5e-6, 15e-6, 6e-9
 #: Hot buckets up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -177,7 +177,7 @@ def within(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]
     return np.minimum(np.cumsum(pmf), 1.0).tolist()
 
 
-def plan_partitions(n: int, both: np.ndarray, radius: int = 4) -> list[tuple[list[int], int]]:
+def plan_partitions(n: int, both: np.ndarray, radius: int = 4, row_s: float = ROW_S) -> list[tuple[list[int], int]]:
     """Partitions and thresholds of least estimated cost; partitions with threshold -1 are left out."""
     n = max(n, 1)
     p = np.diag(both) / n
@@ -193,7 +193,7 @@ def plan_partitions(n: int, both: np.ndarray, radius: int = 4) -> list[tuple[lis
             costs = [0.0]
             for t in range(radius + 1):
                 rows += math.comb(len(g), t)
-                costs.append(n * (rows * ROW_S + n * share[t] * PAIR_S))
+                costs.append(n * (rows * row_s + n * share[t] * PAIR_S))
             for used, (cost, chosen) in table.items():
                 for s in range(radius + 2 - used):
                     if (c := cost + costs[s]) < step.get(used + s, (math.inf,))[0]:
@@ -340,7 +340,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     known = classes.where("rep is not null")
     n, both = bit_statistics(known)
     agree = max(1, math.ceil(SAMPLES * (similarity - margin + (1 - similarity + margin) / 256)))
-    parts = connected_components(links(known, plan_partitions(n, both, radius), radius, block, agree))
+    parts = connected_components(links(known, plan_partitions(n, both, radius, SKETCH_ROW_S), radius, block, agree))
     named = checkpointed(
         classes.join(parts, F.col("rep") == F.col("node"), "left")
         .select(F.col("fp").alias("of"), F.col("sketch").alias("with"), F.coalesce("component", "rep").alias("component_id"))
