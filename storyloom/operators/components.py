@@ -21,8 +21,9 @@ def _state(e: DataFrame) -> tuple:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.xxhash64("u").alias("h"), F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    # on a hash of the node: both sides are dealt out anew, and AQE can split a star's hot centre
+    return both.where("v > u").join(least, (F.xxhash64("u") == F.col("h")) & (F.col("u") == F.col("k"))).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:

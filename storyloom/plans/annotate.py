@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.session import checkpointed
+
 MENTION_JSON = (
     "entities array<struct<canonical_name:string,surface_forms:array<string>,category:string,physical_visualizable:boolean,narrative_action_centrality:double,state_change_potential:double,"
     "visual_grounded_score:double,confidence:double,keep:boolean,evidence:array<string>>>"
@@ -46,7 +48,7 @@ def annotated(requests: DataFrame, cache: DataFrame, ask: Callable[[list[dict]],
                 part = rows.iloc[i : i + batch]
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "response": ask(part[parts].to_dict("records"))})
 
-    fresh = missing.mapInPandas(run, "key string, response string")
+    fresh = checkpointed(missing.mapInPandas(run, "key string, response string"))  # written, so that a model is asked once
     known = cache.select("key", "response").unionByName(fresh)
     return keyed.join(known, "key", "left").drop("key"), fresh
 
