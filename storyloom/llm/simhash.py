@@ -12,9 +12,8 @@
    links of a spanning forest leave a large bucket.
 5. Connected components over the links.
 
-``similar_components`` finds near duplicates by similarity of word shingles with the same search: its fingerprint is
-over the distinct words of a text, which differ little where few words do, and rows that meet are also verified
-by a sketch of their shingles (minwise samples), which travels with the fingerprint.
+``links`` can also ask for agreement of a sketch that travels with the fingerprint. Near duplicates by similarity of
+word shingles need no fingerprint: ``storyloom.llm.similarity`` finds them exactly.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
 from storyloom.llm.arrow import whole_groups, rows_of
+from storyloom.llm.similarity import pairs_in_groups, similar_components  # noqa: F401
 from storyloom.operators.components import connected_components
 
 BITS = 64
@@ -39,8 +39,8 @@ SAMPLES = 128
 BLOCK = 4096
 #: Buckets up to this size are compared pair by pair, many at once.
 SMALL = 32
-#: Estimated seconds for a probe row (made, shuffled, sorted), the same with a sketch, and for a compared pair.
-ROW_S, SKETCH_ROW_S, PAIR_S = 1.5e-6, 15e-6, 6e-9
+#: Estimated seconds for a probe row (made, shuffled, sorted), and for a compared pair.
+ROW_S, PAIR_S = 1.5e-6, 6e-9
 #: Hot buckets up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -247,15 +247,6 @@ def spanning_links(fp: np.ndarray, radius: int, sketch: np.ndarray | None = None
     return links
 
 
-def _pairs_in_groups(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j of many small groups of consecutive rows, without a loop over groups."""
-    row = np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    after = np.repeat(start + size, size) - row - 1
-    left = np.repeat(row, after)
-    right = left + 1 + (np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after))
-    return left, right
-
-
 def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4, block: int = BLOCK, agree: int = 0) -> DataFrame:
     """``(a, b)`` representatives of verified links; their components equal those of all links within the radius.
 
@@ -288,7 +279,7 @@ def links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4
             keep = (size > 1) & (size <= SMALL)
             starts, sizes = start[keep], size[keep]
             for i in range(0, len(starts), 8192):
-                x, y = _pairs_in_groups(starts[i : i + 8192], sizes[i : i + 8192])
+                x, y = pairs_in_groups(starts[i : i + 8192], sizes[i : i + 8192])
                 ok = np.flatnonzero((own[x] | own[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= radius))
                 x, y = x[ok], y[ok]
                 if agree:
@@ -326,23 +317,3 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: i
         classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     )
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 8, margin: float = 0.03, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, component_id)`` for every row: near duplicates by similarity of word shingles, A-Z lower-cased.
-
-    Two rows link if the fingerprints of their distinct words differ in at most ``radius`` bits and the similarity that their
-    sketches estimate is at least ``similarity`` less ``margin`` (the estimate's standard error is 0.035). At a radius of 8, 99.8 of 100 pairs of
-    similarity 0.8 or more met in our measurements. Nulls, empty tables and repeated rows as in ``simhash_components``.
-    """
-    signed = checkpointed(signatures(docs, shingle, seed))
-    classes = checkpointed(signed.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
-    known = classes.where("rep is not null")
-    n, both = bit_statistics(known)
-    agree = max(1, math.ceil(SAMPLES * (similarity - margin + (1 - similarity + margin) / 256)))
-    parts = connected_components(links(known, plan_partitions(n, both, radius, SKETCH_ROW_S), radius, block, agree))
-    named = checkpointed(
-        classes.join(parts, F.col("rep") == F.col("node"), "left")
-        .select(F.col("fp").alias("of"), F.col("sketch").alias("with"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    return signed.join(named, (F.col("fp") == F.col("of")) & (F.col("sketch") == F.col("with"))).select("doc_id", "component_id")

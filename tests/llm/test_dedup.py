@@ -207,3 +207,42 @@ def test_sketch_estimates_similarity(spark):
     x, y = (np.frombuffer(signature(" ".join(t), 5, f)[1], np.uint8) for t in (a, b))
     assert abs((x == y).mean() - 896 / 1096) < 0.12
     assert signature(None, 5, f) == (0, bytes(128)) and signatures(docs(spark, [])).count() == 0
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(t.lower().split()[k : k + width]) for k in range(max(1, len(t.split()) - width + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def brute(rows, least=0.8):
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if jaccard(a, b) >= least:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in rows}
+
+
+def test_cut_appended_and_inserted_blocks_meet(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    line = [r.choice(words) for _ in range(30)]
+    rows, met = [], 0
+    for i in range(48):
+        base = r.choices(words, k=r.choice([40, 120, 400])) + (line if i % 2 else [])
+        cut = max(1, round(len(base) * (1 - r.uniform(0.8, 0.95))))
+        new, at = r.choices(words, k=cut), r.randrange(len(base))
+        copy = [base[:-cut], base + new, base[:at] + new + base[at:]][i % 3]
+        rows += [(i, " ".join(base)), (100 + i, " ".join(copy))]
+        met += jaccard(rows[-1][1], rows[-2][1]) >= 0.8
+    want = brute(rows)
+    assert met > 30 and len(set(want.values())) < len(rows) - 30
+    for block, sample, small in ((1 << 20, 8_000, 64), (500, 10, 1)):  # whole components, and dealt as pairs of blocks; with and without counts
+        assert {x.doc_id: x.component_id for x in similar_components(docs(spark, rows), block=block, sample=sample, small=small).collect()} == want
