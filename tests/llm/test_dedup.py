@@ -246,3 +246,19 @@ def test_cut_appended_and_inserted_blocks_meet(spark):
     assert met > 30 and len(set(want.values())) < len(rows) - 30
     for block, sample, small in ((1 << 20, 8_000, 64), (500, 10, 1)):  # whole components, and dealt as pairs of blocks; with and without counts
         assert {x.doc_id: x.component_id for x in similar_components(docs(spark, rows), block=block, sample=sample, small=small).collect()} == want
+
+
+def test_the_threshold_is_exact(spark):
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(120):
+        base = r.sample(words, 104)  # 100 shingles, all different
+        at = round(100 * (1 - 2 * (s := 0.70 + 0.2 * i / 120) / (1 + s)))
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(base[:-at] + [f"n{i}x{k}" for k in range(at)]))]
+    base = r.sample(words, 94)  # 90 shingles; 80 of them in common with 90 others: 80 of 100
+    rows += [(500, " ".join(base)), (501, " ".join([*base[:84], *(f"e{k}" for k in range(10))]))]
+    assert jaccard(rows[-1][1], rows[-2][1]) == 0.8
+    got = {x.doc_id: x.component_id for x in similar_components(docs(spark, rows)).collect()}
+    assert got == brute(rows) and got[501] == 500
+    assert sum(got[1000 + i] == i for i in range(120)) in range(50, 70)
