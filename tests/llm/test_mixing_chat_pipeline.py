@@ -235,6 +235,15 @@ def test_stages_on_an_empty_table(spark, tables):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    t = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, t), (1, t + " more"), (2, t + " end"), (2, "a text of its own that no other row has"), (3, "alone"), (None, t), (None, t + " x")]
+    d = spark.createDataFrame([(i, x, "en", "src0", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, d, "").collect())
+    assert [x for x in got if x[0] == 2] == [(2, rows[3][1])] and len([x for x in got if x[0] == 1]) == 1
+    assert [x for x in got if x[0] in (0, 3)] == [(0, t), (0, t + " x"), (3, "alone")]
+
+
 def test_registry():
     import __spark_entry__ as E
 
