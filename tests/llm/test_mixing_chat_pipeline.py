@@ -244,6 +244,13 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert [x for x in got if x[0] in (0, 3)] == [(0, t), (0, t + " x"), (3, "alone")]
 
 
+def test_last_stage_decodes(spark):
+    texts = ["", "Plain  words\n", "né 𝄞 \x00 日本", "x" * 5000]
+    d = spark.createDataFrame([*((i, x, "en", "src0", 0) for i, x in enumerate(texts)), (9, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.tokenise(spark, d, "").collect()}
+    assert got == {i: hashlib.sha256((x or "").encode()).hexdigest() for i, x in [*enumerate(texts), (9, "")]}
+
+
 def test_registry():
     import __spark_entry__ as E
 
