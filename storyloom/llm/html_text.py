@@ -1,10 +1,11 @@
 """Main text of web pages by removal of each site's template.
 
-Pages are parsed to element trees, subtrees are hashed, and Spark counts for each host on how many
-different pages a subtree occurs (pages with equal html count as one, so copies of a page don't make
-its text a template). Subtrees that recur on many pages of their host are deleted, along with
-what HTML itself marks as no part of the text: scripts, menus, forms and the like. What is left of the
-article (of the whole body, where a page marks none) is the text.
+Pages are parsed to element trees, subtrees are hashed, and Spark counts for each host with how many
+different stories a subtree occurs; a page's story is its four longest blocks, so copies of a page don't make its
+text a template. What recurs is deleted first, by its share of the host's stories: short blocks that recur on few pages go, prose
+must recur on more, and what a page itself marks as its article on most. Recurrence has nothing to say about what occurs
+once: there HTML's own elements (menus, forms, scripts and the like) and whole class words decide. What is left of the article (of the
+whole body, where a page marks none) is the text.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
 
-#: A subtree is template if it's on so many different pages of its host, and on such a share of them: outside the
-#: marked content, and inside it, where texts quote and copy each other.
-LEAST_PAGES, SHARE_OUTSIDE, SHARE_INSIDE = 4, 0.10, 0.60
-#: Up to so many recurring subtrees are sent to all workers; more are joined to the pages' own subtrees.
+#: A subtree can be template if it's with so many different stories of its host. Levels 1 to 3 are shares of the host's stories:
+#: 1 is enough for what stands outside of a marked article, and for short blocks of blocks where a page marks none; 2 for prose, paragraphs, list
+#: items, cells and headings of such a page; 3 inside a marked article, where texts quote and copy each other.
+LEAST_PAGES, SHARES = 4, (0.01, 0.10, 0.60)
+#: A subtree of so many words is prose.
+PROSE = 40
+#: Up to so many recurring subtrees are sent to all workers (10 bytes each); more are joined to the pages' own subtrees.
 BROADCAST_ROWS = 400_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,15 +37,17 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li"
     " main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
+#: Blocks that hold a text of their own; other blocks hold blocks.
+TEXTUAL = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li option p pre summary td th tr".split())
 #: What never is text of the article.
 DROPPED = frozenset(
     "script style title textarea noscript iframe template xmp head nav footer aside form button select option input svg canvas object audio video dialog menu dir".split()
 )
-#: Words of class, id and role that mark what isn't the article's own text.
+#: Whole words of class, id and role that mark what isn't the article's own text; a part of a longer word marks nothing.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr"
-    " notice popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus reply replies related recommended footer masthead complementary search"
-    " contentinfo toolbar widget paywall alert".split()
+    " notice popup modal overlay newsletter subscribe signup share sharing social comment comments disqus reply replies related recommended footer masthead complementary search contentinfo"
+    " toolbar paywall".split()
 )
 #: An element that opens closes an open one of these kinds, unless one of the others stands between.
 CLOSES = {
@@ -55,7 +61,6 @@ TAG = re.compile(
     re.S,
 )
 MARK = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
 
 
 def host_of(url: str | None) -> str:
@@ -80,7 +85,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.mark.append(" ".join(f"{k}={v}" for k, v in marks))
-        self.marked.append(any(not MARKS.isdisjoint(WORD.findall(v.lower())) for _, v in marks))
+        self.marked.append(any(not MARKS.isdisjoint(v.lower().split()) for _, v in marks))
         return len(self.tag) - 1
 
     def _close(self, stack: list[int], kinds: tuple, walls) -> None:
@@ -169,30 +174,73 @@ class Page:
             inside[k] = inside[self.parent[k]] or (not self.marked[k] and (self.tag[k] == wanted or wanted == "main" and "role=main" in self.mark[k]))
         return inside
 
-    def text(self, template: set[int], strong: set[int], hashes: list[int] | None = None) -> str:
-        """The blocks that are left, white space within a block as one space, joined by two line feeds."""
-        inside = self.content()
-        somewhere = any(inside)
-        hashes = hashes if hashes is not None else self.hashes() if template else []
-        gone = [False] * len(self.tag)
+    def units(self, inside: list[bool]) -> list[int]:
+        """The elements that can be template: blocks, and what stands directly in a block of blocks; none that holds what the page marks as its content."""
+        holds = [False] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            if inside[k] or holds[k]:
+                holds[self.parent[k]] = True
+        out = []
         for k in range(1, len(self.tag)):
-            tag = self.tag[k]
-            gone[k] = (
-                gone[self.parent[k]] or tag in DROPPED or self.marked[k] and tag not in ("html", "body", "article", "main")
-                or tag == "header" and not inside[k]
-                or bool(template) and tag in BLOCK and tag not in ("html", "body", "article", "main") and hashes[k] in (strong if inside[k] or not somewhere else template)
-            )
-        blocks, now = [], []
+            tag, above = self.tag[k], self.tag[self.parent[k]]
+            if tag in ("html", "body", "head", "article", "main") or holds[k] and not inside[k]:
+                continue
+            if tag in BLOCK or above in BLOCK and above not in TEXTUAL:
+                out.append(k)
+        return out
+
+    def words(self) -> list[int]:
+        """The words in each element."""
+        out = [0] * len(self.tag)
         for node, text in self.events:
+            if text is not None:
+                out[node] += len(text.split())
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+    def levels(self, inside: list[bool]) -> list[int]:
+        """The level of recurrence at which each element is template."""
+        if any(inside):
+            return [3 if i else 1 for i in inside]
+        return [2 if t in TEXTUAL or n >= PROSE else 1 for t, n in zip(self.tag, self.words())]
+
+    def blocks(self, keep) -> list[str]:
+        """Texts of the elements that ``keep`` has, cut at the borders of blocks, white space as one space."""
+        found, now = [], []
+        for node, text in [*self.events, (0, None)]:
             if text is None:
                 if now and (block := " ".join("".join(now).split())):
-                    blocks.append(block)
+                    found.append(block)
                 now = []
-            elif not gone[node] and (inside[node] or not somewhere):
+            elif keep[node]:
                 now.append(unescape(text))
-        if now and (block := " ".join("".join(now).split())):
-            blocks.append(block)
-        return "\n\n".join(blocks)
+        return found
+
+    def story(self) -> int:
+        """A hash of the four longest blocks."""
+        longest = sorted(self.blocks([True] * len(self.tag)), key=lambda b: (-len(b), b))[:4]
+        return xxhash.xxh64_intdigest("\x1f".join(longest).encode("utf-8", "surrogatepass"), 2)
+
+    def text(self, found: np.ndarray | None = None) -> tuple[str, int]:
+        """The blocks that are left, joined by two line feeds, and how many subtrees went as template. ``found`` has each element's level of recurrence."""
+        inside = self.content()
+        somewhere = any(inside)
+        template = np.zeros(len(self.tag), bool)
+        if found is not None and found.any():
+            units = self.units(inside)
+            template[units] = found[units] >= np.array(self.levels(inside))[units]
+        gone, deleted = [False] * len(self.tag), 0
+        for k, by_count in enumerate(template.tolist()):
+            tag = self.tag[k]
+            if k and gone[self.parent[k]]:
+                gone[k] = True
+            elif by_count:
+                gone[k], deleted = True, deleted + 1
+            else:
+                gone[k] = tag in DROPPED or self.marked[k] and tag not in ("html", "body", "article", "main") or tag == "header" and not inside[k]
+        keep = [not g and (i or not somewhere) for g, i in zip(gone, inside)]
+        return "\n\n".join(self.blocks(keep)), deleted
 
 
 def _signed(x: int) -> int:
@@ -202,81 +250,96 @@ def _signed(x: int) -> int:
 def _host_key(url: str | None) -> int:
     """0 for a page without a host: it has no site, and so no template."""
     host = host_of(url)
-    return _signed(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 1)) if host else 0
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 1) if host else 0
+
+
+def _keys(host: int, hashes: list[int]) -> np.ndarray:
+    """Numbers of subtrees that differ from host to host."""
+    mixed = (np.array(hashes, np.uint64) ^ np.uint64(host)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    html = F.col("html").cast("string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64("url", html).alias("row"))
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``(page_id, host, page, subtree)``: hashes of each page's block elements; subtree 0 stands for the page itself."""
+    """``(page_id, row, host, story, key)``: the subtrees of each page that can be template, each once; key 0 stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "row", "host", "story", "key"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                ids, hosts, pages_, trees = [], [], [], []
-                part = batch.slice(i, 512)
-                for key, url, html in zip(*(c.to_pylist() for c in part.columns)):
+            for i in range(0, batch.num_rows, 256):
+                ids, rows, hosts, stories, keys = [], [], [], [], []
+                for page_id, url, html, row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
                     host = _host_key(url)
                     if not host:
                         continue
                     page = Page(html)
-                    own = {_signed(h) for h, t in zip(page.hashes(), page.tag) if t in BLOCK and t not in ("html", "body", "head")}
-                    trees.extend([0, *own])
-                    ids.extend([key] * (len(own) + 1))
-                    hosts.extend([host] * (len(own) + 1))
-                    pages_.extend([_signed(xxhash.xxh64_intdigest((html or "").encode("utf-8", "surrogatepass"), 2))] * (len(own) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hosts, pages_, trees)], ["page_id", "host", "page", "subtree"])
+                    units = page.units(page.content())
+                    own = np.unique(np.append(_keys(host, page.hashes())[units], 0))
+                    keys.append(own)
+                    for values, value in ((ids, page_id), (rows, row), (hosts, _signed(host)), (stories, _signed(page.story()))):
+                        values.extend([value] * len(own))
+                columns = [*(pa.array(x, pa.int64()) for x in (ids, rows, hosts, stories)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, host long, page long, subtree long")
+    return _rows(pages).mapInArrow(run, "page_id long, row long, host long, story long, key long")
 
 
 def recurring(found: DataFrame) -> DataFrame:
-    """``(host, subtree, strong)``: the subtrees that are template on their host; strong ones are so inside marked content too."""
-    counts = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").count().where(F.col("count") >= LEAST_PAGES)
+    """``(key, level)``: the subtrees that recur on their host, with the highest level of ``SHARES`` that they reach."""
+    counts = found.select("host", "key", "story").distinct().groupBy("host", "key").count().where(F.col("count") >= LEAST_PAGES)
     counts = checkpointed(counts)
-    pages = counts.where("subtree = 0").select(F.col("host").alias("of"), F.col("count").alias("pages"))
+    pages = counts.where("key = 0").select(F.col("host").alias("of"), F.col("count").alias("pages"))
     share = F.col("count") / F.col("pages")
-    return counts.where("subtree <> 0").join(pages, F.col("host") == F.col("of")).where(share >= SHARE_OUTSIDE).select("host", "subtree", (share >= SHARE_INSIDE).alias("strong"))
+    level = sum((F.when(share >= s, 1).otherwise(0) for s in SHARES), F.lit(0)).cast("int")
+    return counts.where("key <> 0").join(pages, F.col("host") == F.col("of")).select("key", level.alias("level")).where("level > 0")
 
 
-def main_text(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html, ...)``.
+def main_text(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS, counting: bool = True) -> DataFrame:
+    """``(page_id, url, text, n_chars, n_template)`` for every row of ``pages(page_id, url, html, ...)``.
 
-    A null or empty html, and a page without text, gives an empty text. A page whose url is null or has no host
+    ``n_template`` counts the subtrees that were deleted because they recur; without ``counting`` none is. A null or empty html, and a page
+    without text, gives an empty text. A page whose url is null or has no host
     has no site: it is cleaned by its own markup alone. Broken html is read as far as it goes: open elements end
     where their parent does, a tag that the page's end cuts is left out. Repeated rows are
     returned each, other columns are ignored, an empty table gives an empty result.
     """
-    template = checkpointed(recurring(subtrees(pages)))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    if template.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        known: dict[int, tuple[list[int], list[int]]] = {}
-        for r in template.toLocalIterator():  # at most broadcast_rows
-            known.setdefault(r["host"], ([], []))[0].append(r["subtree"])
-            if r["strong"]:
-                known[r["host"]][1].append(r["subtree"])
-        sent = pages.sparkSession.sparkContext.broadcast({h: tuple(np.array(x, np.int64) for x in v) for h, v in known.items()})
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        look = lambda part: [sent.value.get(_host_key(u), none) for u in part.column(1).to_pylist()]
+    rows = _rows(pages)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int8)
+    looked = lambda keys, levels: (keys[at := np.argsort(keys)], levels[at])
+    if not counting:
+        look = lambda part: [none] * part.num_rows
     else:
-        hits = subtrees(pages).join(template, ["host", "subtree"]).groupBy("page_id", "host").agg(
-            F.collect_set("subtree").alias("template"), F.collect_set(F.when(F.col("strong"), F.col("subtree"))).alias("strong")
-        ).groupBy(F.col("page_id").alias("of")).agg(F.flatten(F.collect_list("template")).alias("template"), F.flatten(F.collect_list("strong")).alias("strong"))
-        rows = rows.join(hits, F.col("page_id").eqNullSafe(F.col("of")), "left").select("page_id", "url", "html", "template", "strong")
-        look = lambda part: [(t or (), s or ()) for t, s in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
+        found = subtrees(pages)
+        template = checkpointed(recurring(found))
+        if template.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            got = template.toArrow()  # at most broadcast_rows
+            sent = pages.sparkSession.sparkContext.broadcast(looked(got.column("key").to_numpy(), got.column("level").to_numpy().astype(np.int8)))
+            look = lambda part: [sent.value] * part.num_rows
+        else:
+            hits = found.join(template, "key").groupBy(F.col("page_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set(F.struct("key", "level")).alias("hits"))
+            rows = rows.join(hits, F.col("page_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left").select("page_id", "url", "html", "row", "hits")
+            listed = lambda h: looked(np.array([x["key"] for x in h], np.int64), np.array([x["level"] for x in h], np.int8)) if h else none
+            look = lambda part: [listed(h) for h in part.column(4).to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, tuple[set, set]] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = []
-                for html, found in zip(part.column(2).to_pylist(), look(part)):
-                    both = sets.get(id(found)) if isinstance(found[0], np.ndarray) else None
-                    if both is None:
-                        both = tuple({x & 0xFFFFFFFFFFFFFFFF for x in map(int, f)} for f in found)
-                        if isinstance(found[0], np.ndarray):
-                            sets[id(found)] = both
-                    texts.append(Page(html).text(*both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts, deleted = [], []
+                for url, html, (keys, levels) in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), look(part)):
+                    page, host, level = Page(html), _host_key(url), None
+                    if host and len(keys):
+                        own = _keys(host, page.hashes())
+                        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                        level = np.where(keys[at] == own, levels[at], 0)
+                    text, n = page.text(level)
+                    texts.append(text)
+                    deleted.append(n)
+                columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(deleted, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_template"])
+
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
