@@ -2,9 +2,11 @@
 
 Everything is a DataFrame function, or FP-growth as Spark has it. Labelled urls become sets of tokens with
 their label as one more; FP-growth mines the sets that occur together, rules from tokens to a label are
-kept if their support and confidence suffice and no shorter rule does as well. A url is matched by an inverted index: each rule
-stands under its rarest token, a url looks its own tokens up, and the rules found are verified
-against all its tokens.
+kept if their support and confidence suffice, if they say more than the label's base rate does, and if no shorter rule says as much. A url is
+matched by an inverted index: each rule stands under its rarest token, a url looks its own tokens up, and the rules found are verified
+against all its tokens. Of the rules of both labels that fit, the surest decides: a rule's certainty is the share of the way from
+its label's base rate to 1 that its confidence has gone, taken at the lower end of the confidence's interval, so that a
+label that is rare everywhere can win, and a rule seen a few times counts for less.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from storyloom.llm.exact_dedup import ascii_lower
 BLOCK, ALLOW = "block", "allow"
 LABEL = "label="
 #: A rule's tokens and label occur together in this share of the labelled urls, and in so many, at least.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 10, 0.6
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 10, 0.2
+#: A rule's confidence is so many times its label's base rate at least, and the interval below it that still exceeds the rate is so many standard errors wide.
+MIN_LIFT, ERRORS = 1.02, 1.0
 #: Up to so many rules are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -62,52 +66,69 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``(tokens, verdict, confidence, support, under)`` from ``labelled(url, verdict)``.
+def certainty(confidence: Column, lift: Column, support: Column, rows: int, errors: float) -> Column:
+    """From 0 (no more than the base rate) to 1, at the lower end of Wilson's interval; negative below the rate."""
+    n, z = support * rows / confidence, errors * errors
+    low = (confidence + z / (n * 2) - errors * F.sqrt((confidence * (1 - confidence) + z / (n * 4)) / n)) / (1 + z / n)
+    rate = confidence / lift
+    return (low - rate) / F.greatest(1 - rate, F.lit(1e-12))
+
+
+def mined_rules(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, errors: float = ERRORS
+) -> DataFrame:
+    """``(tokens, verdict, confidence, support, lift, certainty, under)`` from ``labelled(url, verdict)``.
 
     ``under`` is the rule's rarest token. Rows with a null url or verdict teach nothing; where fewer than ``min_count`` rows are left, only what
-    all of them share can be a rule. A rule is dropped if a rule from part of its tokens to the same verdict is at least as sure.
+    all of them share can be a rule; where all have one verdict, no rule says more than that. A rule is dropped if a rule from part of its tokens
+    to the same verdict is at least as certain. Other columns are ignored.
     """
     sets = labelled.where("url is not null and verdict is not null").select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
     sets = checkpointed(sets)
     rows = sets.count()
     model = FPGrowth(itemsCol="items", minSupport=min(max(min_support, min_count / max(rows, 1)), 1.0), minConfidence=min_confidence).fit(sets)
+    sure = certainty(F.col("confidence"), F.col("lift"), F.col("support"), rows, errors)
     found = checkpointed(
-        model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
-        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 99).alias("verdict"), "confidence", "support")
+        model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift))
+        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 99).alias("verdict"), "confidence", "support", "lift", sure.alias("certainty"))
+        .where("certainty > 0")
     )
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq"))
     # shorter rules are found under each token of a longer one, and must be part of it
-    part = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("short"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    part = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("short"), F.col("verdict").alias("v"), F.col("certainty").alias("c"))
     longer = found.where(F.size("tokens") > 1).withColumn("token", F.explode("tokens"))
     covered = (
         longer.join(part, "token")
-        .where((F.col("verdict") == F.col("v")) & (F.size("short") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("short", "tokens")) == 0))
+        .where((F.col("verdict") == F.col("v")) & (F.size("short") < F.size("tokens")) & (F.col("c") >= F.col("certainty")) & (F.size(F.array_except("short", "tokens")) == 0))
         .select("tokens", "verdict").distinct()
     )
     kept = found.join(covered, ["tokens", "verdict"], "left_anti")
+    figures = ["confidence", "support", "lift", "certainty"]
     rarest = (
-        kept.select("tokens", "verdict", "confidence", "support", F.explode("tokens").alias("token")).join(single, "token")
-        .groupBy("tokens", "verdict").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"), F.min_by("token", F.struct("freq", "token")).alias("under"))
+        kept.select("tokens", "verdict", *figures, F.explode("tokens").alias("token")).join(single, "token")
+        .groupBy("tokens", "verdict").agg(*(F.max(c).alias(c) for c in figures), F.min_by("token", F.struct("freq", "token")).alias("under"))
     )
     return checkpointed(rarest)
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(url, verdict)`` of the surest rule that fits each different url; urls that no rule fits are left out."""
-    index = rules.select("under", F.col("tokens").alias("wanted"), F.col("verdict").alias("mined"), "confidence", "support")
+    """``(url, mined)`` of the surest rule that fits each different url, as a struct of verdict, tokens, confidence, support, lift and certainty; urls
+    that no rule fits are left out. Of equally sure ones the rule of higher confidence, higher support and more tokens, then ``allow``, then the last tokens in order."""
+    figures = ["confidence", "support", "lift", "certainty"]
+    index = rules.select("under", F.col("tokens").alias("wanted"), F.col("verdict").alias("mined"), *figures)
     few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     looked = urls.where("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url"))).withColumn("token", F.explode("tokens"))
     met = looked.join(F.broadcast(index) if few else index, F.col("token") == F.col("under")).where(F.size(F.array_except("wanted", "tokens")) == 0)
-    best = F.max_by("mined", F.struct("confidence", "support", F.size("wanted"), F.col("mined") == ALLOW, F.col("wanted")))
-    return met.groupBy("url").agg(best.alias("mined"))
+    order = F.struct("certainty", "confidence", "support", F.size("wanted"), F.col("mined") == ALLOW, F.col("wanted"))
+    rule = F.struct(F.col("mined").alias("verdict"), F.col("wanted").alias("tokens"), *figures)
+    return met.groupBy("url").agg(F.max_by(rule, order).alias("mined"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame, otherwise: str = ALLOW) -> DataFrame:
-    """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url, ...)``.
+    """``(page_id, host, path, rule, verdict, mined_rule, confidence, support, lift)`` for every row of ``pages(page_id, url, ...)``.
 
-    The longest of ``rules`` that fits decides; where none does, the surest mined rule, and ``otherwise`` where there is none.
-    A null url has no host, path or token. Repeated rows are judged each, other columns are ignored, an empty
+    The longest of ``rules`` that fits decides; where none does, the surest mined rule, whose tokens are in ``mined_rule``, and ``otherwise`` where there
+    is none. A null url has no host, path or token. Repeated rows are judged each, other columns are ignored, an empty
     table gives an empty result.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
@@ -115,8 +136,11 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
     open_ = rows.where("fits is null and url is not null")
-    # only urls whose mined verdict differs come back; the join's key differs from the grouping's, so AQE can split a hot url
-    found = matched(open_, mined).where(F.col("mined") != otherwise).select(F.xxhash64("url").alias("_key"), F.col("url").alias("_url"), "mined")
-    met = open_.join(found, (F.xxhash64("url") == F.col("_key")) & (F.col("url") == F.col("_url")), "left").select("page_id", "host", "path", "fits", "mined")
-    rest = rows.where("fits is not null or url is null").select("page_id", "host", "path", "fits", F.lit(None).cast("string").alias("mined"))
-    return met.union(rest).select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "mined", F.lit(otherwise)).alias("verdict"))
+    # the join's key differs from the grouping's, so AQE can split a hot url
+    found = matched(open_, mined).select(F.xxhash64("url").alias("_key"), F.col("url").alias("_url"), "mined")
+    met = open_.join(found, (F.xxhash64("url") == F.col("_key")) & (open_["url"] == F.col("_url")), "left").select("page_id", "host", "path", "fits", "mined")
+    rest = rows.where("fits is not null or url is null").select("page_id", "host", "path", "fits", F.lit(None).cast(found.schema["mined"].dataType).alias("mined"))
+    return met.union(rest).select(
+        "page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "mined.verdict", F.lit(otherwise)).alias("verdict"),
+        F.array_join("mined.tokens", " ").alias("mined_rule"), "mined.confidence", "mined.support", "mined.lift",
+    )
