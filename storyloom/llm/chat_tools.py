@@ -76,13 +76,35 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if not math.isfinite(value):
+        raise ValueError(f"{digits} is too large")
+    return value
+
+
+#: Lists and objects within each other; deeper arguments are invalid.
+DEEPEST = 100
+
+
+def _deep(value) -> bool:
+    level = [value]
+    for _ in range(DEEPEST + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
 def _checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, list[str]]:
+    """The arguments' value and what is wrong with it; no text makes it fail."""
     try:
-        value = json.loads(arguments if arguments is not None else "{}", parse_constant=_no_constant)
+        value = json.loads(arguments if arguments is not None else "{}", parse_constant=_no_constant, parse_float=_finite)
+        if _deep(value):
+            return None, ["arguments: too deep"]
+        canonical(value).encode("utf-8")  # half a surrogate pair is no character
     except (ValueError, RecursionError):
         return None, ["arguments: not JSON"]
-    if any(isinstance(x, float) and not math.isfinite(x) for x in (value.values() if isinstance(value, dict) else [value])):
-        return None, ["arguments: not JSON"]
     if name not in schemas:
         return value, [f"unknown tool: {name}"]
     return value, schema_errors(value, schemas[name])
@@ -131,7 +153,8 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
     itself, directly or not), ``repeated`` (a call_id that an earlier turn of the conversation has), ``invalid`` (arguments against
     the schema, an unknown tool, a need that isn't there), ``open`` (no result), ``ok``. Of several results the earliest turn
     is linked, of equal turns the least content. Nulls: a call without conv_id, call_id or turn is ``invalid`` and linked to nothing; null
-    arguments count as ``{}``, null needs as none, null content as an empty one. Rows that repeat a call entirely count once.
+    arguments count as ``{}``; arguments that aren't JSON, hold a number beyond a double's range or half a surrogate pair, or lie over ``DEEPEST`` levels deep
+    are invalid, null needs as none, null content as an empty one. Rows that repeat a call entirely count once.
     Empty tables give an empty result; other columns are ignored. Level is null in a circle.
     """
     base = calls.select(

@@ -49,16 +49,35 @@ SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget,
 """
 
 
-CHAT_TOOLS = """
-WITH asks AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'assistant'),
-answers AS (SELECT conv_id, turn - 1 AS turn, turn AS answer_turn, text FROM conversations WHERE role = 'assistant'),
-met AS (
-  SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.turn, a.turn) AS asked, q.turn IS NOT NULL AS call, a.turn IS NOT NULL AS answered, a.answer_turn,
-    q.text AS question, a.text AS content FROM asks q FULL JOIN answers a ON q.conv_id = a.conv_id AND q.turn = a.turn),
-judged AS (SELECT *, CASE WHEN NOT call THEN 0 ELSE CAST(length(question) = 0 OR length(question) > 300 AS INTEGER) END AS n_errors FROM met)
-SELECT conv_id, 't' || asked AS call_id, CASE WHEN call THEN asked ELSE answer_turn END AS turn, CASE WHEN call THEN asked ELSE answer_turn END AS order_key, 0 AS order_level,
-  CASE WHEN NOT call THEN 'orphan' WHEN n_errors > 0 THEN 'invalid' WHEN answered THEN 'ok' ELSE 'open' END AS status, n_errors,
-  sha256('{"call":' || CASE WHEN call THEN '{"arguments":{"question":' || to_json(question) || ',"turn":' || asked || '},"id":"t' || asked || '","name":"answer"}' ELSE 'null' END
-    || ',"result":' || CASE WHEN answered THEN '{"content":' || to_json(content) || ',"id":"t' || asked || '"}' ELSE 'null' END || '}') AS message_sha256
+def chat_tools(needs: dict[int, list[list[int]]]) -> str:
+    """Calls reach what they need, directly or not: the latest turn reached is their key, the longest way among calls of equal key their level."""
+    away = "CASE kind " + " ".join(f"WHEN {k} THEN CASE half " + " ".join(f"WHEN {h} THEN {d}::INTEGER[]" for h, d in enumerate(by_half)) + " END" for k, by_half in sorted(needs.items())) + " END"
+    named = lambda turn: f"'t' || CASE WHEN kind = 0 THEN {turn} - ({turn}) % 4 ELSE {turn} END"
+    return f"""
+WITH RECURSIVE turns AS (SELECT DISTINCT conv_id, turn, role, text, ((conv_id % 5) + 5) % 5 AS kind, (turn // 2) % 4 AS half FROM conversations),
+asks AS (SELECT *, {named('turn')} AS call_id, CASE WHEN turn % 10 = 8 THEN 'lookup' ELSE 'answer' END AS name FROM turns WHERE role <> 'assistant'),
+wants AS (SELECT conv_id, turn, unnest({away}) AS d FROM asks),
+heads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) AS r FROM asks) WHERE r = 1),
+edge AS (SELECT DISTINCT h.conv_id, h.call_id AS k, a.call_id AS need FROM heads h JOIN wants w ON w.conv_id = h.conv_id AND w.turn = h.turn JOIN asks a ON a.conv_id = h.conv_id AND a.turn = w.turn + w.d),
+reach(conv_id, k, n) AS (SELECT conv_id, k, need FROM edge UNION SELECT r.conv_id, r.k, e.need FROM reach r JOIN edge e ON e.conv_id = r.conv_id AND e.k = r.n),
+keys AS (SELECT h.conv_id, h.call_id, greatest(h.turn, coalesce(max(x.turn), h.turn)) AS order_key FROM heads h LEFT JOIN reach r ON r.conv_id = h.conv_id AND r.k = h.call_id
+  LEFT JOIN heads x ON x.conv_id = r.conv_id AND x.call_id = r.n GROUP BY h.conv_id, h.call_id, h.turn),
+level_edge AS (SELECT e.* FROM edge e JOIN keys a ON a.conv_id = e.conv_id AND a.call_id = e.k JOIN keys b ON b.conv_id = e.conv_id AND b.call_id = e.need WHERE a.order_key = b.order_key),
+level_reach(conv_id, k, n) AS (SELECT conv_id, k, need FROM level_edge UNION SELECT r.conv_id, r.k, e.need FROM level_reach r JOIN level_edge e ON e.conv_id = r.conv_id AND e.k = r.n),
+circular AS (SELECT DISTINCT a.conv_id, a.k FROM level_reach a JOIN level_reach b ON b.conv_id = a.conv_id AND b.k = a.n AND b.n = b.k),
+level(conv_id, k, d) AS (SELECT h.conv_id, h.call_id, 0 FROM heads h ANTI JOIN circular c ON c.conv_id = h.conv_id AND c.k = h.call_id
+  UNION SELECT e.conv_id, e.k, l.d + 1 FROM level l JOIN level_edge e ON e.conv_id = l.conv_id AND e.need = l.k ANTI JOIN circular c ON c.conv_id = e.conv_id AND c.k = e.k),
+levels AS (SELECT conv_id, k AS call_id, max(d) AS order_level FROM level GROUP BY conv_id, k),
+answers AS (SELECT conv_id, call_id, turn AS answer_turn, coalesce(text, '') AS content FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text) AS r FROM (SELECT *, {named('turn - 1')} AS call_id FROM turns WHERE role = 'assistant')) WHERE r = 1),
+met AS (SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.call_id, a.call_id) AS call_id, q.turn AS asked, a.answer_turn, q.name, q.text AS question, a.content,
+  q.turn IS NOT NULL AS call, a.answer_turn IS NOT NULL AS answered, q.kind FROM asks q FULL JOIN answers a ON a.conv_id = q.conv_id AND a.call_id = q.call_id),
+judged AS (SELECT m.*, k.order_key, l.order_level, h.turn AS head, CASE WHEN NOT call THEN 0 WHEN m.name = 'lookup' THEN 1 WHEN question IS NULL THEN 1
+  ELSE CAST(length(question) = 0 OR length(question) > 300 AS INTEGER) END + CASE WHEN call AND m.kind = 4 AND h.turn % 6 = 0 THEN 1 ELSE 0 END AS n_errors
+  FROM met m LEFT JOIN keys k USING (conv_id, call_id) LEFT JOIN levels l USING (conv_id, call_id) LEFT JOIN heads h ON h.conv_id = m.conv_id AND h.call_id = m.call_id)
+SELECT conv_id, call_id, coalesce(asked, answer_turn) AS turn, CASE WHEN call THEN order_key ELSE answer_turn END AS order_key, CAST(CASE WHEN call THEN order_level ELSE 0 END AS INTEGER) AS order_level,
+  CASE WHEN NOT call THEN 'orphan' WHEN order_level IS NULL THEN 'circle' WHEN asked <> head THEN 'repeated' WHEN n_errors > 0 THEN 'invalid' WHEN answered THEN 'ok' ELSE 'open' END AS status, n_errors,
+  sha256('{{"call":' || CASE WHEN call THEN '{{"arguments":{{' || coalesce('"question":' || to_json(question) || ',', '') || '"turn":' || asked || '}},"id":"' || call_id || '","name":"' || name || '"}}' ELSE 'null' END
+    || ',"result":' || CASE WHEN answered THEN '{{"content":' || to_json(content) || ',"id":"' || call_id || '"}}' ELSE 'null' END || '}}') AS message_sha256
 FROM judged
 """

@@ -83,17 +83,26 @@ ANSWER = {
 }
 
 
+#: What a call needs, as distances in turns, by its conversation's number modulo 5 and half its turn modulo 4: one call before it with identifiers
+#: that repeat (0), chains of later calls (1), two later calls or one before (2), circles of two (3), and calls before with some that aren't there (4).
+NEEDS = {0: [[-4]] * 4, 1: [[2], [2], [2], []], 2: [[2, 4], [-2], [-2], [-2]], 3: [[2], [-2], [-2], []], 4: [[-2]] * 4}
+
+
 def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn that isn't the assistant's is a call of ``answer``, which needs the turn before the last one if that is a call too;
-    every assistant's turn is the result of the turn before it."""
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    named = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
-    asks = turns.where("role <> 'assistant'")
-    before = asks.select(F.col("conv_id").alias("c"), (F.col("turn") + 2).alias("t")).distinct()
+    """Every turn that isn't the assistant's is a call of ``answer`` (of a tool that nobody knows where the turn ends in 8); every
+    assistant's turn is the result of the turn before it. What calls need is in ``NEEDS``."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").withColumn("kind", F.pmod("conv_id", F.lit(5)))
+    named = lambda turn: F.concat(F.lit("t"), F.when(F.col("kind") == 0, turn - F.pmod(turn, F.lit(4))).otherwise(turn).cast("string"))
+    asks = turns.where("role <> 'assistant'").withColumn("call_id", named(F.col("turn")))
+    of_kind = F.array(*(F.array(*(F.array(*(F.lit(d) for d in away)).cast("array<int>") for away in by_half)) for _, by_half in sorted(NEEDS.items())))
+    away = F.element_at(F.element_at(of_kind, (F.col("kind") + 1).cast("int")), F.expr("cast(pmod(turn div 2, 4) + 1 as int)"))
+    wants = asks.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode(away).alias("d"))
+    there = wants.join(asks, (F.col("c") == F.col("conv_id")) & (F.col("t") + F.col("d") == F.col("turn"))).groupBy("c", "t").agg(F.array_sort(F.collect_set("call_id")).alias("there"))
     arguments = F.to_json(F.struct("turn", F.col("text").alias("question")))
-    calls = asks.join(before, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
-        "conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("answer").alias("name"), arguments.alias("arguments"),
-        F.when(F.col("t").isNotNull(), F.array(named(F.col("turn") - 2))).alias("needs"),
+    lost = F.when((F.col("kind") == 4) & (F.pmod("turn", F.lit(6)) == 0), F.array(F.lit("x9"))).otherwise(F.array().cast("array<string>"))
+    calls = asks.join(there, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
+        "conv_id", "call_id", "turn", F.when(F.pmod("turn", F.lit(10)) == 8, "lookup").otherwise("answer").alias("name"), arguments.alias("arguments"),
+        F.concat(F.coalesce("there", F.array().cast("array<string>")), lost).alias("needs"),
     )
     results = turns.where("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     found = linked_calls(calls, results, {"answer": ANSWER})
@@ -136,6 +145,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": oracles.EXACT_DEDUP,
-        "op9_chat_tools": oracles.CHAT_TOOLS,
+        "op9_chat_tools": oracles.chat_tools(NEEDS),
         "op8_mixing": oracles.mixing(MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED),
     }
