@@ -7,9 +7,10 @@ siblings by weight. A node's capacity is the sum of its leaves', so a shortage r
 siblings are full. Dividing with capacities has a closed form over the children in order of
 capacity/weight (running sums), so each level is two window functions over the small table of nodes.
 
-A leaf's budget buys whole epochs and the prefix of one more, in that epoch's seeded order. To find the
-prefix without sorting a leaf in one task, tokens are summed for 4,096 ranges of the order; only
-the range in which the budget ends is summed row by row.
+A leaf's budget buys whole epochs and the prefix of one more, in that epoch's seeded order. The prefix ends at a
+place in the order that is found as in a dictionary: tokens are summed for 256 ranges of the order, then for 256 ranges of the
+one in which the budget ends, and once more; of what is left, a leaf's 16-millionth part, places are summed one by one. Every
+sum is pre-aggregated, no window holds more than 256 rows of a leaf, and rows meet their leaf's place in parts.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
+from storyloom.llm.columns import own, unused
 
 LEVELS = ("domain", "lang", "source")
+#: Characters of a place that name a range, and how often ranges are divided.
+DIGITS, DIVISIONS = 2, 3
 #: Parts in which a leaf's rows meet its budget, so that a hot leaf isn't one task.
 SALTS = 64
 
@@ -38,13 +42,15 @@ def _divide(nodes: DataFrame, parent: list[str], label: str) -> DataFrame:
     by = Window.partitionBy(*(parent or [F.lit(0)]))
     order = by.orderBy(F.col("cap") / F.col("weight"), label)
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the weight from here on, as the whole less what is before: Spark sums a frame that ends at the partition's end anew for each row
+    rest = F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     full = nodes.withColumn("before", before).withColumn("rest", rest)
-    full = full.withColumn("full", F.expr("cap * rest <= weight * (parent_budget - before)"))
+    wide = lambda c: f"cast({c} as decimal(19,0))"  # noqa: E731  products of tokens and weights can exceed a long
+    full = full.withColumn("full", F.expr(f"{wide('cap')} * {wide('rest')} <= {wide('weight')} * {wide('parent_budget - before')}"))
     used = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(by)
     left = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(by)
     shared = full.withColumn("used", used).withColumn("left", left)
-    return shared.withColumn("budget", F.expr("if(full, cap, weight * (parent_budget - used) div left)")).drop("before", "rest", "full", "used", "left")
+    return shared.withColumn("budget", F.expr(f"if(full, cap, ({wide('weight')} * {wide('parent_budget - used')}) div left)")).drop("before", "rest", "full", "used", "left")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], permille: int, max_epochs: int) -> DataFrame:
@@ -97,35 +103,51 @@ def mix(
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), none)))
-    met = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    met = checkpointed(
+        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int"))
         .join(plan, [*LEVELS, "salt"])
-        .select("doc_id", *LEVELS, "n_tokens", "budget", "epochs", "rest", order.alias("place"))
-        .withColumn("range", F.substring("place", 1, 3))
+        .select("doc_id", *LEVELS, "n_tokens", "budget", "epochs", "rest", "salt", order.alias("place"))
     )
-    ranges = met.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("in_range"))
-    upto = F.sum("in_range").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = ranges.select(*LEVELS, "range", "in_range", upto.alias("upto"))
-    dealt = met.join(ranges, [*LEVELS, "range"])
-    ends = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("in_range") <= F.col("rest"))
-    out = lambda df, taken: df.select(
-        "doc_id", *LEVELS, "n_tokens", F.col("budget").cast("long").alias("leaf_budget"),
-        (F.col("epochs") + F.when(taken & (F.col("rest") > 0), 1).otherwise(0)).cast("long").alias("copies"),
+    ends = checkpointed(_ends(met.where("rest > 0")))
+    parts = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    taken = F.coalesce(F.col("place") <= F.col("end"), F.lit(False))
+    return met.join(parts, [*LEVELS, "salt"], "left").select(
+        "doc_id", *LEVELS, "n_tokens", F.col("budget").cast("long").alias("leaf_budget"), (F.col("epochs") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies")
     )
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
-    last = dealt.where(ends).withColumn("run", F.col("upto") - F.col("in_range") + run)
-    return out(dealt.where(~ends), F.col("upto") <= F.col("rest")).union(out(last, F.col("run") <= F.col("rest")))
+
+
+def _ends(met: DataFrame) -> DataFrame:
+    """``(domain, lang, source, end)``: the last place of each leaf's prefix that holds no more than ``rest`` tokens."""
+    left, within = met.select(*LEVELS, "n_tokens", "rest", "place"), None
+    by = Window.partitionBy(*LEVELS)
+    for k in range(1, DIVISIONS + 1):
+        sums = left.withColumn("range", F.substring("place", 1, DIGITS * k)).groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"))
+        if within is not None:  # what is taken before this range
+            sums = sums.join(within.select(*LEVELS, "taken"), [*LEVELS])
+        upto = F.sum("held").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) + (F.col("taken") if within is not None else F.lit(0))
+        found = sums.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("held") <= F.col("rest")))
+        within = checkpointed(found.select(*LEVELS, "range", (F.col("upto") - F.col("held")).alias("taken")))
+        same = within.select(*(F.col(c).alias(f"in_{c}") for c in LEVELS), F.col("range").alias("in_range"))
+        # on a hash of the leaf, so that a leaf of which many rows are left can be split
+        here = F.xxhash64(*LEVELS) == F.xxhash64(*(f"in_{c}" for c in LEVELS))
+        for c in LEVELS:
+            here = here & (F.col(c) == F.col(f"in_{c}"))
+        left = left.join(same, here & (F.substring("place", 1, DIGITS * k) == F.col("in_range"))).select(*LEVELS, "n_tokens", "rest", "place")
+    places = left.groupBy(*LEVELS, "place").agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest")).join(within, [*LEVELS])
+    upto = F.sum("held").over(by.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("taken")
+    last = places.withColumn("upto", upto).groupBy(*LEVELS).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("place"))
+    # where no place of the last range is taken, all before the range are
+    return within.join(last, [*LEVELS], "left").select(*LEVELS, F.coalesce("place", "range").alias("end"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` selects them, with their own columns."""
+    """The rows of ``docs`` as often as ``mix`` selects them, with all their own columns, whatever their names."""
     none = F.lit("(none)")
-    chosen = mix(docs, **how).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("copies").alias("_copies")
-    ).groupBy("_id", "_lang", "_source").agg(F.max("_copies").alias("_copies"))
+    of_id, of_lang, of_source, copies, copy = unused(docs, "of_id", "of_lang", "of_source", "copies", "copy")
+    chosen = mix(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias(of_id), F.col("lang").alias(of_lang), F.col("source").alias(of_source)).agg(F.max("copies").alias(copies))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.coalesce(F.col("lang").cast("string"), none) == F.col("_lang"))
-        & (F.coalesce(F.col("source").cast("string"), none) == F.col("_source"))
+        F.col("doc_id").eqNullSafe(F.col(of_id))
+        & (F.coalesce(F.col("lang").cast("string"), none) == F.col(of_lang))
+        & (F.coalesce(F.col("source").cast("string"), none) == F.col(of_source))
     )
-    return docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    return docs.join(chosen, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*own(docs))
