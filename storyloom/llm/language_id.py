@@ -11,9 +11,10 @@ number. An n-gram is a number then, and n-grams of many whole documents are coun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ LENGTH = 300
 LETTERS = 250
 #: Bound of the training sample: rows of each language, and bytes of a row.
 TRAIN_ROWS, TRAIN_BYTES = 400, 32768
+#: Rows of a language that has longer ones only.
+LONG_ROWS = 4
 #: Characters whose n-grams are counted by one sort; a longer document is counted in pieces.
 AT_ONCE = 1 << 18
 CODE_BITS, COUNT_BITS = 24, 26
@@ -64,6 +67,24 @@ def _ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:most]]
 
 
+def _pieces(grams: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(0, len(grams), 8 * AT_ONCE):
+        yield grams[i : i + 8 * AT_ONCE]
+
+
+def _counted(pieces: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and how often they occur, gathered a few pieces at a time."""
+    codes, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for piece in chain(pieces, [None]):
+        if piece is not None:
+            held.append(piece)
+        if held and (piece is None or sum(map(len, held)) >= 8 * AT_ONCE):
+            c, n = np.unique(np.concatenate(held), return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, c]), return_inverse=True)
+            counts, held = np.bincount(back, np.concatenate([counts, n])).astype(np.int64), []
+    return codes, counts
+
+
 @dataclass
 class Profiles:
     languages: list[str]
@@ -87,12 +108,7 @@ class Profiles:
         """Of each text its most frequent n-grams: text number, rank and n-gram."""
         parts = [grams_of(self._symbols(table, t)) for t in texts]
         if len(parts) == 1:  # may be very long: its n-grams are counted piece by piece
-            codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for i in range(0, len(parts[0]), 8 * AT_ONCE):
-                c, n = np.unique(parts[0][i : i + 8 * AT_ONCE], return_counts=True)
-                codes, back = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-            top = _ranked(codes, counts, LENGTH)
+            top = _ranked(*_counted(_pieces(parts[0])), LENGTH)
             return np.zeros(len(top), np.int64), np.arange(len(top)), top
         sizes = np.array([len(p) for p in parts])
         both = np.concatenate(parts) | (np.repeat(np.arange(len(texts)), sizes) << CODE_BITS)
@@ -150,8 +166,7 @@ def profiles(samples: list[tuple[str, str]]) -> Profiles:
     out = Profiles(sorted({lang for lang, _ in samples}), {c: 3 + i for i, c in enumerate(order)}, np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
     table, tops = out.table(), []
     for lang in out.languages:
-        codes, counts = np.unique(np.concatenate([grams_of(out._symbols(table, t)) for of, t in samples if of == lang]), return_counts=True)
-        tops.append(_ranked(codes, counts, LENGTH))
+        tops.append(_ranked(*_counted(piece for of, t in samples if of == lang for piece in _pieces(grams_of(out._symbols(table, t)))), LENGTH))
     if tops:
         out.codes = np.unique(np.concatenate(tops))
         out.ranks = np.full((len(tops), len(out.codes)), LENGTH, np.int64)
@@ -164,26 +179,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def learned(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Profiles:
-    """Profiles learned from rows with a language and a text that aren't held out.
+def learned(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, long_rows: int = LONG_ROWS) -> Profiles:
+    """Profiles learned from ``docs(doc_id, lang, text, ...)``: rows with a language and a text that aren't held out.
 
     The sample is bounded: of each language the ``rows`` rows of least hashed doc_id among those of at most
-    ``most_bytes`` bytes. Rows are counted first and only a stretch of the hash range about the limit is ranked, so a frequent language moves
-    no more than a rare one.
+    ``most_bytes`` bytes; of a language all of whose rows are longer its ``long_rows`` shortest ones, whole. Rows are counted first and only a stretch of
+    the hash range about the limit is ranked, so a frequent language moves no more than a rare one. Other columns are ignored.
     """
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    small = known.where(F.octet_length("text") <= most_bytes).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in small.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}  # one row for each language
+    sized = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("bytes"))
+    short = F.col("bytes") <= most_bytes
+    # one row for each language
+    counts = {r["lang"]: r["n"] for r in sized.groupBy("lang").agg(F.count_if(short).alias("n")).toLocalIterator()}
     if not counts:
         return profiles([])
     # a share of the hash range that holds twice the rows wanted, and 100 more; of these the least are taken
     edge = lambda n: -(1 << 63) + min((1 << 64) - 1, (2 * rows + 100) * (1 << 64) // n)
-    edges = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(edge(n)))))
-    near = small.where(F.col("h") <= edges[F.col("lang")])
+    edges = F.create_map(*(x for lang, n in counts.items() if n for x in (F.lit(lang), F.lit(edge(n)))), *((F.lit(""), F.lit(0).cast("long")) if not any(counts.values()) else ()))
+    near = sized.where(short & (F.col("h") <= F.try_element_at(edges, F.col("lang"))))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = near.withColumn("place", place).where(F.col("place") <= rows).select(F.col("doc_id").alias("of"), F.col("lang").alias("in")).distinct()
+    picked = near.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "lang", "bytes")
+    if any(n == 0 for n in counts.values()):
+        by_size = F.row_number().over(Window.partitionBy("lang").orderBy("bytes", "h", "doc_id"))
+        long = sized.where(F.col("lang").isin([lang for lang, n in counts.items() if not n])).withColumn("place", by_size)
+        picked = picked.union(long.where(F.col("place") <= long_rows).select("doc_id", "lang", "bytes"))
+    picked = picked.select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang"), F.col("bytes").alias("of_bytes")).distinct()
     # at most ``rows`` rows for each language
-    sample = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(picked), (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("in")))
+    same = (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang")) & (F.octet_length("text") == F.col("of_bytes"))
+    sample = docs.join(F.broadcast(picked), same)
     return profiles(sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").toLocalIterator()))
 
 

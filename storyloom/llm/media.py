@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpoint_dir
+from storyloom.llm.columns import quoted
 from storyloom.llm.html_text import TAG
 
 #: Samples of an image row; payloads are filled up to whole rows.
@@ -156,12 +157,17 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def resolved(items: DataFrame, key: str, payloads: DataFrame) -> DataFrame:
     """``items(key, items)`` exploded, with each reference's columns of ``payloads(digest, ...)``, one row for each item.
 
-    ``payloads`` has a digest once. A reference whose digest isn't there, and a text, have nulls. A digest that many
+    ``payloads`` has a digest once; a column of it that is named like one of an item comes back as ``payload_<name>``. A reference whose digest isn't there, and a text, have nulls. A digest that many
     items share is a hot key of the join, which AQE splits, as the key is no column that ``payloads`` can be grouped by already; nothing is grouped again.
     """
     rows = items.select(key, F.explode("items").alias("i")).select(key, "i.*")
-    stored = payloads.withColumnRenamed("digest", "_digest").withColumn("_key", F.xxhash64("_digest"))
-    return rows.join(stored, (F.xxhash64("digest") == F.col("_key")) & (F.col("digest") == F.col("_digest")), "left").drop("_digest", "_key")
+    taken = {c.lower() for c in rows.columns}
+    stored = payloads.select(
+        F.xxhash64("digest").alias("of_key"), F.col("digest").alias("of_digest"),
+        F.struct(*(F.col(quoted(c)).alias(f"payload_{c}" if c.lower() in taken else c) for c in payloads.columns if c.lower() != "digest")).alias("stored"),
+    )
+    met = rows.join(stored, (F.xxhash64("digest") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")), "left")
+    return met.select(*rows.columns, "stored.*")
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:

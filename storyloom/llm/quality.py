@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from storyloom.llm.columns import quoted
+
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 256, 8, 2, 6, 32, 16
 STEP = CHUNK - WIDTH
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -145,33 +147,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, seed: int = 7) -> ByteConvNet:
-    """A network fitted to ``labels(doc_id, quality)`` of rows that aren't held out.
+    """A network fitted to the labelled rows of ``docs(doc_id, text, ...)`` that aren't held out; ``labels(doc_id, quality, ...)``.
 
-    The sample is bounded: the ``rows`` labelled rows of least hashed doc_id, and of those the ones of at most
-    ``most_bytes`` bytes. Null labels and texts are left out, labels other than 0 and 1 too.
+    The sample is bounded: of the documents that have a label and a text of at most ``most_bytes`` bytes the ``rows`` ones of least hashed
+    doc_id, of equal doc_ids by the hash of the text. Where a doc_id is labelled more than once its largest label counts. Null labels and texts are left out,
+    labels other than 0 and 1 and other columns too.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = known.groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("of"), "of").limit(rows)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
-    got = sorted(((r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").limit(2 * rows).collect()))
+    known = known.groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality"))
+    short = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
+    # ids first, so that only the sample's texts are moved
+    place = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_key"))
+    found = short.select("doc_id", F.xxhash64("text").alias("text_key")).join(known, F.col("doc_id") == F.col("of")).distinct().orderBy(*place).limit(rows)
+    picked = found.select("of", F.col("text_key").alias("of_key"), "quality")
+    sample = short.join(F.broadcast(picked), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("of_key")))
+    got = sorted({(r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").distinct().collect()})  # at most ``rows``
     return ByteConvNet(seed).fit([t for _, t, _ in got], [q for _, _, q in got])
 
 
-def scored(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """``docs`` with ``quality_score``: the network's probability of label 1 for each whole text, in the rows' own columns and order.
+def scored(docs: DataFrame, net: ByteConvNet, out: str = "quality_score") -> DataFrame:
+    """``docs`` with ``out``: the network's probability of label 1 for each whole text, in the rows' own columns and order.
 
     Null and empty texts get the score of an empty text. Only the text is read for a score. Repeated rows get equal
-    scores; a column of the name ``quality_score`` is replaced; an empty table gives an empty result.
+    scores; a column of the name ``out`` is replaced; an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c != "quality_score"]
-    rows = docs.select(*kept)
-    schema = StructType([*rows.schema.fields, StructField("quality_score", DoubleType())])
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    text = next(i for i, c in enumerate(kept) if c.lower() == "text")
+    # plain names on the way through Python, which can't name every column
+    rows = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)))
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(kept.index("text"))
+            texts = batch.column(text)
             scores = [net.predict(texts.slice(i, TEXTS_AT_ONCE).to_pylist()) for i in range(0, len(texts), TEXTS_AT_ONCE)]
             columns = [*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "quality_score"])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, out)
