@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -178,9 +179,12 @@ def test_schema_rules():
 
 def test_chat_query_matches_sql(spark, tables, oracle):
     rows = [(1, 0, "system", "s"), (1, 1, "user", 'q "1"\n\té'), (1, 2, "assistant", "a\\b"), (1, 3, "user", ""), (2, 0, "assistant", "alone"), (3, 0, "user", "x" * 301), (3, 1, "assistant", "y"), (4, 0, "user", "open")]
+    rows += [(k, t, "user" if t % 2 == 0 else "assistant", f"words {k} {t}") for k in range(10, 20) for t in range(22)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     folder = tables(conversations=c)
-    assert same(Q.op9_chat_tools(spark, folder), oracle(folder, oracles.CHAT_TOOLS, "conversations"))
+    got = Q.op9_chat_tools(spark, folder)
+    assert same(got, oracle(folder, oracles.chat_tools(Q.NEEDS), "conversations"))
+    assert {r.status for r in got.collect()} == {"ok", "open", "invalid", "orphan", "circle", "repeated"} and {r.order_level for r in got.collect()} >= {None, 0, 1, 2, 3}
 
 
 # ---- pipeline ----
@@ -259,3 +263,12 @@ def test_registry():
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(E.oracle_sql()) <= set(names)
     assert hashlib.sha256(b"").hexdigest() and F is not None
+
+
+def test_many_siblings_are_divided_in_linear_time(spark):
+    """60,000 sources under one language: a frame to the end of the partition, summed anew for each row, would take minutes."""
+    leaves = spark.range(60_000).select(F.lit("d").alias("domain"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), (F.col("id") % 90 + 1).alias("tokens"))
+    began = time.perf_counter()
+    got = leaf_budgets(leaves, {}, 500, 1).agg(F.sum("budget").alias("b"), F.max(F.col("budget") - F.col("tokens")).alias("over"), F.count("*").alias("n")).first()
+    total = sum(i % 90 + 1 for i in range(60_000))
+    assert got.n == 60_000 and got.over <= 0 and total // 2 - 60_000 <= got.b <= total // 2 and time.perf_counter() - began < 60
