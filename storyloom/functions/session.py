@@ -36,3 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage; use it on narrow tables."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a narrow table that one partition may hold.
+ROWS_EACH = 50_000
+
+
+def compacted(df: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
+    """``checkpointed`` with as many partitions as its rows need; use it on tables that shrink from step to step, whose shuffles would be mostly empty files."""
+    done = checkpointed(df)
+    return done.coalesce(max(1, -(-done.count() // rows_each)))

@@ -3,7 +3,7 @@
 Every step is a grouped minimum and an equi-join on the node, so no neighbourhood is ever held
 in one task: grouped minima combine on the map side and AQE splits a skewed join. The edge table
 shrinks towards one star for each component; rounds grow with the logarithm of the longest path.
-Each round is written to the shared checkpoint folder, so a lost executor costs one round only.
+Each round is written to the shared checkpoint folder, so a lost executor costs one round only, and has as many partitions as its edges need.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import compacted
 
 
 def _state(e: DataFrame) -> tuple:
@@ -62,14 +62,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .distinct()
     )
-    e = checkpointed(e)
+    e = compacted(e)
     before = _state(e)
     if before[0] == 0:
         return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     if before[0] <= small:
         return _on_driver(e)
     for _ in range(max_rounds):
-        e = checkpointed(_small_star(_large_star(e)))
+        e = compacted(_small_star(_large_star(e)))
         after = _state(e)
         if after == before:
             roots = e.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
