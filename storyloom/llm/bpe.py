@@ -15,7 +15,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 # Fixed value: the public byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
-#: Texts whose words are guessed and verified together.
-TOGETHER = 128
+#: Bytes of memory that the words a worker remembers take, about; beyond it, it starts anew. A longer word is never remembered.
+REMEMBERED, LONGEST = 64 << 20, 64
+#: Texts whose words are guessed and verified together, and their characters: fewer texts where they are long.
+TOGETHER, CHARS = 128, 1 << 19
+#: Words of one longer text that are encoded at once.
+WORDS = 1 << 16
 #: Up to so many bytes, a word is merged without a heap.
 SHORT = 48
 NEVER = np.int32(2**31 - 1)
@@ -82,6 +84,8 @@ class Bpe:
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        #: Bytes that the known words take, about, and those of them that are too long to stay.
+        self.held, self.passing = 0, []
         self.compatible: dict[int, bool] = {}
         self.merged_exactly = 0
 
@@ -185,11 +189,14 @@ class Bpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not known yet: guess, verify all pairs together, merge exactly those that fail."""
+        for w in self.passing:
+            self.known.pop(w, None)
+        self.passing = []
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(words)
         raw = [w.encode("utf-8") for w in new]
         guesses = [self.guess(w) for w in raw]
         flat = np.fromiter(chain.from_iterable(guesses), np.int64)
@@ -204,20 +211,47 @@ class Bpe:
             guesses[k] = self.exact(raw[k])
             self.merged_exactly += 1
         self.known.update(zip(new, map(tuple, guesses)))
+        self.passing = [w for w in new if len(w) > LONGEST]
+        self.held += sum(200 + 2 * len(w) + 8 * len(g) for w, g in zip(new, guesses) if len(w) <= LONGEST)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each whole text; null counts as empty, special tokens in a text are found as such."""
-        split: list[list] = []
-        for t in texts:
-            parts = self.parts.split(t) if t and self.parts and self.parts.search(t) else [t or ""]
-            split.append([[self.special[p]] if p in self.special and k % 2 else self.words.findall(p) for k, p in enumerate(parts)])
-        self.learn({w for parts in split for k, ws in enumerate(parts) if not k % 2 for w in ws})
+        out, i = [], 0
+        while i < len(texts):
+            j, total = i, 0
+            while j < len(texts) and (j == i or total + len(texts[j] or "") <= CHARS):
+                total += len(texts[j] or "")
+                j += 1
+            out += self._encode(texts[i:j]) if total <= CHARS else [self._encode_long(texts[i])]
+            i = j
+        return out
+
+    def _parts(self, text: str | None) -> list[str]:
+        """The text cut at special tokens, which are at odd places."""
+        return self.parts.split(text) if text and self.parts and self.parts.search(text) else [text or ""]
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [[[self.special[p]] if k % 2 else self.words.findall(p) for k, p in enumerate(self._parts(t))] for t in texts]
+        self.learn({w for parts in split for ws in parts[::2] for w in ws})
         known = self.known
         return [
             np.fromiter(chain.from_iterable(chain.from_iterable(map(known.__getitem__, ws)) if not k % 2 else ws for k, ws in enumerate(parts)), np.int32)
             for parts in split
         ]
 
+    def _encode_long(self, text: str) -> np.ndarray:
+        """One text, some words at a time."""
+        ids = [np.zeros(0, np.int32)]
+        for k, part in enumerate(self._parts(text)):
+            if k % 2:
+                ids.append(np.array([self.special[part]], np.int32))
+                continue
+            found = self.words.finditer(part)
+            while words := [m[0] for m in islice(found, WORDS)]:
+                self.learn(set(words))
+                ids.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32))
+        return np.concatenate(ids)
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters, ids without a token nothing."""
         table, size = self.bytes_of, self.size
