@@ -2,13 +2,17 @@
 
 1. Each text is the set of its distinct word shingles, as 64-bit numbers. Equal sets are one class.
 2. The shingles of a bounded sample of rows are counted. A set's shingles are ordered by that count, then by number; any order that
-   all sets share gives right results, this one puts what many texts quote last.
+   all sets share gives right results, this one puts what many texts quote last. What still is frequent among the first shingles of every sixteenth
+   set (a passage that a thousandth of all texts share is missed by a small sample) goes last too, and sets that have such among their first ones
+   are ordered anew.
 3. Two sets of similarity t or more share n shingles among the first ``size - ceil(t * size) + n`` of each, where n grows with the smaller
    set. Of a shingle that few sets have there, all pairs of fitting sizes are counted; one that many have links its
    sets to the least of them, so the rows don't grow with the square of a group. Pairs that share enough, and these links,
    are candidates; the components of that graph are a superset of those wanted.
-4. Whole sets meet by candidate component; a large one is dealt as pairs of blocks. Pairs that share a shingle of their prefixes
-   are compared by their whole sets, but for those that verified links already join.
+4. Whole sets meet by candidate component. Pairs that share a shingle of their prefixes are compared by their whole sets, but for those
+   that verified links already join. A large component is first compared with a few of its sets, its pivots, slice by slice; the sets
+   similar to one pivot are joined through it, and only what is left is compared with all of the component, in pairs of blocks. A group of
+   copies costs in proportion to its size so, and no pair is left out.
 5. Connected components over the verified links.
 """
 
@@ -19,12 +23,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import checkpointed, compacted
 from storyloom.llm.arrow import rows_of, whole_groups
 from storyloom.operators.components import connected_components
 
@@ -32,12 +35,18 @@ from storyloom.operators.components import connected_components
 SAMPLE_ROWS, COUNTED, LEAST_COUNT = 8_000, 100_000, 2
 #: A shingle of up to so many sets' first ones is counted pair by pair.
 SMALL = 64
+#: One of so many sets whose first shingles are counted, how often one must occur there to go last, and how many of them are sent to all workers.
+ONE_OF, OFTEN, FREQUENT = 16, 4, 400_000
 #: Shingles that two candidates share at least: one for so many of a set's, up to the second number.
 SHARED_OF, SHARED_MOST = 12, 16
-#: Shingles of a candidate component that one block holds; a task compares two blocks, or so many shingles of small components, at once.
+#: Shingles of a candidate component that one slice or block holds; a task compares two blocks at once.
 BLOCK_SHINGLES = 1 << 18
 #: Pairs that a task makes at once.
 PAIRS = 1 << 18
+#: Up to so many rows of doc_ids are sent to all workers to fetch their texts (16 bytes each); more meet the texts by shuffle.
+BROADCAST_IDS = 500_000
+#: Sets of a slice or block, and of a component that is compared at once; pivots of a larger one.
+SLICE, PIVOTS = 256, 3
 
 Order = tuple[np.ndarray, np.ndarray]
 
@@ -141,8 +150,10 @@ def sample_order(docs: DataFrame, width: int, seed: int, rows: int = SAMPLE_ROWS
     return known.view(np.uint64)[by], often[by]
 
 
-def similar_pairs(start: np.ndarray, found: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets whose links join all sets of this similarity or more; set i is ``found[start[i]:start[i + 1]]``, in the shared order."""
+def similar_pairs(start: np.ndarray, found: np.ndarray, similarity: Fraction, asking: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets whose links join all sets of this similarity or more; set i is ``found[start[i]:start[i + 1]]``, in the shared order.
+
+    With ``asking`` only pairs that have one of the first so many sets are wanted."""
     num, den = similarity.numerator, similarity.denominator
     size = np.diff(start)
     first = prefix_size(size, similarity)
@@ -154,7 +165,7 @@ def similar_pairs(start: np.ndarray, found: np.ndarray, similarity: Fraction) ->
     joined, mark = np.arange(len(size)), np.zeros(len(kinds), bool)
     stretch = lambda s, n: np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
     a, b = [], []
-    for u in range(len(size)):
+    for u in range(len(size) if asking is None else asking):
         own = number[start[u] : start[u + 1]]
         s, n = under[own[: first[u]]], under[own[: first[u]] + 1] - under[own[: first[u]]]
         s, n = s[n > 1], n[n > 1]
@@ -177,41 +188,137 @@ def similar_pairs(start: np.ndarray, found: np.ndarray, similarity: Fraction) ->
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def verified_links(docs: DataFrame, members: DataFrame, order, similarity: Fraction, width: int, seed: int) -> DataFrame:
-    """``(a, b)`` keys of classes that are similar, from ``members(rep_id, rep_key, key, component, blocks)`` and the texts of ``docs``."""
+def compared(dealt: DataFrame, similarity: Fraction) -> DataFrame:
+    """``(a, b)`` keys of similar sets, from ``dealt(deal, key, asks, found)``: pairs of one deal of which a set asks; ``a`` asks.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                raw = [ordered(shingles(t, width, seed), order.value).tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(raw, pa.binary())], ["key", "component", "blocks", "found"])
-
-    whole = docs.join(members, (F.col("doc_id") == F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
-    whole = whole.select("text", "key", "component", "blocks").mapInArrow(sets, "key long, component long, blocks int, found binary")
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = whole.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "found", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("deal")
-    )
+    A deal that more than one task has to read is not cut, so its sets are bounded by who deals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "deal"):
             deal = t.column("deal").to_numpy()
             first = np.flatnonzero(np.append(True, deal[1:] != deal[:-1]))
-            weights = np.add.reduceat(pc.binary_length(t.column("found")).to_numpy().astype(np.int64) // 8, first)
             ends = np.append(first, len(deal))
-            for i, j in stretches(weights, 2 * BLOCK_SHINGLES):
-                part = t.slice(ends[i], ends[j] - ends[i])
-                key, at = np.unique(part.column("key").to_numpy(), return_index=True)
-                raw = part.column("found").take(pa.array(at)).to_pylist()
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                part = t.slice(i, j - i)
+                keys, asks = part.column("key").to_numpy(), part.column("asks").to_numpy(zero_copy_only=False)
+                order = np.lexsort((keys, ~asks))  # those that ask first; of equal keys one
+                order = order[np.sort(np.unique(keys[order], return_index=True)[1])]
+                key = keys[order]
+                raw = part.column("found").take(pa.array(order)).to_pylist()
                 start = np.append(0, np.cumsum([len(x) // 8 for x in raw])).astype(np.int64)
-                a, b = similar_pairs(start, np.frombuffer(b"".join(raw), np.uint64), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
+                a, b = similar_pairs(start, np.frombuffer(b"".join(raw), np.uint64), similarity, int(asks[order].sum()))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
     return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, block: int = BLOCK_SHINGLES, sample: int = SAMPLE_ROWS, small: int = SMALL) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, order, similarity: Fraction, width: int, seed: int, block: int = BLOCK_SHINGLES, slice_: int = SLICE) -> DataFrame:
+    """``(a, b)`` keys of classes that are similar, from ``members(rep_id, rep_key, key, size, component, sets, shingles)`` and the texts of ``docs``.
+
+    ``sets`` and ``shingles`` are those of the whole component."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                raw = [ordered(shingles(t, width, seed), order.value).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(raw, pa.binary())], ["key", "deals", "found"])
+
+    def meet(plan: DataFrame) -> DataFrame:
+        """From ``plan(rep_id, rep_key, key, deals)``, deals as structs of deal and asks."""
+        whole = texts_of(docs, plan).select("text", "key", "deals")
+        made = whole.mapInArrow(sets, "key long, deals array<struct<deal:long,asks:boolean>>, found binary")
+        return compared(made.select("key", "found", F.explode("deals").alias("d")).select("d.deal", "key", "d.asks", "found"), similarity)
+
+    parts = lambda count, size: F.greatest(F.ceil(count / slice_), F.ceil(size / block)).cast("int")
+    one = lambda deal, asks: F.struct(F.xxhash64(*deal).alias("deal"), asks.alias("asks"))
+    every = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
+    yes, no = F.lit(True), F.lit(False)
+    members = members.withColumn("slices", parts(F.col("sets"), F.col("shingles")))
+    members = members.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    large = members.where("slices > 1")
+    few = F.transform(F.slice(F.array_sort(F.collect_list("k")), 1, PIVOTS), lambda k: k["key"])
+    # the pivots of each slice first, so that no task collects a component
+    by_slice = large.select("component", "slice", F.struct(F.xxhash64("key", F.lit(1)).alias("h"), "key").alias("k")).groupBy("component", "slice").agg(F.min("k").alias("k"))
+    first = by_slice.groupBy("component", F.pmod(F.xxhash64("slice"), F.lit(64)).alias("part")).agg(F.min("k").alias("k")).groupBy("component").agg(few.alias("pivots"))
+    first = compacted(first)
+    planned = members.join(first.withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left").withColumn("pivot", F.coalesce(F.array_contains("pivots", F.col("key")), no))
+    deals = (
+        F.when(F.col("slices") == 1, F.array(one(["component"], yes)))
+        .when(F.col("pivot"), every(F.col("slices"), lambda s: one(["component", s], yes)))
+        .otherwise(F.array(one(["component", "slice"], no)))
+    )
+    links = compacted(meet(compacted(planned.select("rep_id", "rep_key", "key", deals.alias("deals")))))
+    if first.isEmpty():
+        return links
+    # of each large component the pivot that joins most, and the sets that it or a pivot similar to it joins
+    pivots = first.select(F.col("component").alias("of"), F.explode("pivots").alias("p"))
+    both = links.union(links.select("b", "a"))
+    stars = compacted(both.join(pivots, F.col("a") == F.col("p")).select("of", "p", "b").distinct())
+    best = stars.groupBy("of", "p").count().groupBy("of").agg(F.max_by("p", F.struct("count", "p")).alias("best"))
+    hub = compacted(
+        stars.join(best.withColumnRenamed("of", "of_"), (F.col("p") == F.col("best")) & (F.col("of") == F.col("of_"))).join(pivots.select(F.col("p").alias("q")), F.col("b") == F.col("q"), "left_semi")
+        .select(F.col("b").alias("hub")).union(best.select("best")).distinct()
+    )
+    home = stars.join(hub, F.col("p") == F.col("hub"), "left_semi").select(F.col("b").alias("in_key")).union(hub).distinct()
+    rest = compacted(large.join(home, F.col("key") == F.col("in_key"), "left_anti").select("component", "key", "size"))
+    counts = compacted(rest.groupBy(F.col("component").alias("of")).agg(parts(F.count("*"), F.sum("size")).alias("rests")))
+    if counts.isEmpty():
+        return links
+    left = large.join(counts, F.col("component") == F.col("of")).join(rest.select(F.col("key").alias("rest_key")), F.col("key") == F.col("rest_key"), "left")
+    mine = F.pmod(F.xxhash64("key", F.lit(2)), F.col("rests")).cast("int")
+    as_all = every(F.col("rests"), lambda r: one(["component", r, "slice"], no))
+    as_rest = every(F.col("slices"), lambda s: one(["component", mine, s], yes))
+    deals = F.when(F.col("rest_key").isNull(), as_all).otherwise(F.concat(as_all, as_rest))
+    return links.union(meet(compacted(left.select("rep_id", "rep_key", "key", deals.alias("deals")))))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` that ``wanted(rep_id, rep_key, ...)`` names, with its other columns."""
+    ids = wanted.select(F.col("rep_id").alias("of_id"), F.col("rep_key").alias("of_key"))
+    if ids.limit(most + 1).count() <= most:  # only the texts named are shuffled then
+        docs = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left_semi")
+    return docs.join(wanted, (F.col("doc_id") == F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
+
+
+def signatures_of(docs: DataFrame, order, similarity: Fraction, width: int, seed: int) -> DataFrame:
+    """``(doc_id, text_key, key, size, first)`` of each text of ``docs(doc_id, text_key, text)``: its class, the size of its set and its first shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                keys, sizes, firsts = [], [], []
+                for text in rows_of(part.column(2)):
+                    found = shingles(text, width, seed)
+                    keys.append(key_of(found))
+                    sizes.append(len(found))
+                    most = prefix_size(len(found), similarity) - 1 + least_shared(len(found), similarity) if len(found) else 0
+                    firsts.append(ordered(found, order.value)[:most].view(np.int64))
+                ends = np.append(0, np.cumsum([len(x) for x in firsts])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_key", "key", "size", "first"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, key long, size long, first array<long>")
+
+
+def frequent(classes: DataFrame, order: Order, one_of: int = ONE_OF) -> tuple[DataFrame, Order]:
+    """``(under, count)`` of shingles that are frequent among the first ones of some sets of ``classes(key, first)``, and the order in which they go last."""
+    some = classes if one_of == 1 else classes.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(one_of)) == 0)
+    counts = some.select(F.explode("first").alias("under")).groupBy("under").count().where(F.col("count") >= OFTEN)
+    found = checkpointed(counts.orderBy(F.desc("count"), "under").limit(FREQUENT))
+    got = found.toArrow()  # at most FREQUENT rows
+    known, counts = order
+    # behind all that the first sample counted, by their own count; of a shingle in both the later count stays
+    new, often = got.column("under").to_numpy().view(np.uint64), got.column("count").to_numpy() + (counts.max() if len(counts) else 0)
+    stay = ~np.isin(known, new)
+    known, counts = np.concatenate([known[stay], new]), np.concatenate([counts[stay], often])
+    by = np.argsort(known)
+    return found, (known[by], counts[by])
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, block: int = BLOCK_SHINGLES, sample: int = SAMPLE_ROWS, small: int = SMALL, slice_: int = SLICE, one_of: int = ONE_OF) -> DataFrame:
     """``(doc_id, text_key, component_id, kept)`` for every row: near duplicates by similarity of word shingles, A-Z lower-cased.
 
     Two rows link if the Jaccard similarity of their whole shingle sets is ``similarity`` or more; no pair is left out. ``component_id`` is the
@@ -222,29 +329,25 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     """
     t = Fraction(str(similarity))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    order = docs.sparkSession.sparkContext.broadcast(sample_order(docs, shingle, seed, sample))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, firsts = [], [], []
-            for text in rows_of(batch.column(2)):
-                found = shingles(text, shingle, seed)
-                keys.append(key_of(found))
-                sizes.append(len(found))
-                firsts.append(ordered(found, order.value)[: prefix_size(len(found), t) - 1 + least_shared(len(found), t) if len(found) else 0].view(np.int64))
-            ends = np.append(0, np.cumsum([len(x) for x in firsts])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_key", "key", "size", "first"])
-
-    signed = checkpointed(docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, key long, size long, first array<long>"))
+    send = docs.sparkSession.sparkContext.broadcast
+    order = send(sample_order(docs, shingle, seed, sample))
+    signed = checkpointed(signatures_of(docs, order, t, shingle, seed))
     classes = checkpointed(
         signed.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("first").alias("first"))
     )
+    often, later = frequent(classes, order.value, one_of)
+    if not often.isEmpty():
+        order = send(later)
+        changed = compacted(classes.select("key", "rep", F.explode("first").alias("under")).join(often.select("under"), "under", "left_semi").select("key", "rep").distinct())
+        rows = texts_of(docs, changed.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")))
+        anew = signatures_of(rows, order, t, shingle, seed).dropDuplicates(["key"])
+        kept = classes.join(changed.select(F.col("key").alias("changed")), F.col("key") == F.col("changed"), "left_anti")
+        classes = checkpointed(kept.union(anew.select("key", F.struct("doc_id", "text_key").alias("rep"), "size", "first")))
     parts = connected_components(candidates(classes, t, small))
-    inside = checkpointed(classes.join(parts, F.col("key") == F.col("node")).select("key", "rep", "size", "component"))
-    blocks = inside.groupBy(F.col("component").alias("of")).agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
-    members = inside.join(blocks, F.col("component") == F.col("of")).select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "key", "component", "blocks")
-    joined = connected_components(verified_links(docs, members, order, t, shingle, seed))
+    inside = compacted(classes.join(parts, F.col("key") == F.col("node")).select("key", "rep", "size", "component"))
+    sizes = inside.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    members = inside.join(sizes, F.col("component") == F.col("of")).select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "key", "size", "component", "sets", "shingles")
+    joined = connected_components(verified_links(docs, members, order, t, shingle, seed, block, slice_))
     rooted = classes.join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("root"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("keeper"))
     named = checkpointed(rooted.join(least, F.col("root") == F.col("r")).select(F.col("key").alias("of"), F.col("keeper.doc_id").alias("component_id"), F.col("keeper.text_key").alias("keeper_key")))

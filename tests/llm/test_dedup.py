@@ -244,8 +244,30 @@ def test_cut_appended_and_inserted_blocks_meet(spark):
         met += jaccard(rows[-1][1], rows[-2][1]) >= 0.8
     want = brute(rows)
     assert met > 30 and len(set(want.values())) < len(rows) - 30
-    for block, sample, small in ((1 << 20, 8_000, 64), (500, 10, 1)):  # whole components, and dealt as pairs of blocks; with and without counts
-        assert {x.doc_id: x.component_id for x in similar_components(docs(spark, rows), block=block, sample=sample, small=small).collect()} == want
+    # whole components, and dealt as slices and pairs of blocks; with and without counts
+    for block, sample, small, slice_ in ((1 << 20, 8_000, 64, 256), (500, 10, 1, 256), (1 << 20, 10, 1, 3)):
+        assert {x.doc_id: x.component_id for x in similar_components(docs(spark, rows), block=block, sample=sample, small=small, slice_=slice_).collect()} == want
+
+
+def test_a_large_group_meets_through_pivots(spark):
+    """Copies that drift away step by step, copies about one text, and texts that only share a passage: one candidate component, many slices."""
+    r = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    now, rows = r.choices(words, k=100), []
+    for i in range(60):
+        rows.append((i, " ".join(now)))
+        at = r.randrange(95)
+        now = now[:at] + r.choices(words, k=1 if i % 20 else 40) + now[at + 1 :]
+    base = r.choices(words, k=100)
+    for i in range(60):
+        at = r.randrange(100)
+        rows.append((100 + i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])))
+    passage = r.choices(words, k=60)
+    rows += [(200 + i, " ".join(passage + r.choices(words, k=r.choice([5, 40])))) for i in range(40)]
+    want = brute(rows)
+    assert 3 < len(set(want.values())) < 60
+    for slice_, one_of in ((5, 1), (16, 2)):
+        assert {x.doc_id: x.component_id for x in similar_components(docs(spark, rows), small=4, slice_=slice_, one_of=one_of).collect()} == want
 
 
 def test_the_threshold_is_exact(spark):
