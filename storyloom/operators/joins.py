@@ -27,10 +27,11 @@ def nearest(left: DataFrame, right: DataFrame, target: str, value: str, keys: li
     kind = left.schema[target].dataType
     marks = right.select(*keys, F.col(value).cast(kind).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row")).dropna(subset=["_at"]).distinct()
     asks = left.select(*keys, F.col(target).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
     known = F.when(F.col("_side") == 0, F.col("_at"))
-    below = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # both frames grow from the partition's start; one that ends at its end would be read anew for each row
+    upwards = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    downwards = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    below, above = F.last(known, ignorenulls=True).over(upwards), F.last(known, ignorenulls=True).over(downwards)
     met = marks.union(asks).withColumn("_below", below).withColumn("_above", above).where("_side = 1")
     left_wins = F.col("_above").isNull() | (F.col("_at") - F.col("_below") <= F.col("_above") - F.col("_at"))
     chosen = F.when(F.col("_below").isNotNull() & left_wins, F.col("_below")).otherwise(F.col("_above"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions.batches import map_groups
 from storyloom.functions.numeric import rounded
 
 TRACKED = ("object", "artifact", "weapon", "creature", "vehicle", "substance")
@@ -95,7 +95,7 @@ class _Record:
 
     def add(self, r: dict) -> None:
         self._add(
-            r["canonical_name"], list(r["surface_forms"]), [r["source_channel"]], list(r["evidence"]), {r["category"]: 1}, set(r["aliases"]), bool(r["direct_visual_evidence"]), float(r["mention_strength"]),
+            r["canonical_name"], r["surface_forms"] or [], [r["source_channel"]], r["evidence"] or [], {r["category"]: 1}, set(r["aliases"]), bool(r["direct_visual_evidence"]), float(r["mention_strength"]),
             float(r["confidence"]), bool(r["tracking_keep"]),
         )
 
@@ -119,11 +119,11 @@ MERGED = (
 )
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+def _replay(rows: list[dict]) -> Iterator[dict]:
     """Records of a scene in order: each joins the first group that shares an alias, which takes in the others that do."""
     groups: dict[int, _Record] = {}  # in order of their first record
     by_alias: dict[str, int] = {}
-    for n, r in enumerate(rows.sort_values(["channel_no", "pos"], kind="stable").to_dict("records")):
+    for n, r in enumerate(rows):
         met = sorted({by_alias[a] for a in r["aliases"] if a in by_alias})
         at = met[0] if met else n
         home = groups.setdefault(at, _Record(r)) if not met else groups[at]
@@ -133,14 +133,12 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
             by_alias.update(dict.fromkeys(gone.aliases, at))
         home.add(r)
         by_alias.update(dict.fromkeys(r["aliases"], at))
-    out = [
-        (
-            rows["story_id"].iloc[0], rows["scene_idx"].iloc[0], g.order[0], g.order[1], g.row["object_id"], g.name, list(g.forms), sorted(g.channels), sorted(g.aliases), max(g.votes, key=g.votes.get), g.seen,
-            round(g.strength, 4), round(g.confidence, 4), list(g.evidence), g.keep,
-        )
-        for g in groups.values()
-    ]
-    return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in MERGED.split(", ")])
+    for g in groups.values():
+        yield {
+            "story_id": rows[0]["story_id"], "scene_idx": rows[0]["scene_idx"], "order_channel": g.order[0], "order_pos": g.order[1], "first_id": g.row["object_id"], "canonical_name": g.name, "surface_forms": list(g.forms),
+            "source_channels": sorted(g.channels), "normalized_aliases": sorted(g.aliases), "category": max(g.votes, key=g.votes.get), "direct_visual_evidence": g.seen, "mention_strength_max": round(g.strength, 4),
+            "confidence_max": round(g.confidence, 4), "evidence": list(g.evidence), "tracking_keep_any": g.keep,
+        }
 
 
 def merge_records(records: DataFrame) -> DataFrame:
@@ -150,7 +148,7 @@ def merge_records(records: DataFrame) -> DataFrame:
     first), so a scene's records are replayed in order; a scene is what one task holds.
     """
     aliased = records.withColumn("aliases", T.keys_of(F.concat(F.array("object_id", "canonical_name"), F.coalesce("surface_forms", F.array().cast("array<string>"))), T.object_key))
-    merged = aliased.groupBy("story_id", "scene_idx").applyInPandas(_replay, MERGED)
+    merged = map_groups(aliased, ["story_id", "scene_idx"], ["channel_no", "pos"], _replay, MERGED)
     own = T.object_key(F.col("canonical_name"))
     named = merged.withColumn("object_id", F.when(own != "", own).otherwise(F.col("first_id")))
     place = F.row_number().over(Window.partitionBy("story_id", "scene_idx").orderBy(F.desc("mention_strength_max"), F.desc("confidence_max"), F.desc("canonical_name"), "order_channel", "order_pos")) - 1

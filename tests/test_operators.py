@@ -1,6 +1,7 @@
 """Operators against plain Python, and their behaviour on odd input."""
 
 import random
+import time
 from bisect import bisect_left
 
 from hypothesis import HealthCheck, given, settings
@@ -132,3 +133,13 @@ def test_exact_rounding(spark):
     df = spark.createDataFrame([(2.675,), (0.12345,), (None,)], "x double")
     assert [r.r for r in df.select(rounded(F.col("x"), 2, exact=True).alias("r")).collect()] == [2.67, 0.12, None]
     assert df.select(rounded(F.col("x"), 2).alias("r")).first().r == 2.68
+
+
+def test_nearest_of_a_million_marks(spark):
+    """One key: time grows with the marks, not with their square."""
+    marks = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 10).alias("v"))
+    asks = spark.range(1000).select(F.lit("k").alias("k"), (F.col("id") * 9973 + 5).alias("t"))
+    began = time.perf_counter()
+    rows = nearest(asks, marks, "t", "v", ["k"]).collect()
+    assert time.perf_counter() - began < 60 and len(rows) == 1000
+    assert all(r.nearest == min((r.t // 10 * 10, r.t // 10 * 10 + 10), key=lambda v: (abs(v - r.t), v)) for r in rows if r.t < 9_999_990)
