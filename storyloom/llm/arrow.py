@@ -5,34 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from storyloom.functions.batches import whole_groups
+
+__all__ = ["rows_of", "whole_groups"]
 
 
 def rows_of(column: pa.Array, size: int = 256) -> Iterator:
     """The values of a column as Python objects, a few at a time, so that long texts are not all held twice."""
     for i in range(0, len(column), size):
         yield from column.slice(i, size).to_pylist()
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Batches sorted by ``key``, cut again so that a key's rows are never in two of them.
-
-    Memory is a batch and the rows of its last key.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(key))
-        last = column[-1]
-        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1] != column[0]:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        same = pc.sum(pc.cast(pc.equal(column, last), pa.int64())).as_py()
-        cut = batch.num_rows - same
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
