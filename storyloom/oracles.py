@@ -19,7 +19,7 @@ m AS (SELECT event_id, user_id, event_type, CAST(floor((epoch_us(ts) - 170406720
   CAST(floor(floor((epoch_us(ts) - 1704067200000000) / 1000000) / 3600) AS BIGINT) AS scene, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents FROM events)"""
 
 
-def _max_gaps(name: str, source: str, keys: str, position: str) -> str:
+def max_gaps_sql(name: str, source: str, keys: str, position: str) -> str:
     return f"""
 {name}_d AS (SELECT DISTINCT {keys}, {position} AS p FROM {source}),
 {name}_n AS (SELECT *, lead(p) OVER (PARTITION BY {keys} ORDER BY p) AS n FROM {name}_d),
@@ -28,7 +28,7 @@ def _max_gaps(name: str, source: str, keys: str, position: str) -> str:
 {name} AS (SELECT {keys}, n - p AS gap_jump, greatest(n - p - 1, 0) AS gap_absent, p AS a, n AS b, freq, lo, hi, freq / (hi - lo + 1) AS coverage FROM {name}_r WHERE r = 1 AND freq >= 2)"""
 
 
-GAPS = MENTIONS + "," + _max_gaps("g0", "m", "user_id, event_type", "scene") + f", g AS (SELECT * FROM g0 WHERE gap_jump >= {MIN_GAP})"
+GAPS = MENTIONS + "," + max_gaps_sql("g0", "m", "user_id, event_type", "scene") + f", g AS (SELECT * FROM g0 WHERE gap_jump >= {MIN_GAP})"
 
 #: Object key and spoken names of a sentence.
 DET = "|".join(DETERMINERS)
@@ -86,6 +86,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(st
 
 
 def oracle_sql() -> dict[str, str]:
+    from storyloom import stage_oracles
+
     clamp = lambda x: f"least(greatest({x}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))"
     d = lambda x: f"CAST({x} AS DOUBLE)"
     return {
@@ -123,14 +125,14 @@ SELECT conv_id, CAST(turn AS INT) AS turn, object_id, canonical_name, n_forms, e
 b AS (SELECT DISTINCT conv_id, turn, object_id, CASE role WHEN 'user' THEN 'dialogue' ELSE 'action' END AS channel FROM t WHERE role IN ('user', 'assistant'))
 SELECT conv_id, object_id, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, count(*) AS n_mentions, CAST(min(turn) AS INT) AS first_turn, bool_or(channel = 'action') AS acted FROM b GROUP BY conv_id, object_id""",
         "alias_components": """WITH RECURSIVE l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE length(line) >= 20),
-s AS (SELECT line, min(doc_id) AS f FROM l GROUP BY line HAVING count(*) BETWEEN 2 AND 20),
+s AS (SELECT line, min(doc_id) AS f FROM l GROUP BY line HAVING count(*) >= 2),
 e AS (SELECT DISTINCT f AS a, doc_id AS b FROM l JOIN s USING (line) WHERE f <> doc_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.node, x.b FROM r JOIN both_ways x ON r.root = x.a)
 SELECT node AS doc_id, min(root) AS component FROM r GROUP BY node""",
         "best_prior": f"WITH {PRIORS} SELECT conv_id, CAST(turn AS INT) AS turn, entity_key, CAST(gap_jump AS INT) AS gap_jump, 1 AS n_shared FROM best WHERE r = 1",
         "unmatched_events": f"""WITH {PRIORS} SELECT conv_id, object_id AS entity_key, CAST(b - a AS INT) AS gap_jump FROM ev
 WHERE NOT EXISTS (SELECT 1 FROM best WHERE r = 1 AND best.conv_id = ev.conv_id AND best.entity_key = ev.object_id)""",
-        "scene_chain_score": f"""WITH {TURN_WORDS},{_max_gaps('g', 't', 'conv_id, object_id', 'turn')},
+        "scene_chain_score": f"""WITH {TURN_WORDS},{max_gaps_sql('g', 't', 'conv_id, object_id', 'turn')},
 c AS (SELECT conv_id, turn, least(CAST(floor(length(text) / 20) AS INT), 100) AS climax FROM conversations), tot AS (SELECT conv_id, max(turn) + 1 AS total FROM c GROUP BY conv_id),
 q AS (SELECT conv_id, quantile_cont(gap_jump, 0.75) AS q75 FROM g GROUP BY conv_id), ac AS (SELECT conv_id, object_id, bool_or(role = 'assistant') AS acted FROM t GROUP BY conv_id, object_id),
 lt AS (SELECT g.conv_id, g.object_id, max(climax) AS climax FROM g JOIN (SELECT DISTINCT conv_id, object_id, turn FROM t) k ON g.conv_id = k.conv_id AND g.object_id = k.object_id AND k.turn >= g.b
@@ -162,7 +164,7 @@ SELECT user_id, event_id, c AS center_sec, lo AS window_start_sec, hi AS window_
         "sample_plan": f"""WITH {SEGMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY top_cents DESC, segment_start) AS r FROM seg),
 k AS (SELECT user_id, sample, {d('segment_start')} + sample * (({d('segment_end')} - {d('segment_start')}) / {d('4.0')}) AS "time" FROM r, (VALUES (0), (1), (2), (3), (4)) v(sample) WHERE r = 1)
 SELECT user_id, sample, "time", CAST(round_even("time" * {d('0.125')}, 0) AS BIGINT) AS frame FROM k""",
-        "legacy_gap_dedup": f"""WITH {MENTIONS}, n AS (SELECT *, (CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END) || '-' || user_id AS name FROM m),{_max_gaps('g', 'n', 'user_id, name', 'scene')},
+        "legacy_gap_dedup": f"""WITH {MENTIONS}, n AS (SELECT *, (CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END) || '-' || user_id AS name FROM m),{max_gaps_sql('g', 'n', 'user_id, name', 'scene')},
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') ORDER BY gap_jump DESC, name) AS r FROM g)
 SELECT user_id, name, gap_jump, a AS position_a, b AS position_b FROM r WHERE r = 1""",
         "event_inspector": f"""WITH {GAPS} SELECT event_type || ' ' || user_id AS name, event_type AS category, CAST(gap_jump AS INT) AS gap, a AS scene_a, b AS scene_b FROM g
@@ -171,4 +173,4 @@ WHERE gap_jump >= {MIN_GAP + 10} AND contains(lower(event_type || ' ' || user_id
 SELECT event_type AS kind, n AS events, CAST(l[1] AS INT) AS gap_min, CAST(l[len(l)] AS INT) AS gap_max, CAST(1 AS BIGINT) AS categories, CAST(l[n // 2 + 1] AS INT) AS gap_median FROM s""",
         "annotation_cache": """WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)
 SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.text IS NOT DISTINCT FROM d.text) THEN 'cached' ELSE 'words=' || len(string_split(coalesce(text, ''), ' ')) END AS response FROM documents d""",
-    }
+    } | stage_oracles.oracle_sql()

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom import stage_queries
 from storyloom.functions import text as T
 from storyloom.functions.session import checkpointed, read_table
 from storyloom.operators.components import connected_components
@@ -133,9 +134,9 @@ def channel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a line of 20 characters or more, directly or through others; lines of over 20 documents are generic and link nothing."""
+    """Documents that share a line of 20 characters or more, directly or through others, however many documents have it."""
     lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(_lines()).alias("line")).where(F.length("line") >= 20).select("doc_id", F.md5("line").alias("alias")).distinct()
-    shared = lines.groupBy("alias").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n between 2 and 20")
+    shared = lines.groupBy("alias").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
     edges = lines.join(shared, "alias").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     return connected_components(edges).select(F.col("node").alias("doc_id"), "component")
 
@@ -332,4 +333,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reappearance_gaps, gap_levels, majority_label_top_forms, dense_active_index, line_blocks, line_kinds, script_scenes, dialogue_mentions, channel_merge, alias_components, best_prior, unmatched_events, scene_chain_score,
         narrative_candidates, subtitle_windows, coarse_alignment, monotone_alignment, merge_segments, top_segments, nearest_frame, centered_windows, sample_plan, legacy_gap_dedup, event_inspector, event_gap_stats, annotation_cache,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | stage_queries.queries()
