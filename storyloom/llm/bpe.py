@@ -27,9 +27,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 # Fixed value: the public byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of memory that the words a worker remembers take, about; beyond it, it starts anew. A longer word is never remembered.
-REMEMBERED, LONGEST = 64 << 20, 64
+REMEMBERED, LONGEST = 128 << 20, 64
 #: Texts whose words are guessed and verified together, and their characters: fewer texts where they are long.
-TOGETHER, CHARS = 128, 1 << 19
+TOGETHER, CHARS = 128, 1 << 20
 #: Words of one longer text that are encoded at once.
 WORDS = 1 << 16
 #: Up to so many bytes, a word is merged without a heap.
@@ -44,6 +44,11 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def _room(word: str, ids) -> int:
+    """Bytes of a word, its ids and their places in a dictionary and a set, about."""
+    return 240 + 2 * len(word) + 8 * len(ids)
+
+
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file of the tokenizers library."""
 
@@ -84,8 +89,8 @@ class Bpe:
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
-        #: Bytes that the known words take, about, and those of them that are too long to stay.
-        self.held, self.passing = 0, []
+        #: Bytes that the known words take, about; those of them that have come again; those that are too long to stay.
+        self.held, self.again, self.passing = 0, set(), []
         self.compatible: dict[int, bool] = {}
         self.merged_exactly = 0
 
@@ -193,8 +198,13 @@ class Bpe:
             self.known.pop(w, None)
         self.passing = []
         if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+            # words that have come again stay, unless they alone fill most of the room
+            self.known = {w: self.known[w] for w in self.again if w in self.known}
+            self.held, self.again = sum(map(_room, self.known, self.known.values())), set()
+            if self.held > REMEMBERED * 3 // 4:
+                self.known, self.held = {}, 0
         new = [w for w in words if w not in self.known]
+        self.again.update(words.difference(new) if len(new) < len(words) else ())
         if not new:
             return
         raw = [w.encode("utf-8") for w in new]
@@ -212,7 +222,7 @@ class Bpe:
             self.merged_exactly += 1
         self.known.update(zip(new, map(tuple, guesses)))
         self.passing = [w for w in new if len(w) > LONGEST]
-        self.held += sum(200 + 2 * len(w) + 8 * len(g) for w, g in zip(new, guesses) if len(w) <= LONGEST)
+        self.held += sum(_room(w, g) for w, g in zip(new, guesses) if len(w) <= LONGEST)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each whole text; null counts as empty, special tokens in a text are found as such."""
@@ -252,6 +262,10 @@ class Bpe:
                 ids.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32))
         return np.concatenate(ids)
 
+    def forget(self) -> None:
+        """Drops the words, so that an idle worker holds none."""
+        self.known, self.held, self.again, self.passing = {}, 0, set(), []
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters, ids without a token nothing."""
         table, size = self.bytes_of, self.size
@@ -287,6 +301,7 @@ def coded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",),
                 if decode:
                     columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        bpe.forget()  # other stages may use the worker next
 
     return rows.mapInArrow(run, schema)
 
