@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 # Fixed value: the public byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of memory that the words a worker remembers take, about; beyond it, it starts anew. A longer word is never remembered.
-REMEMBERED, LONGEST = 128 << 20, 64
+REMEMBERED, LONGEST = 256 << 20, 64
 #: Texts whose words are guessed and verified together, and their characters: fewer texts where they are long.
 TOGETHER, CHARS = 128, 1 << 20
 #: Words of one longer text that are encoded at once.
