@@ -68,6 +68,14 @@ def monotone_pick(options: Column) -> Column:
     return F.aggregate(options, start, step, lambda acc: acc["picked"])
 
 
+def alignment_meta(candidates: DataFrame, subtitles: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Counts for each story: candidates, subtitles (each is the middle of one window), alignments, and the film's length by its subtitles."""
+    seen = candidates.groupBy("story_id").agg(F.count("*").alias("scene_candidates_considered"))
+    said = subtitles.groupBy("story_id").agg(F.count("*").alias("subtitle_segments"), rounded(F.max("end_sec"), 3).alias("movie_duration_sec"))
+    made = alignments.groupBy("story_id").agg(F.count("*").alias("alignments_returned"))
+    return seen.join(said, "story_id", "full").join(made, "story_id", "full").na.fill(0).withColumn("subtitle_windows", F.col("subtitle_segments"))
+
+
 def align(candidates: DataFrame, total_scenes: DataFrame, subtitles: DataFrame, search_radius_sec: float = 420.0, default_window_sec: float = 75.0, neighborhood: int = 1) -> DataFrame:
     """One alignment for each scene of each candidate's chain, ``alignment_index`` in order of candidates and scenes.
 

@@ -1,6 +1,6 @@
 """Annotation by a model behind a cache table.
 
-A request is a row; its key is a hash of its content, so an unchanged request is never made twice. Misses are found
+A request is a row; its key is a hash of its content and of the model's name, so an unchanged request is never made twice of one model. Misses are found
 by an anti-join, asked once for each key in batches on the executors, and appended to the cache. The model is a plain
 function on a list of requests, passed in; nothing here reaches a network.
 """
@@ -34,21 +34,42 @@ def request_key(*parts: Column) -> Column:
     return F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
 
 
-def annotated(requests: DataFrame, cache: DataFrame, ask: Callable[[list[dict]], list[str]], parts: list[str], batch: int = 64) -> tuple[DataFrame, DataFrame]:
+def annotated(
+    requests: DataFrame, cache: DataFrame, ask: Callable[[list[dict]], list[str]], parts: list[str], batch: int = 64, model: str = "", wording: Column | None = None, tolerant: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``requests`` with ``response``, and the rows to append to ``cache(key, response)``.
 
-    ``parts`` are the columns that make a request; equal requests are asked once.
+    ``parts`` are the columns that make a request; equal requests are asked once. ``model`` names who answers: another name has other keys. ``wording`` is
+    given to the model as ``prompt``. Where ``tolerant``, a batch that the model fails on is asked again one by one, and a request that fails
+    alone has a null response that no cache takes; else the failure ends the job.
     """
-    keyed = requests.withColumn("key", request_key(*(F.col(p) for p in parts)))
+    keyed = requests.withColumn("key", request_key(*([F.lit(model).alias("model")] if model else []), *(F.col(p) for p in parts)))
     missing = keyed.select("key", *parts).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    fields = list(parts)
+    if wording is not None:
+        missing, fields = missing.withColumn("prompt", wording), [*parts, "prompt"]
+
+    def alone(request: dict) -> str | None:
+        try:
+            return ask([request])[0]
+        except Exception:  # whatever the model raises; a lost worker or an error of Spark doesn't come this way
+            return None
+
+    def answers(asked: list[dict]) -> list[str | None]:
+        if not tolerant:
+            return ask(asked)
+        try:
+            return ask(asked)
+        except Exception:
+            return [alone(r) for r in asked]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for i in range(0, len(rows), batch):
                 part = rows.iloc[i : i + batch]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": ask(part[parts].to_dict("records"))})
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": answers(part[fields].to_dict("records"))})
 
-    fresh = checkpointed(missing.mapInPandas(run, "key string, response string"))  # written, so that a model is asked once
+    fresh = checkpointed(missing.mapInPandas(run, "key string, response string").where("response is not null"))  # written, so that a model is asked once
     known = cache.select("key", "response").unionByName(fresh)
     return keyed.join(known, "key", "left").drop("key"), fresh
 
@@ -68,6 +89,11 @@ def spoken_mentions(answers: DataFrame) -> DataFrame:
     return rows.select("story_id", "scene_idx", "pos", "e.*")
 
 
+def unanswered(answers: DataFrame) -> DataFrame:
+    """``(story_id, scene_idx)`` of the dialogue channel's answers that are missing or can't be read."""
+    return answers.where(F.from_json("response", SPOKEN_JSON)["entities"].isNull()).select("story_id", "scene_idx").distinct()
+
+
 def curations(answers: DataFrame) -> DataFrame:
     """``answers(story_id, entity, response)`` as what ``legacy.curate`` reads."""
     c = answers.select("story_id", "entity", F.from_json("response", CURATION_JSON).alias("c"))
@@ -82,10 +108,10 @@ def json_part(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-SCENE_PROMPT = "List the physical objects that the action of this scene shows, as JSON.\nScene {scene_idx}: {heading}\n{text}"
-CHANNEL_PROMPT = "List every physical object that the {channel} of this scene mentions, as JSON.\nScene {scene_idx}: {heading}\n{text}"
+SCENE_PROMPT = f"List the physical objects that the action of this scene shows, as one JSON object of these fields: {MENTION_JSON}\nScene {{scene_idx}}: {{heading}}\n{{text}}"
+CHANNEL_PROMPT = f"List every physical object that the {{channel}} of this scene mentions, as one JSON object of these fields: {SPOKEN_JSON}\nScene {{scene_idx}}: {{heading}}\n{{text}}"
 CLIMAX_PROMPT = "Story: {story}\nRate from 0 to 100 how much this scene is a climax, as JSON with climax_score.\nScene {scene_idx}: {heading}\n{text}"
-CURATION_PROMPT = "Is '{entity}' a physical object that matters to the story? Answer as JSON.\n{contexts}"
+CURATION_PROMPT = f"Is '{{entity}}' a physical object that matters to the story? Answer as one JSON object of these fields: {CURATION_JSON}\n{{contexts}}"
 SCENE_SUMMARY_PROMPT = "Sum this scene up in two sentences, as JSON.\nScene {scene_idx}: {heading}\n{text}"
 STORY_SUMMARY_PROMPT = "Sum the story up from its scenes, as JSON.\n{scenes}"
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +60,14 @@ def spoken_records(texts: DataFrame) -> DataFrame:
     )
 
 
-def dialogue_channel(texts: DataFrame, mode: str, model: Callable[[DataFrame], DataFrame] | None = None, categories: tuple[str, ...] = TRACKED) -> DataFrame:
-    """Dialogue records by ``mode``: ``none``, ``heuristic``, ``llm``, or ``hybrid`` (the patterns where the model fails)."""
+def dialogue_channel(
+    texts: DataFrame, mode: str, model: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]] | None = None, categories: tuple[str, ...] = TRACKED
+) -> DataFrame:
+    """Dialogue records by ``mode``: ``none``, ``heuristic``, ``llm``, or ``hybrid`` (the patterns where the model fails).
+
+    ``model`` gives mentions, or mentions and the scenes ``(story_id, scene_idx)`` that it failed on: only these fall back. If it raises, all do; an error
+    of Spark's own, such as a lost executor, is no failure of the model and ends the job.
+    """
     if mode not in ("none", "heuristic", "llm", "hybrid"):
         raise ValueError(f"unknown dialogue mode: {mode}")
     patterns = spoken_records(texts)
@@ -73,12 +81,15 @@ def dialogue_channel(texts: DataFrame, mode: str, model: Callable[[DataFrame], D
         return patterns
     try:
         found = model(texts)
-        found.schema  # noqa: B018  an extractor that can't be planned fails here
+    except (PySparkException, Py4JError):
+        raise
     except Exception:
         if mode == "llm":
             raise
         return patterns
-    return dialogue_records(found, categories)
+    found, failed = found if isinstance(found, tuple) else (found, None)
+    records = dialogue_records(found, categories)
+    return records if failed is None or mode == "llm" else records.unionByName(spoken_records(texts.join(failed, ["story_id", "scene_idx"], "left_semi")))
 
 
 class _Record:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,28 @@ def curate(rough: DataFrame, curated: DataFrame, min_confidence: float = 0.75, m
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("story_id").orderBy(score.desc(), F.desc("gap_jump"), "entity")))
 
 
+def event_rows(curated: DataFrame, scenes: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Curated gaps with both anchors' label, page, heading and contexts (three of action, two of dialogue), the commonest surface in the first anchor and the action strength.
+
+    ``scenes`` as in ``schemas.SCENES``, ``mentions`` as ``mention_store`` reads them; of equally common surfaces the first by spelling.
+    """
+    key = ["story_id", "entity"]
+    sides = curated.select(*key, F.posexplode(F.array("scene_a_idx_all", "scene_b_idx_all")).alias("side", "scene_idx"))
+    there = sides.join(mentions.select(*key, "scene_idx", "channel", "pos", "surface", "sentence"), [*key, "scene_idx"])
+    told = there.groupBy(*key, "side", "channel", "sentence").agg(F.min("pos").alias("pos")).where("sentence <> ''")
+    said = lambda channel, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("channel") == channel, F.struct("pos", "sentence")))), lambda s: s["sentence"]), 1, n)
+    contexts = told.groupBy(*key, "side").agg(F.concat(said("action", 3), said("dialogue", 2)).alias("context"))
+    named = there.where("side = 0").groupBy(*key, "surface").agg(F.count("*").alias("n")).groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("m"), "surface"))["surface"].alias("entity_surface"))
+    out = curated.join(named, key, "left").withColumn("entity_surface", F.coalesce("entity_surface", "entity")).withColumn("action_strength", F.col("action") * 5.0)
+    for side, letter in enumerate("ab"):
+        anchor = scenes.select(
+            "story_id", F.col("scene_idx").alias(f"scene_{letter}_idx_all"), F.col("scene_label_raw").alias(f"scene_{letter}_label_raw"), F.col("page_start").alias(f"page_{letter}"), F.col("heading").alias(f"heading_{letter}")
+        )
+        some = contexts.where(F.col("side") == side).select(*key, F.col("context").alias(f"context_{letter}"))
+        out = out.join(anchor, ["story_id", f"scene_{letter}_idx_all"], "left").join(some, key, "left").withColumn(f"context_{letter}", F.coalesce(f"context_{letter}", F.array().cast("array<string>")))
+    return out
+
+
 def lowered(c: Column) -> Column:
     return F.regexp_replace(T.strip(F.lower(c)), r"\s+", " ")
 
@@ -136,6 +160,20 @@ def inspect(summaries: DataFrame, entity: str | None = None, category: str | Non
     return out if top is None else out.limit(top)
 
 
+def printed(summaries: DataFrame, contexts: int = 6) -> DataFrame:
+    """Summaries with ``printed``, a text for people: name and gap, both anchors, the scores and up to so many contexts of each side (0: none)."""
+    shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
+    line = lambda template, **values: reduce(lambda text, item: F.replace(text, F.lit("{" + item[0] + "}"), shown(item[1])), values.items(), F.lit(template))
+    lines = [
+        F.lit("=" * 80), line("{n}  |  category={c}  |  gap={g}  |  score={s}", s="score", g="gap", c="category", n="name"),
+        *(line(f"Scene {x.upper()}: idx={{i}}  page={{p}}  heading={{h}}", i=f"scene_{x}", p=f"page_{x}", h=f"heading_{x}") for x in "ab"), line("Scores: action={a}  visual={v}  state={s}  conf={c}", a="action", v="visual", s="state", c="conf"),
+    ]
+    for x in "ab" if contexts else "":
+        some = F.slice(F.coalesce(f"context_{x}", F.array().cast("array<string>")), 1, contexts)
+        lines.append(F.when(F.size(some) > 0, F.concat(F.lit(f"\nContext {x.upper()}:\n"), F.array_join(F.transform(some, lambda c: F.concat(F.lit("  - "), c)), "\n"))))
+    return summaries.withColumn("printed", F.concat_ws("\n", *lines))
+
+
 def event_stats(summaries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Number of events, least, upper median and largest gap, number of categories."""
     keys = keys or []

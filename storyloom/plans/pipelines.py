@@ -1,13 +1,14 @@
 """The stages end to end, from pages and files to tables; models are passed in as plain functions on requests.
 
-A model function gets a list of requests (dicts with scene_idx, heading, text and, where it applies, channel or entity) and gives as many JSON texts. What
-it has answered is in a cache table ``(key, response)``; each stage also returns the rows to append to it. What a stage returns is written
+A model function gets a list of requests (dicts with prompt, scene_idx, heading, text and, where it applies, channel or entity) and gives as many JSON texts. What
+it has answered is in a cache table ``(key, response)``, keyed by the request and the name ``model``; each stage also returns the rows to append to it. What a stage returns is written
 to the shared checkpoint folder, so plans stay short and a model is asked once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,36 +45,49 @@ def _written(answers: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
     return checkpointed(answers), fresh
 
 
-def ask_channel(scenes: DataFrame, channel: str, ask: Model, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers for the scenes that have a text in the channel."""
+def ask_channel(scenes: DataFrame, channel: str, ask: Model, cache: DataFrame, model: str = "", tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Answers for the scenes that have a text in the channel; where ``tolerant``, null ones for those that the model fails on."""
+    told = {name: F.col(name) for name in ("scene_idx", "heading", "channel", "text")}
+    wording = annotate.prompt(annotate.SCENE_PROMPT if channel == "action" else annotate.CHANNEL_PROMPT, **told)
     text = F.col(f"{channel}_text")
     requests = told_channels(scenes).where(text != "").select("story_id", "scene_idx", "heading", F.lit(channel).alias("channel"), text.alias("text"))
-    return _written(*annotate.annotated(requests, cache, ask, ["scene_idx", "heading", "channel", "text"]))
+    return _written(*annotate.annotated(requests, cache, ask, list(told), model=model, wording=wording, tolerant=tolerant))
 
 
-def mine_stage1(scenes: DataFrame, ask: Model, cache: DataFrame, rules: ReappearanceRules = ReappearanceRules()) -> tuple[DataFrame, DataFrame]:
+def mine_stage1(scenes: DataFrame, ask: Model, cache: DataFrame, rules: ReappearanceRules = ReappearanceRules(), model: str = "") -> tuple[DataFrame, DataFrame]:
     """Scenes to ranked reappearances."""
-    answers, fresh = ask_channel(scenes, "action", ask, cache)
+    answers, fresh = ask_channel(scenes, "action", ask, cache, model)
     return checkpointed(mine_reappearances(annotate.scene_mentions(answers), scenes, rules)), fresh
 
 
-def build_scene_inventory(scenes: DataFrame, ask_action: Model, cache: DataFrame, ask_dialogue: Model | None = None, dialogue_mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
-    """Scenes to the merged objects of each, from action and dialogue; headings come with them."""
-    answers, fresh = ask_channel(scenes, "action", ask_action, cache)
+def build_scene_inventory(
+    scenes: DataFrame, ask_action: Model, cache: DataFrame, ask_dialogue: Model | None = None, dialogue_mode: str = "hybrid", model: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """Scenes to the merged objects of each, from action and dialogue; headings come with them.
+
+    In the mode ``hybrid`` a scene whose dialogue the model fails on, or answers with what can't be read, falls back to the patterns alone; in ``llm`` a failure
+    ends the job. The rows for the cache are those of both channels.
+    """
+    answers, fresh = ask_channel(scenes, "action", ask_action, cache, model)
     action = action_records(annotate.scene_mentions(answers))
+    added = [fresh]
 
-    def model(_: DataFrame) -> DataFrame:
-        said, _more = ask_channel(scenes, "dialogue", ask_dialogue, cache)
-        return annotate.spoken_mentions(said)
+    def spoken(_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        said, more = ask_channel(scenes, "dialogue", ask_dialogue, cache, model, tolerant=dialogue_mode == "hybrid")
+        added.append(more)
+        return annotate.spoken_mentions(said), annotate.unanswered(said)
 
     texts = told_channels(scenes).where("dialogue_text <> ''").select("story_id", "scene_idx", "dialogue_text")
-    return checkpointed(scene_inventory(action, dialogue_channel(texts, dialogue_mode, model if ask_dialogue else None))), fresh
+    merged = checkpointed(scene_inventory(action, dialogue_channel(texts, dialogue_mode, spoken if ask_dialogue else None)))
+    return merged, reduce(DataFrame.unionByName, added)
 
 
-def mine_climax(scenes: DataFrame, events: DataFrame, ask: Model, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each told scene's climax score by the model, from all of its lines, with the objects of its events."""
+def mine_climax(scenes: DataFrame, events: DataFrame, ask: Model, cache: DataFrame, story: str = "", model: str = "") -> tuple[DataFrame, DataFrame]:
+    """Each told scene's climax score by the model, from all of its lines and a summary of the ``story``, with the objects of its events."""
     requests = scenes.where("scene_idx_non_omitted >= 0").select("story_id", F.col("scene_idx_non_omitted").alias("scene_idx"), "heading", F.array_join("lines", "\n").alias("text"))
-    answers, fresh = _written(*annotate.annotated(requests, cache, ask, ["scene_idx", "heading", "text"]))
+    told = {name: F.col(name) for name in ("scene_idx", "heading", "text")}
+    named = f"{model}\n{story}" if story else model  # another summary is another request
+    answers, fresh = _written(*annotate.annotated(requests, cache, ask, list(told), model=named, wording=annotate.prompt(annotate.CLIMAX_PROMPT, story=F.lit(story), **told)))
     scores = answers.select("story_id", "scene_idx", F.from_json(annotate.json_part(F.col("response")), "climax_score int")["climax_score"].alias("climax_score"))
     return checkpointed(scene_climax(scenes, scores, events)), fresh
 
@@ -104,8 +118,8 @@ def segments_from_subtitles(candidates: DataFrame, total_scenes: DataFrame, subt
     return alignments, candidate_segments(candidates, alignments, **{k: v for k, v in how.items() if k not in keys})
 
 
-def mine_legacy(scenes: DataFrame, chunk: Callable[[str], list[dict]], curate: Model, cache: DataFrame, min_gap: int = 20, preselect: int = 200, include_dialogue: bool = True, **rules) -> tuple[DataFrame, DataFrame]:
-    """The older miner: noun chunks of blocks, rough gaps, curation by a model on up to eight contexts."""
+def mine_legacy(scenes: DataFrame, chunk: Callable[[str], list[dict]], curate: Model, cache: DataFrame, min_gap: int = 20, preselect: int = 200, include_dialogue: bool = True, model: str = "", **rules) -> tuple[DataFrame, DataFrame]:
+    """The older miner: noun chunks of blocks, rough gaps, curation by a model on up to eight contexts; the anchors' pages, headings and contexts come with each event."""
     told = scenes.where("scene_idx_non_omitted >= 0").select("story_id", "scene_idx", "scene_idx_non_omitted", F.posexplode(blocks_of(F.col("lines"))).alias("block", "b"))
     spoken = is_dialogue(F.col("b"))
     texts = told.select(
@@ -121,8 +135,9 @@ def mine_legacy(scenes: DataFrame, chunk: Callable[[str], list[dict]], curate: M
     told_by = F.struct(F.when(F.col("channel") == "action", 0).otherwise(1).alias("c"), "side", some.alias("x"))
     contexts = ends.join(store, ["story_id", "entity", "scene_idx"]).groupBy("story_id", "entity").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(told_by)), lambda s: s["x"])), 1, 8).alias("contexts"))
     requests = rough.join(contexts, ["story_id", "entity"], "left").select("story_id", "entity", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
-    answers, fresh = _written(*annotate.annotated(requests, cache, curate, ["entity", "contexts"]))
-    return legacy.curate(rough, annotate.curations(answers), **rules), fresh
+    wording = annotate.prompt(annotate.CURATION_PROMPT, entity=F.col("entity"), contexts=F.array_join("contexts", "\n"))
+    answers, fresh = _written(*annotate.annotated(requests, cache, curate, ["entity", "contexts"], model=model, wording=wording))
+    return legacy.event_rows(legacy.curate(rough, annotate.curations(answers), **rules), scenes, mentions), fresh
 
 
 __all__ = [

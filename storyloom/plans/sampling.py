@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.numeric import rounded
-from storyloom.functions.text import clock
+from storyloom.functions.text import clock, file_slug
 from storyloom.operators.joins import nearest
 from storyloom.operators.sequences import top_rows
 
@@ -51,8 +51,12 @@ def sample_frames(segments: DataFrame, frames: DataFrame, fps: float, base: int
     )
 
 
-def select_segments(segments: DataFrame) -> DataFrame:
-    """Each object's best segment: highest priority, then confidence, then earliest start."""
+def select_segments(segments: DataFrame, object_id: str | None = None, segment_id: str | None = None) -> DataFrame:
+    """Each object's best segment: highest priority, then confidence, then earliest start; of one object, or the segment of that name, if given."""
+    if object_id is not None:
+        segments = segments.where(F.col("object_id") == object_id)
+    if segment_id is not None:
+        segments = segments.where(F.col("segment_id") == segment_id)
     return top_rows(segments, ["story_id", "object_id"], [F.desc("priority_score"), F.desc("alignment_confidence_max"), F.asc("segment_start_sec"), F.asc("segment_id")], 1)
 
 
@@ -88,11 +92,33 @@ def dense_times(start: Column, end: Column, every_sec: float) -> Column:
     return F.when(end == start, F.array(rounded(start, 3))).when(F.abs(F.element_at(times, -1) - end) > 1e-3, F.concat(times, F.array(rounded(end, 3)))).otherwise(times)
 
 
-def review_plan(segments: DataFrame, radius_sec: float, every_sec: float, fps: float, duration_sec: float) -> DataFrame:
-    """For each object's best segment its review window, the moments and video frames to look at, and the sheet of 20 each goes to."""
-    best = select_segments(segments).withColumn("w", centered_window(F.col("segment_start_sec"), F.col("segment_end_sec"), radius_sec, duration=F.lit(float(duration_sec))))
-    moments = best.select("story_id", "object_id", "segment_id", "w", F.posexplode(dense_times(F.col("w.window_start_sec"), F.col("w.window_end_sec"), every_sec)).alias("sample_index", "timestamp_sec"))
+def _moments(windows: DataFrame, keys: list[str], every_sec: float, fps: float, duration_sec: float) -> DataFrame:
+    """The moments of each window ``w``, their video frames within the film, and the sheet of 20 each goes to."""
+    moments = windows.select(*keys, "w", F.posexplode(dense_times(F.col("w.window_start_sec"), F.col("w.window_end_sec"), every_sec)).alias("sample_index", "timestamp_sec"))
     return moments.select(
-        "story_id", "object_id", "segment_id", "w.*", "sample_index", "timestamp_sec", F.least(frame_index(F.col("timestamp_sec"), fps), F.lit(max(int(duration_sec * fps) - 1, 0))).alias("frame_index"),
+        *keys, "w.*", "sample_index", "timestamp_sec", F.least(frame_index(F.col("timestamp_sec"), fps), F.lit(max(int(duration_sec * fps) - 1, 0))).alias("frame_index"),
         F.floor(F.col("sample_index") / 20).cast("int").alias("sheet"),
     )
+
+
+def review_plan(
+    segments: DataFrame, radius_sec: float, every_sec: float, fps: float, duration_sec: float, object_id: str | None = None, segment_id: str | None = None, center_sec: float | None = None
+) -> DataFrame:
+    """For each object's best segment, or the one named, its review window (about ``center_sec`` if given) and the moments to look at."""
+    center = None if center_sec is None else F.lit(float(center_sec))
+    best = select_segments(segments, object_id, segment_id).withColumn("w", centered_window(F.col("segment_start_sec"), F.col("segment_end_sec"), radius_sec, center, F.lit(float(duration_sec))))
+    return _moments(best, ["story_id", "object_id", "segment_id"], every_sec, fps, duration_sec)
+
+
+def explicit_plan(windows: DataFrame, fps: float, duration_sec: float, every_sec: float = 0.5) -> DataFrame:
+    """The moments to look at of ``windows(label, start_sec, end_sec)`` set by hand; a window with nothing left within the film has none."""
+    set_by_hand = windows.withColumn("w", explicit_window(F.col("start_sec"), F.col("end_sec"), F.lit(float(duration_sec)))).where("w is not null")
+    return _moments(set_by_hand, ["label"], every_sec, fps, duration_sec)
+
+
+def clip_plan(windows: DataFrame, fps: float, duration_sec: float, out_dir: str) -> DataFrame:
+    """``(label, window, first_frame, last_frame, output_path)``: the clip of each window set by hand, both end frames included."""
+    set_by_hand = windows.withColumn("w", explicit_window(F.col("start_sec"), F.col("end_sec"), F.lit(float(duration_sec)))).where("w is not null")
+    last = max(int(duration_sec * fps) - 1, 0)
+    at = lambda c: F.least(frame_index(F.col(f"w.{c}"), fps), F.lit(last))
+    return set_by_hand.select("label", "w.*", at("window_start_sec").alias("first_frame"), at("window_end_sec").alias("last_frame"), F.concat(F.lit(f"{out_dir.rstrip('/')}/clip/"), file_slug(F.col("label")), F.lit(".mp4")).alias("output_path"))

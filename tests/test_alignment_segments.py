@@ -137,3 +137,14 @@ def test_best_segment_and_plan(spark):
     assert [r.segment_id for r in sampling.select_segments(seg).collect()] == ["c"]
     plan = sampling.review_plan(seg, 2.0, 0.1, 24.0, 60.0).orderBy("sample_index").collect()
     assert plan[0].timestamp_sec == 18.0 and plan[-1].timestamp_sec == 22.0 and plan[20].sheet == 1
+    named = sampling.review_plan(seg, 2.0, 1.0, 24.0, 60.0, segment_id="a", center_sec=30.0)
+    assert {(r.segment_id, r.center_sec, r.window_start_sec, r.window_end_sec) for r in named.collect()} == {("a", 30.0, 28.0, 32.0)} and sampling.review_plan(seg, 2.0, 1.0, 24.0, 60.0, object_id="none").count() == 0
+
+
+def test_windows_set_by_hand(spark):
+    windows = spark.createDataFrame([("The Hat", 4976.0, 4987.0), ("beyond", 12000.0, 12001.0), ("turned", 5.0, 4.0)], "label string, start_sec double, end_sec double")
+    rows = sampling.explicit_plan(windows, 24.0, 10000.0).orderBy("sample_index").collect()
+    assert len(rows) == 23 and {(r.label, r.center_sec, r.window_start_hhmmss, r.window_end_hhmmss) for r in rows} == {("The Hat", 4981.5, "01:22:56", "01:23:07")}
+    assert [rows[i].frame_index for i in (0, 1, 22)] == [119424, 119436, 119688] and [r.sheet for r in rows].count(1) == 3
+    clip = sampling.clip_plan(windows, 24.0, 10000.0, "/out/").collect()
+    assert [(r.first_frame, r.last_frame, r.output_path) for r in clip] == [(119424, 119688, "/out/clip/the_hat.mp4")]

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from storyloom.plans import pipelines as P
 from storyloom.plans.candidates import CandidateRules
 from storyloom.plans.reappearance import ReappearanceRules
-from storyloom.sources.video import contact_sheets, continuous_frames, frames_at, video_metadata
+from storyloom.sources.video import contact_sheets, continuous_frames, frames_at, video_metadata, write_clips, write_frames, write_sheets
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
 
@@ -78,6 +78,9 @@ def test_older_miner(spark):
 
     out, _ = P.mine_legacy(scenes, chunk, curate, P.empty_cache(spark), min_gap=3)
     assert [(r.entity, r.canonical_name, r.gap_jump, r.scene_a_idx_all, r.scene_b_idx_all) for r in out.collect()] == [("diary", "Diary", 4, 1, 6)]
+    r = out.first()
+    assert (r.entity_surface, r.scene_a_label_raw, r.page_a, r.heading_b, r.action_strength) == ("the diary", "2", 1, "INT. ROOM 6 - DAY", 4.5)
+    assert (r.context_a, r.context_b) == (["The diary lies here.", "Where is the diary?"], ["Where is the diary?"])
 
 
 class Film:
@@ -97,3 +100,43 @@ def test_video_boundary(spark):
     assert sorted((r.frame_index, bytes(r.image)) for r in frames_at(plan, Film).collect()) == [(47, b"a:47"), (48, b"a:48"), (49, b"a:49"), (50, b"a:49"), (51, b"a:49"), (52, b"a:49")]
     many = spark.createDataFrame([("o", i, i * 2) for i in range(45)], "o string, sample_index int, frame_index int")
     assert [len(r.frame_indices) for r in contact_sheets(many, ["o"]).orderBy("sheet").collect()] == [20, 20, 5]
+
+
+def test_exports(spark, tmp_path):
+    def encode(images, fps, path):
+        with open(path, "wb") as f:
+            f.write(b",".join(images) + str(fps).encode())
+
+    film = str(tmp_path / "clip" / "a.mp4")
+    clips = spark.createDataFrame([("a", 47, 60, film)], "path string, first_frame int, last_frame int, output_path string")
+    assert [(r.fps, r.frames) for r in write_clips(clips, Film, encode).collect()] == [(10.0, 3)]
+    assert (tmp_path / "clip" / "a.mp4").read_bytes() == b"a:47,a:48,a:4910.0" and len(list((tmp_path / "clip").iterdir())) == 1
+    sheets = spark.createDataFrame([("a", [1, 99], str(tmp_path / "sheets" / "0.jpg"))], "path string, frame_indices array<int>, output_path string")
+    assert write_sheets(sheets, Film, b"|".join).first().frames == 2 and (tmp_path / "sheets" / "0.jpg").read_bytes() == b"a:1|a:49"
+    frames = spark.createDataFrame([(bytearray(b"xy"), str(tmp_path / "f" / "1.jpg"))], "image binary, output_path string")
+    assert write_frames(frames).first().bytes == 2 and (tmp_path / "f" / "1.jpg").read_bytes() == b"xy"
+
+
+def test_one_scene_falls_back_alone(spark):
+    scenes = P.parse_scenes(spark.createDataFrame([("s", 1, SCRIPT)], "story_id string, page_no int, text string"))
+    cache = P.empty_cache(spark)
+
+    def spoken(requests):
+        assert all(r["text"] in r["prompt"] and r["heading"] in r["prompt"] for r in requests)
+        if any(r["scene_idx"] == 5 for r in requests):
+            raise RuntimeError("no answer")
+        one = {"canonical_name": "chalice", "surface_forms": [], "category": "artifact", "physical_visualizable": True, "direct_visual_evidence": False, "mention_strength": 0.5, "confidence": 0.5, "evidence": []}
+        return ["not json" if r["scene_idx"] == 8 else json.dumps({"entities": [one]}) for r in requests]
+
+    objects, fresh = P.build_scene_inventory(scenes, ask, cache, spoken, "hybrid", model="one")
+    found = {(r.scene_idx, r.object_id) for r in objects.where("array_contains(source_channels, 'dialogue')").collect()}
+    assert {i for i, o in found if o == "chalice"} == set(range(10)) - {5, 8}  # the model answers for all but two scenes
+    assert {i for i, o in found if o == "diary"} == {5, 8}  # which fall back to the patterns
+    assert fresh.count() == 19  # ten of action, ten of dialogue less the one without an answer
+    known = {r.key for r in fresh.collect()}
+    _, again = P.build_scene_inventory(scenes, ask, fresh, spoken, "hybrid", model="one")
+    assert again.count() == 0
+    _, other = P.mine_stage1(scenes, ask, fresh, model="two")  # another model answers for itself
+    assert other.count() == 10 and not known & {r.key for r in other.collect()}
+    with pytest.raises(Exception, match="no answer"):
+        P.build_scene_inventory(scenes, ask, cache, spoken, "llm")

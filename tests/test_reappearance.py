@@ -195,3 +195,11 @@ def test_running_gaps_stream(spark, tmp_path):
         q.stop()
     last = {r.entity: r for r in spark.sql("select * from running_gaps_out").orderBy("last_scene").collect()}
     assert (last["ring"].gap_jump, last["ring"].scene_a, last["ring"].scene_b, last["ring"].late) == (16, 4, 20, 1) and last["cup"].gap_jump == -1
+
+
+def test_event_text(spark):
+    rows = [("Ring", 30, 1, 31, ["a", "b"])]
+    e = spark.createDataFrame(rows, "canonical_name string, gap_jump int, scene_a int, scene_b int, context_a array<string>")
+    full, short = (legacy.printed(legacy.event_summaries(e), n).first().printed.split("\n") for n in (1, 0))
+    assert short == ["=" * 80, "Ring  |  category=unknown  |  gap=30  |  score=None", "Scene A: idx=1  page=None  heading=", "Scene B: idx=31  page=None  heading=", "Scores: action=None  visual=None  state=None  conf=None"]
+    assert full == [*short, "", "Context A:", "  - a"]
