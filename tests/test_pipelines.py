@@ -7,7 +7,8 @@ import pytest
 from pyspark import cloudpickle
 
 from storyloom.plans import pipelines as P
-from storyloom.plans.candidates import CandidateRules
+from storyloom.plans.alignment import alignment_meta
+from storyloom.plans.candidates import CandidateRules, candidate_meta, inventory_groups
 from storyloom.plans.reappearance import ReappearanceRules
 from storyloom.sources.video import contact_sheets, continuous_frames, frames_at, video_metadata, write_clips, write_frames, write_sheets
 
@@ -50,6 +51,11 @@ def test_script_to_segments(spark):
     alignments, segments = P.segments_from_subtitles(found, total, subs, search_radius_sec=100.0, neighborhood=0, per_object=2)
     rows = alignments.where("object_id = 'diary'").orderBy("alignment_index").collect()
     assert [r.matched_subtitle_indices for r in rows] == [[1], [], [8]] and {r.segment_role for r in segments.where("object_id = 'diary'").collect()} == {"setup", "payoff"}
+    m = alignment_meta(found, subs, alignments).first()
+    assert (m.scene_candidates_considered, m.subtitle_segments, m.subtitle_windows, m.alignments_returned, m.movie_duration_sec) == (found.count(), 10, 10, alignments.count(), 545.0)
+    c = candidate_meta(events, inventory_groups(objects, headings), headings, peaks, found).first()
+    assert (c.stage1_events_considered, c.scene_inventory_summaries_considered, c.scene_climax_summaries_considered) == (1, 10, 10)
+    assert c.candidates_returned == found.count() == sum(c.candidate_source_counts.values()) and c.candidate_source_counts["inventory_with_stage1_prior"] == 1 and c.inventory_groups_considered >= 2
     with pytest.raises(ValueError):
         P.segments_from_subtitles(found, total, subs.limit(0))
 
