@@ -13,6 +13,54 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS h FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(units[1:a], ''), '') AS p, coalesce(array_to_string(units[a + 1:b], ''), '') AS m, coalesce(array_to_string(units[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM f
+"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text of ASCII characters, four bits at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    nibbles = f"flatten([[ascii({text}[i]) & 15, ascii({text}[i]) >> 4] for i in range(1, length({text}) + 1)])"
+    step = f"xor({table}[CAST(xor(c, k) & 15 AS INTEGER) + 1], c >> 4)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {nibbles}::BIGINT[]), lambda c, k: {step}), 4294967295)"
+
+
+def merkle() -> str:
+    """Lists of nodes level by level, and each row's way up through them, first within its source and then over the sources."""
+    shown = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    rest, text = " || ".join(shown(c) for c in ("doc_id", "source", "lang", "n_chars")), shown("text")
+    above = "[sha256(array_to_string(nodes[i + 1:i + 3], '')) for i in range(0, len(nodes), 3)]"
+    left, right = "array_to_string(u.nodes[w.pos // 3 * 3 + 1:w.pos], '')", "array_to_string(u.nodes[w.pos + 2:w.pos // 3 * 3 + 3], '')"
+    step = f"w.pos // 3, sha256({left} || w.node || {right}), sha256({left} || w.forged || {right}), w.proof || {left} || {right}"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({rest} || {text}) AS leaf,
+  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN sha256({rest} || {text.replace("text", "replace(text, chr(10), '')")}) ELSE sha256({rest} || {text}) END AS forged FROM documents),
+r AS (SELECT *, coalesce('s' || source, '-') AS tree, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS pos, row_number() OVER () AS row FROM d),
+up(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM r GROUP BY tree UNION ALL SELECT tree, level + 1, {above} FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT tree, nodes[1] AS subroot, CAST(row_number() OVER (ORDER BY tree) - 1 AS BIGINT) AS pos FROM up WHERE len(nodes) = 1),
+top(level, nodes) AS (SELECT 0, list(subroot ORDER BY pos) FROM subroots UNION ALL SELECT level + 1, {above} FROM top WHERE len(nodes) > 1),
+walk(row, tree, level, pos, node, forged, proof) AS (SELECT row, tree, 0, pos, leaf, forged, '' FROM r
+  UNION ALL SELECT w.row, w.tree, w.level + 1, {step} FROM walk w JOIN up u ON u.tree = w.tree AND u.level = w.level AND len(u.nodes) > 1),
+ends AS (SELECT w.row, s.pos, w.node, w.forged, w.proof, s.subroot FROM walk w JOIN up u ON u.tree = w.tree AND u.level = w.level AND len(u.nodes) = 1 JOIN subroots s ON s.tree = w.tree),
+climb(row, level, pos, node, forged, proof) AS (SELECT row, 0, pos, node, forged, proof FROM ends
+  UNION ALL SELECT w.row, w.level + 1, {step} FROM climb w JOIN top u ON u.level = w.level AND len(u.nodes) > 1),
+roots AS (SELECT level, nodes[1] AS root FROM top WHERE len(nodes) = 1)
+SELECT r.doc_id, r.leaf, e.subroot, t.root, sha256(c.proof) AS proof_sha256, c.forged AS folded_root, c.forged = t.root AS verified
+FROM climb c JOIN roots t ON t.level = c.level JOIN r ON r.row = c.row JOIN ends e ON e.row = c.row
+"""
+
+
 def _weight(label: str, weights: dict[str, int] | None) -> str:
     return "CASE " + " ".join(f"WHEN {label} = '{k}' THEN {w}" for k, w in (weights or {}).items()) + " ELSE 1 END" if weights else "1"
 

@@ -13,11 +13,14 @@ from storyloom.llm import oracles
 from storyloom.llm.bpe import coding_digests
 from storyloom.llm.chat_tools import linked_calls
 from storyloom.llm.exact_dedup import exact_duplicates
+from storyloom.llm.fim import fill_in_middle, restored
 from storyloom.llm.html_text import main_text
 from storyloom.llm.language_id import held_out as language_held_out
 from storyloom.llm.language_id import identified, learned
 from storyloom.llm.media import text_media
+from storyloom.llm.merkle import merkle_manifest, without_line_ends
 from storyloom.llm.mixing import mix
+from storyloom.llm.packing import packed
 from storyloom.llm.quality import held_out, scored, trained
 from storyloom.llm.simhash import simhash_components
 from storyloom.llm.url_rules import judged, mined_rules, url_parts
@@ -127,6 +130,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, URL_RULES, mined_rules(labelled))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle_manifest(read_table(spark, sf_dir, "documents"), without_line_ends())
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -139,12 +158,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_chat_tools": op9_chat_tools,
         "op10_url_filter": op10_url_filter,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": oracles.EXACT_DEDUP,
+        "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+        "op13_merkle_manifest": oracles.merkle(),
         "op9_chat_tools": oracles.chat_tools(NEEDS),
         "op8_mixing": oracles.mixing(MIX_WEIGHTS, MIX_PERMILLE, MIX_EPOCHS, MIX_SEED),
     }
