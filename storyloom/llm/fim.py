@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.session import checkpointed
-
 #: Marks of prefix, suffix and middle, and the pattern of a unit.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNIT = "[A-Za-z]+|[^A-Za-z]"
@@ -49,19 +47,26 @@ def _rows(docs: DataFrame, seed: int, plain_from: int, spm_below: int) -> DataFr
 def _key(docs: DataFrame) -> Column:
     """16 bytes of a digest of doc_id and text."""
     shown = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return F.substring(F.unhex(F.sha2(shown, 256)), 1, 16)
+    return F.coalesce(F.substring(F.unhex(F.sha2(shown, 256)), 1, 16), F.lit(b""))  # never null, which spares a filter
+
+
+def _once(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each key, dealt out by key; rows that repeat are one before they are dealt."""
+    return rows.groupBy("key").agg(F.first(F.struct(*columns)).alias("r")).select("key", "r.*")
 
 
 def _offsets(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """``(key, end_1, end_2)``: the characters before the two cuts."""
-    lengths = rows.where("form <> 'plain'").select("key", F.posexplode(F.transform("stretches", lambda s: F.length(s))).alias("stretch", "chars"))
-    lengths = lengths.groupBy("key", "stretch").agg(F.max("chars").alias("chars"))  # rows that repeat
-    before = F.coalesce(F.sum("chars").over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stretches = lengths.select(F.col("key").alias("k"), "stretch", before.cast("long").alias("before"))
+    """``(key, end_1, end_2)``: the characters before the two cuts. Every step after the two that ``_once`` deals out keeps to the partitions by key."""
+    asked = rows.where("form <> 'plain'").withColumn("lengths", F.transform(F.slice("stretches", F.lit(1), F.expr(f"cast(cut_2 div {STRETCH} as int) + 1")), lambda s: F.length(s)))
+    lengths = _once(asked, "lengths").select(F.col("key").alias("k"), F.posexplode("lengths").alias("stretch", "chars"))
+    before = F.coalesce(F.sum("chars").over(Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = lengths.select("k", "stretch", before.cast("long").alias("before"))
     # a cut is asked for by the ordinal of the last unit before it; a cut before the first unit is at 0
     cuts = requests.where("form <> 'plain'").select("key", F.explode(F.array(*(F.struct(F.lit(i).alias("cut"), (F.col(f"cut_{i}") - 1).alias("unit"), F.col(f"text_{i}").alias("text")) for i in (1, 2)))).alias("c"))
     cuts = cuts.select("key", "c.*").where("unit >= 0")
-    met = cuts.join(stretches, (F.col("key") == F.col("k")) & (F.expr(f"unit div {STRETCH}") == F.col("stretch")))
+    # two inequalities, since an equality on the ordinal would be dealt out by
+    first = F.col("stretch") * STRETCH
+    met = cuts.join(stretches, (F.col("key") == F.col("k")) & (F.col("unit") >= first) & (F.col("unit") < first + STRETCH))
     units = met.select("key", "cut", "unit", "before", "stretch", F.posexplode(_matches(F.col("text"), UNIT)).alias("at", "match"))
     upto = F.sum(F.length("match")).over(Window.partitionBy("key", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     ends = units.select("key", "cut", "unit", (F.col("stretch") * STRETCH + F.col("at")).alias("ordinal"), (F.col("before") + upto).alias("end")).where("ordinal = unit")
@@ -77,14 +82,15 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, plain_from: int = 90, spm_bel
     cut each by its own text. An empty table gives an empty result; other columns are ignored.
     """
     rows = _rows(docs.select("doc_id", "text"), seed, plain_from, spm_below)
-    held = [F.try_element_at("stretches", F.expr(f"cast(greatest(cut_{i} - 1, 0) div {STRETCH} + 1 as int)")).alias(f"text_{i}") for i in (1, 2)]
-    requests = checkpointed(rows.select("key", "n", "form", "cut_1", "cut_2", *held).distinct())
+    held = {f"text_{i}": F.try_element_at("stretches", F.expr(f"cast(greatest(cut_{i} - 1, 0) div {STRETCH} + 1 as int)")) for i in (1, 2)}
+    requests = _once(rows.withColumns(held), "n", "form", "cut_1", "cut_2", *held)
     ends = _offsets(rows, requests).withColumnRenamed("key", "of")
     known = requests.join(ends, F.col("key") == F.col("of"), "left").select(
-        F.col("key").alias("of_key"), "n", "form", *(F.when(F.col("form") != "plain", F.coalesce(f"end_{i}", F.lit(0))).cast("long").alias(f"end_{i}") for i in (1, 2))
+        F.xxhash64("key").alias("of_hash"), F.col("key").alias("of_key"), "n", "form", *(F.when(F.col("form") != "plain", F.coalesce(f"end_{i}", F.lit(0))).cast("long").alias(f"end_{i}") for i in (1, 2))
     )
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _key(docs).alias("key"))
-    met = texts.join(known, F.col("key") == F.col("of_key"))
+    # on a hash beside the key: both sides are dealt out anew, and AQE can split the texts of rows that repeat
+    met = texts.join(known, (F.xxhash64("key") == F.col("of_hash")) & (F.col("key") == F.col("of_key")))
     part = lambda begin, end: F.substring(F.col("text"), begin + 1, end - begin)
     whole, first, second = F.length("text"), F.col("end_1").cast("int"), F.col("end_2").cast("int")
     prefix, middle, suffix = part(F.lit(0), first), part(first, second), part(second, whole)
