@@ -114,8 +114,8 @@ def _with_paths(blocks: DataFrame, levels: int, known, between: DataFrame | None
 
     The path of a block's node comes from the broadcast ``known``, or where that is too large from ``between(tree, pos, lefts, rights)``.
     """
-    size, arrow = ARITY**levels, to_arrow_schema(StructType.fromDDL(schema))
-    if between is not None:
+    size, arrow, direct = ARITY**levels, to_arrow_schema(StructType.fromDDL(schema)), between is None
+    if not direct:
         group = F.concat(F.col("tree"), F.lit(":"), F.col("pos").cast("string"))
         heads = between.select(group.alias("group"), "tree", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), "lefts", "rights")
         blocks = blocks.unionByName(heads, allowMissingColumns=True).repartition("group").sortWithinPartitions("group", "pos")
@@ -125,7 +125,7 @@ def _with_paths(blocks: DataFrame, levels: int, known, between: DataFrame | None
             out = []
             for _, group in groupby(t.to_pylist(), key=lambda r: r["group"]):
                 rows = list(group)
-                if between is None:
+                if direct:
                     above = known.value[rows[0]["tree"], rows[0]["block"]]
                 else:
                     head, rows = rows[0], rows[1:]

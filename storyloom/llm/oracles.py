@@ -45,7 +45,7 @@ def merkle() -> str:
     step = f"w.pos // 3, sha256({left} || w.node || {right}), sha256({left} || w.forged || {right}), w.proof || {left} || {right}"
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, sha256({rest} || {text}) AS leaf,
-  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN sha256({rest} || {text.replace("text", "replace(text, chr(10), '')")}) ELSE sha256({rest} || {text}) END AS forged FROM documents),
+  CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN sha256({rest} || {text.replace("text", "replace(text, chr(10), '')")}) ELSE sha256({rest} || {text}) END AS forged FROM documents),
 r AS (SELECT *, coalesce('s' || source, '-') AS tree, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS pos, row_number() OVER () AS row FROM d),
 up(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM r GROUP BY tree UNION ALL SELECT tree, level + 1, {above} FROM up WHERE len(nodes) > 1),
 subroots AS (SELECT tree, nodes[1] AS subroot, CAST(row_number() OVER (ORDER BY tree) - 1 AS BIGINT) AS pos FROM up WHERE len(nodes) = 1),
