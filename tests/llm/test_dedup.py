@@ -43,6 +43,21 @@ def test_exact_odd_texts_match_sql(spark, tables, oracle):
     assert r[8].text_sha256 == hashlib.sha256(("x" * 50000).encode()).hexdigest() and r[8].keep_id == 9 and r[10].kept
 
 
+def test_no_letter_beyond_ascii_is_lowered(spark):
+    """Every code point, alone and beside a capital, by itself and through the whole operator."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = spark.createDataFrame([(c, chr(c) + "Zz") for c in points], "c int, t string").repartition(8)
+    wrong = texts.where(ascii_lower(F.col("t")) != F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    assert wrong.count() == 0 and texts.count() == len(points)
+
+
+def test_texts_that_newer_letters_tell_apart_stay(spark):
+    pairs = [("Ⱟ y", "ⱟ y"), ("Ꟁ", "ꟁ"), ("Ʂ", "ʂ"), ("ẞ", "ß"), ("\U00010570", "\U00010597"), ("Ა", "ა"), ("Ä", "ä")]
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = exact_duplicates(docs(spark, rows)).collect()
+    assert all(r.kept and r.group_size == 1 for r in got) and len(got) == len(rows)
+
+
 def test_exact_with_forced_digest_collisions(spark):
     r = random.Random(3)
     rows = [(i, "".join(r.choice("ab. \n") for _ in range(r.randrange(0, 200)))) for i in range(120)]
