@@ -182,32 +182,34 @@ def held_out(doc_id: Column) -> Column:
 def learned(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, long_rows: int = LONG_ROWS) -> Profiles:
     """Profiles learned from ``docs(doc_id, lang, text, ...)``: rows with a language and a text that aren't held out.
 
-    The sample is bounded: of each language the ``rows`` rows of least hashed doc_id among those of at most
-    ``most_bytes`` bytes; of a language all of whose rows are longer its ``long_rows`` shortest ones, whole. Rows are counted first and only a stretch of
-    the hash range about the limit is ranked, so a frequent language moves no more than a rare one. Other columns are ignored.
+    The sample is bounded: of each language the ``rows`` different rows of least hash (of doc_id and text) among those of at most
+    ``most_bytes`` bytes; of a language all of whose rows are longer its ``long_rows`` shortest ones, whole. Rows that repeat count once, rows that share a doc_id only count each. Different rows are
+    counted first, by a sketch, and only a stretch of the hash range that holds twice as many as wanted is ranked, so a frequent language moves no more than a rare one. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sized = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("bytes"))
+    mark = F.xxhash64("doc_id", "text")
+    sized = known.select("doc_id", "lang", mark.alias("h"), F.octet_length("text").alias("bytes"))
     short = F.col("bytes") <= most_bytes
     # one row for each language
-    counts = {r["lang"]: r["n"] for r in sized.groupBy("lang").agg(F.count_if(short).alias("n")).toLocalIterator()}
+    counts = {r["lang"]: r["n"] for r in sized.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.col("h"))).alias("n")).toLocalIterator()}
     if not counts:
         return profiles([])
     # a share of the hash range that holds twice the rows wanted, and 100 more; of these the least are taken
     edge = lambda n: -(1 << 63) + min((1 << 64) - 1, (2 * rows + 100) * (1 << 64) // n)
     edges = F.create_map(*(x for lang, n in counts.items() if n for x in (F.lit(lang), F.lit(edge(n)))), *((F.lit(""), F.lit(0).cast("long")) if not any(counts.values()) else ()))
-    near = sized.where(short & (F.col("h") <= F.try_element_at(edges, F.col("lang"))))
+    row = ["doc_id", "lang", "h", "bytes"]
+    near = sized.where(short & (F.col("h") <= F.try_element_at(edges, F.col("lang")))).select(*row).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = near.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "lang", "bytes")
+    picked = near.withColumn("place", place).where(F.col("place") <= rows).select(*row)
     if any(n == 0 for n in counts.values()):
         by_size = F.row_number().over(Window.partitionBy("lang").orderBy("bytes", "h", "doc_id"))
-        long = sized.where(F.col("lang").isin([lang for lang, n in counts.items() if not n])).withColumn("place", by_size)
-        picked = picked.union(long.where(F.col("place") <= long_rows).select("doc_id", "lang", "bytes"))
-    picked = picked.select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang"), F.col("bytes").alias("of_bytes")).distinct()
-    # at most ``rows`` rows for each language
-    same = (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang")) & (F.octet_length("text") == F.col("of_bytes"))
-    sample = docs.join(F.broadcast(picked), same)
+        long = sized.where(F.col("lang").isin([lang for lang, n in counts.items() if not n])).select(*row).distinct().withColumn("place", by_size)
+        picked = picked.union(long.where(F.col("place") <= long_rows).select(*row))
+    picked = picked.select(*(F.col(c).alias(f"of_{c}") for c in row))
+    # at most ``rows`` rows for each language, and of rows that repeat one
+    same = (F.col("doc_id") == F.col("of_doc_id")) & (F.col("lang") == F.col("of_lang")) & (F.octet_length("text") == F.col("of_bytes")) & (mark == F.col("of_h"))
+    sample = docs.join(F.broadcast(picked), same).groupBy("doc_id", "lang", "of_h").agg(F.first("text").alias("text"))
     return profiles(sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").toLocalIterator()))
 
 

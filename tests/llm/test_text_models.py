@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import struct
 import zlib
+from collections import Counter
+from unittest.mock import patch
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +98,58 @@ def test_language_learns_from_allowed_rows_only(spark):
     assert len(learned(spark.createDataFrame([r for r in rows if r[2] == "en"] * 30, DOCS), rows=5).languages) == 1
 
 
+def spark_hash(doc_id, text):
+    h = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def answers_by_hand(rows, most):
+    """Sample, profiles and answers by their definitions."""
+    sample = []
+    free = {(i, lang, t) for i, t, lang in rows if i is not None and lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    for lang in {x[1] for x in free}:
+        sample += sorted((x for x in free if x[1] == lang), key=lambda x: (spark_hash(x[0], x[2]), x[0]))[:most]
+    letters = Counter(c for _, _, t in sample for run in runs(t) for c in run)
+    alphabet = {c: 3 + k for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:250])}
+
+    def ranks(texts):
+        counts = Counter()
+        for run in (run for t in texts for run in runs(t)):
+            s = [1, *(alphabet.get(c, 2) for c in run), 1]
+            counts.update(bytes(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != [1])
+        return {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], int.from_bytes(g, "big")))[:LENGTH])}
+
+    known = {lang: ranks([t for _, of, t in sample if of == lang]) for lang in sorted({x[1] for x in sample})}
+    for i, t, _ in rows:
+        own = ranks([t or ""])
+        far = sorted((sum(abs(p[g] - k) if g in p else LENGTH for g, k in own.items()), lang) for lang, p in known.items())
+        yield (i, far[0][1], 1 - far[0][0] / (far[1][0] if len(far) > 1 else len(own) * LENGTH)) if own and far else (i, "und", 0.0)
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_language_query_by_hand(spark, most):
+    r = random.Random(8)
+    words = {"en": "the and of cat Dog house".split(), "de": "der und die Öl Straße nicht".split(), "fr": "le été chat où les sont".split()}
+    rows = [(r.choice([i, 7, 8, 9]), " ".join(r.choices(words[lang], k=r.choice([2, 9, 30]))), r.choice([lang, lang, None])) for i in range(160) for lang in words]
+    rows += rows[:40] * 3 + [(1, None, "en"), (2, "", None), (3, "1 2", "de"), (None, "the cat", "en")]
+    d = spark.createDataFrame([(i, t, lang, "s", 0.0) for i, t, lang in rows], DOCS).repartition(5)
+    got = [(x.doc_id, x.lang_pred, round(x.score, 9)) for x in identified(d, learned(d, rows=most)).collect()]
+    assert sorted(got, key=repr) == sorted(((i, lang, round(max(0.0, min(1.0, s)), 9)) for i, lang, s in answers_by_hand(rows, most)), key=repr)
+
+
+def test_repeated_ids_neither_fill_nor_empty_the_sample(spark):
+    """20,000 rows of one doc_id, equal ones and different ones, beside a few of another language."""
+    for i in (1, 2, 3, 4, 5):
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        same = spark.range(20000).select(F.lit(i).alias("doc_id"), F.lit("the and of").alias("text"), F.lit("en").alias("lang"))
+        other = spark.range(20000).select(F.lit(i).alias("doc_id"), F.concat(F.lit("der und "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+        assert learned(same).languages == ["en"]
+        with patch("storyloom.llm.language_id.profiles", side_effect=list) as seen:
+            sample = learned(same.union(other))
+            assert seen.called and Counter(lang for lang, _ in sample) == {"en": 1, "de": 400}
+
+
 def test_language_held_out_accuracy(spark):
     got = Q.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.where("lang_pred = lang").count() / got.count() > 0.98
