@@ -10,10 +10,14 @@ at least. The matches, runs of ranks on both sides, are broadcast, and each piec
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,32 @@ from storyloom.llm.arrow import rows_of
 from storyloom.llm.ranks import ranked
 
 #: Characters that are split into words at a time, and bytes of remembered words in a worker.
-BLOCK, REMEMBERED = 1 << 20, 64 << 20
+BLOCK, REMEMBERED = 1 << 18, 192 << 20
+#: The settings of the vocabulary whose texts are encoded word by word, and its runs in lower-case text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+WORD_END = "</w>"
+RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
+#: Spaces and words of printable ASCII and of the letters of Latin-1 with marks, whose classes and lower cases never differ.
+PLAIN = re.compile(r"[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _workers: dict[str, Words] = {}
 RANK_BITS = 44
 SHARES = (1.0, 0.5, 0.25, 0.125)
 
 
 class Words:
-    """Ids of texts; between spaces and line ends a text's words are encoded by the library once, as nothing that it does reaches over them."""
+    """Ids of texts, equal to the library's.
+
+    Where the vocabulary drops white space, nothing that the library does reaches over a space or a line end, so the words between them are encoded once and remembered. A new word
+    is cut into the runs that the library would cut it into, if it has none but letters that lower-case one by one, and runs are remembered too; new runs are encoded in one call, as a text of theirs,
+    and told apart by the tokens that end a word. Any other word goes to the library whole. With a vocabulary of another kind whole texts do.
+    """
 
     def __init__(self, vocabulary: str, most: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,28 +64,74 @@ class Words:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        made = json.loads(self.library.to_str())
+        self.by_word = (made["normalizer"], made["pre_tokenizer"], made["post_processor"], made["model"].get("end_of_word_suffix")) == (NORMALIZER, PRE_TOKENIZER, None, WORD_END)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or "(?!)")
+        ids = made["model"]["vocab"] if self.by_word else {}
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in ids.items() if t.endswith(WORD_END)]] = True
         self.most, self.size = most, 0
-
-    def _learn(self, words: list[str]) -> None:
-        missing = list({w for w in words if w not in self.known})
-        if self.size > self.most:
-            self.known, self.size, missing = {"": b""}, 0, list(set(words) - {""})
-        for w, e in zip(missing, self.library.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[w] = ids = np.array(e.ids, "<u4").tobytes()
-            self.size += 200 + 2 * len(w) + len(ids)
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        #: A run of lower-case text is a word like any other.
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, unknown: set[str]) -> None:
+        """Remembers the words; those of the generation before this one come over."""
+        words, old = self.words, self.old
+        missing = list(unknown.difference(old))
+        words.update((w, old[w]) for w in unknown.difference(missing))
+        text = " ".join(missing)
+        self.size += 300 * len(unknown) + 4 * len(text)
+        if self.special.search(text) or not PLAIN(text):
+            odd = [w for w in missing if self.special.search(w) or not PLAIN(w)]
+            words.update(zip(odd, self._whole(odd), strict=True))
+            missing = [w for w in missing if w not in words]
+            text = " ".join(missing)
+        lower = text.lower().split(" ") if missing else []
+        cut = {w: [x] if x.isalpha() else RUN(x) for w, x in zip(missing, lower, strict=True)}
+        runs = set(chain.from_iterable(cut.values())).difference(words)
+        new = list(runs.difference(old))
+        words.update((r, old[r]) for r in runs.difference(new))
+        if new:
+            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            after = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            each = [data[a:b] for a, b in zip([0, *after], after)] if len(after) == len(new) else self._whole(new)  # noqa: B905
+            words.update(zip(new, each, strict=True))
+        run = words.__getitem__
+        words.update((w, run(found[0]) if len(found) == 1 else b"".join(map(run, found))) for w, found in cut.items() if w not in words)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. What no text asked for in a generation of words is forgotten with it."""
+        if not self.by_word:
+            return self._whole(texts)
+        cut = [[block.replace("\n", " ").split(" ") for block in _blocks(text)] for text in texts]
         out = []
-        for block in _blocks(text):
-            words = block.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self._learn(words)
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out[0] if len(out) == 1 else b"".join(out)
+        for group in _groups(cut):
+            asked = set().union(*chain.from_iterable(group))
+            if 2 * self.size > self.most:
+                self.old, self.words, self.size = self.words, {"": b""}, 0
+            unknown = asked.difference(self.words)
+            if unknown:
+                self._learn(unknown)
+            word = self.words.__getitem__
+            out += [b"".join(map(word, blocks[0])) if len(blocks) == 1 else b"".join(b"".join(map(word, b)) for b in blocks) for blocks in group]
+        return out
+
+
+def _groups(texts: list[list[list[str]]], most: int = 200_000) -> Iterator[list[list[list[str]]]]:
+    """Texts, cut into words, a number of words at a time."""
+    group, n = [], 0
+    for blocks in texts:
+        group.append(blocks)
+        n += sum(map(len, blocks))
+        if n >= most:
+            yield group
+            group, n = [], 0
+    yield group
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -78,6 +146,18 @@ def _blocks(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def coded(words: Words, column: pa.Array) -> Iterator[bytes]:
+    """The ids of a column's texts, which are held as Python objects about ``BLOCK`` characters at a time."""
+    held, size = [], 0
+    for text in rows_of(column, 64):
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield from words.ids(held)
+            held, size = [], 0
+    yield from words.ids(held) if held else ()
+
+
 def tokenised(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut into pieces of ``capacity``; written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -88,8 +168,8 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
         words = _workers.get(vocabulary) or _workers.setdefault(vocabulary, Words(vocabulary))
         for batch in batches:
             place, pieces, starts, lengths, sums = [], [], [], [], []
-            for row, text in enumerate(rows_of(batch.column(1))):
-                ids = words.ids(text or "") + last
+            for row, found in enumerate(coded(words, batch.column(1))):
+                ids = found + last
                 for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[i : i + 4 * capacity]
                     place.append(row)
