@@ -21,7 +21,7 @@ from storyloom.functions.session import checkpointed
 SMALL_MERGES = 20_000
 
 
-def _roots(up: DataFrame) -> DataFrame:
+def roots(up: DataFrame) -> DataFrame:
     """``(story, row, up)`` with ``up`` the end of each row's way; a founder is its own ``up``. Ways double in length each round."""
     up = checkpointed(up)
     while True:
@@ -63,7 +63,7 @@ def _taken_by_rounds(merges: DataFrame, small: int) -> DataFrame:
         gone = checkpointed(first.select("story", "row", F.col("m.other").alias("up"), F.col("m.time").alias("time")))
         out.append(gone)
         homes = gone.select("story", "row", "up").union(gone.join(gone.select("story", F.col("row").alias("up")), ["story", "up"], "left_anti").select("story", F.col("up").alias("row"), "up").distinct())
-        homes = _roots(homes)
+        homes = roots(homes)
         merges = checkpointed(_between(merges, homes))
     rest = _taken_on_driver(merges)
     for gone in out:
@@ -122,7 +122,7 @@ def merge_order(rows: DataFrame, story: Column, row: Column, names: Column, smal
     links = checkpointed(named.join(first, (F.xxhash64("story", "name") == F.col("h")) & (F.col("story") == F.col("s")) & (F.col("name") == F.col("of"))).where("first < row").select("story", "row", "first").distinct())
     lowest = links.groupBy("story", "row").agg(F.min("first").alias("up"))
     up = own.join(lowest, ["story", "row"], "left").select("story", "row", F.coalesce("up", "row").alias("up"))
-    homes = _roots(up)
+    homes = roots(up)
     merges = checkpointed(_between(links.select("story", F.col("first").alias("lo"), F.col("row").alias("hi"), F.col("row").alias("time")), homes))
     n = merges.count()
     own_step = lambda time: F.array(F.struct(time.alias("time"), F.col("row").alias("row")))
@@ -155,3 +155,9 @@ def ordered_distinct(rows: DataFrame, keys: list[str], order: list[Column], valu
     if most is not None:
         firsts = firsts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))).where(F.col("_n") <= most)
     return firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_value"))), lambda s: s["_value"]).alias(out))
+
+
+def most_voted(rows: DataFrame, keys: list[str], value: str, place: str) -> DataFrame:
+    """``(keys, value)``: the value that most rows of a group have; of equals the one whose first row stands first."""
+    votes = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    return votes.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first")).alias(value))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.functions.batches import map_groups
 from storyloom.functions.numeric import rounded
+from storyloom.functions.session import checkpointed
+from storyloom.operators.arrivals import merge_order, most_voted, ordered_distinct
 
 TRACKED = ("object", "artifact", "weapon", "creature", "vehicle", "substance")
 RECORD = (
@@ -21,6 +22,10 @@ RECORD = (
 COLUMNS = [c.strip().split(" ")[0] for c in RECORD.split(", ")]
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def action_records(mentions: DataFrame, categories: tuple[str, ...] = TRACKED) -> DataFrame:
     """Inventory records of what the action shows; unlike stage 1, ``keep`` doesn't decide."""
     m = mentions.where("physical_visualizable").where(F.coalesce("category", F.lit("other")).isin(*categories))
@@ -92,74 +97,28 @@ def dialogue_channel(
     return records if failed is None or mode == "llm" else records.unionByName(spoken_records(texts.join(failed, ["story_id", "scene_idx"], "left_semi")))
 
 
-class _Record:
-    """What has been merged so far: all lists in order of arrival, without repeats."""
-
-    def __init__(self, row: dict):
-        self.row, self.name, self.order = row, row["canonical_name"], (row["channel_no"], row["pos"])
-        self.forms, self.channels, self.evidence, self.votes = {}, {}, {}, {}
-        self.aliases: set[str] = set()
-        self.seen, self.strength, self.confidence, self.keep = False, 0.0, 0.0, False
-
-    def take(self, other: _Record) -> None:
-        self._add(other.name, other.forms, other.channels, other.evidence, other.votes, other.aliases, other.seen, other.strength, other.confidence, other.keep)
-
-    def add(self, r: dict) -> None:
-        self._add(
-            r["canonical_name"], r["surface_forms"] or [], [r["source_channel"]], r["evidence"] or [], {r["category"]: 1}, set(r["aliases"]), bool(r["direct_visual_evidence"]), float(r["mention_strength"]),
-            float(r["confidence"]), bool(r["tracking_keep"]),
-        )
-
-    def _add(self, name, forms, channels, evidence, votes, aliases, seen, strength, confidence, keep) -> None:
-        if len(name) > len(self.name):
-            self.name = name
-        self.forms.update(dict.fromkeys(forms))
-        self.channels.update(dict.fromkeys(channels))
-        for e in evidence:
-            if len(self.evidence) < 5:
-                self.evidence.setdefault(e)
-        for k, n in votes.items():
-            self.votes[k] = self.votes.get(k, 0) + n
-        self.aliases |= aliases
-        self.seen, self.strength, self.confidence, self.keep = self.seen or seen, max(self.strength, strength), max(self.confidence, confidence), self.keep or keep
-
-
-MERGED = (
-    "story_id string, scene_idx int, order_channel int, order_pos int, first_id string, canonical_name string, surface_forms array<string>, source_channels array<string>, normalized_aliases array<string>,"
-    " category string, direct_visual_evidence boolean, mention_strength_max double, confidence_max double, evidence array<string>, tracking_keep_any boolean"
-)
-
-
-def _replay(rows: list[dict]) -> Iterator[dict]:
-    """Records of a scene in order: each joins the first group that shares an alias, which takes in the others that do."""
-    groups: dict[int, _Record] = {}  # in order of their first record
-    by_alias: dict[str, int] = {}
-    for n, r in enumerate(rows):
-        met = sorted({by_alias[a] for a in r["aliases"] if a in by_alias})
-        at = met[0] if met else n
-        home = groups.setdefault(at, _Record(r)) if not met else groups[at]
-        for other in met[1:]:
-            gone = groups.pop(other)
-            home.take(gone)
-            by_alias.update(dict.fromkeys(gone.aliases, at))
-        home.add(r)
-        by_alias.update(dict.fromkeys(r["aliases"], at))
-    for g in groups.values():
-        yield {
-            "story_id": rows[0]["story_id"], "scene_idx": rows[0]["scene_idx"], "order_channel": g.order[0], "order_pos": g.order[1], "first_id": g.row["object_id"], "canonical_name": g.name, "surface_forms": list(g.forms),
-            "source_channels": sorted(g.channels), "normalized_aliases": sorted(g.aliases), "category": max(g.votes, key=g.votes.get), "direct_visual_evidence": g.seen, "mention_strength_max": round(g.strength, 4),
-            "confidence_max": round(g.confidence, 4), "evidence": list(g.evidence), "tracking_keep_any": g.keep,
-        }
-
-
 def merge_records(records: DataFrame) -> DataFrame:
     """Merged objects of each scene, ``pos`` in order of strength, confidence and name, all falling.
 
-    Records of one scene are merged where they share an alias. Names, evidence and ties depend on the order of arrival (action
-    first), so a scene's records are replayed in order; a scene is what one task holds.
+    Records of one scene are merged where they share an alias, in order of arrival (action first): each joins the first that has one of its aliases, which takes in the others that do.
+    Names, votes and evidence are told in the order in which they came together, by grouped aggregates over ``merge_order``.
     """
-    aliased = records.withColumn("aliases", T.keys_of(F.concat(F.array("object_id", "canonical_name"), F.coalesce("surface_forms", F.array().cast("array<string>"))), T.object_key))
-    merged = map_groups(aliased, ["story_id", "scene_idx"], ["channel_no", "pos"], _replay, MERGED)
+    aliased = records.withColumn("aliases", T.keys_of(F.concat(F.array("object_id", "canonical_name"), F.coalesce("surface_forms", _none())), T.object_key))
+    scene = ["story_id", "scene_idx"]
+    told = checkpointed(merge_order(aliased, F.concat_ws("\x01", F.col("scene_idx").cast("string"), "story_id"), F.col("channel_no").cast("long") * F.lit(1 << 32) + F.col("pos"), F.col("aliases")))
+    key, place = [*scene, "first_row"], [F.col("place")]
+    name = F.coalesce("canonical_name", F.lit(""))
+    base = told.groupBy(*key).agg(
+        F.min_by(F.struct("channel_no", "pos", "object_id"), "place").alias("_first"), F.min_by("canonical_name", F.struct(-F.length(name), F.col("place"))).alias("canonical_name"), F.array_sort(F.collect_set("source_channel")).alias("source_channels"),
+        F.bool_or(F.coalesce("direct_visual_evidence", F.lit(False))).alias("direct_visual_evidence"), rounded(F.greatest(F.max("mention_strength"), F.lit(0.0))).alias("mention_strength_max"),
+        rounded(F.greatest(F.max("confidence"), F.lit(0.0))).alias("confidence_max"), F.bool_or(F.coalesce("tracking_keep", F.lit(False))).alias("tracking_keep_any"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("normalized_aliases"),
+    )
+    forms = ordered_distinct(told, key, place, F.coalesce("surface_forms", _none()), "surface_forms")
+    evidence = ordered_distinct(told, key, place, F.coalesce("evidence", _none()), "evidence", 5)
+    merged = base.join(most_voted(told, key, "category", "place"), key).join(forms, key, "left").join(evidence, key, "left").select(
+        "story_id", "scene_idx", F.col("_first.channel_no").cast("int").alias("order_channel"), F.col("_first.pos").cast("int").alias("order_pos"), F.col("_first.object_id").alias("first_id"), "canonical_name",
+        F.coalesce("surface_forms", _none()).alias("surface_forms"), "source_channels", "normalized_aliases", "category", "direct_visual_evidence", "mention_strength_max", "confidence_max", F.coalesce("evidence", _none()).alias("evidence"), "tracking_keep_any",
+    )
     own = T.object_key(F.col("canonical_name"))
     named = merged.withColumn("object_id", F.when(own != "", own).otherwise(F.col("first_id")))
     place = F.row_number().over(Window.partitionBy("story_id", "scene_idx").orderBy(F.desc("mention_strength_max"), F.desc("confidence_max"), F.desc("canonical_name"), "order_channel", "order_pos")) - 1
