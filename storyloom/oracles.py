@@ -86,7 +86,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(st
 
 
 def oracle_sql() -> dict[str, str]:
-    from storyloom import stage_oracles
+    from storyloom import group_oracles, stage_oracles
 
     clamp = lambda x: f"least(greatest({x}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))"
     d = lambda x: f"CAST({x} AS DOUBLE)"
@@ -173,4 +173,4 @@ WHERE gap_jump >= {MIN_GAP + 10} AND contains(lower(event_type || ' ' || user_id
 SELECT event_type AS kind, n AS events, CAST(l[1] AS INT) AS gap_min, CAST(l[len(l)] AS INT) AS gap_max, CAST(1 AS BIGINT) AS categories, CAST(l[n // 2 + 1] AS INT) AS gap_median FROM s""",
         "annotation_cache": """WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)
 SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.text IS NOT DISTINCT FROM d.text) THEN 'cached' ELSE 'words=' || len(string_split(coalesce(text, ''), ' ')) END AS response FROM documents d""",
-    } | stage_oracles.oracle_sql()
+    } | stage_oracles.oracle_sql() | group_oracles.oracle_sql()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom import stage_queries
+from storyloom import group_queries, stage_queries
 from storyloom.functions import text as T
 from storyloom.functions.session import checkpointed, read_table
 from storyloom.operators.components import connected_components
@@ -333,4 +333,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reappearance_gaps, gap_levels, majority_label_top_forms, dense_active_index, line_blocks, line_kinds, script_scenes, dialogue_mentions, channel_merge, alias_components, best_prior, unmatched_events, scene_chain_score,
         narrative_candidates, subtitle_windows, coarse_alignment, monotone_alignment, merge_segments, top_segments, nearest_frame, centered_windows, sample_plan, legacy_gap_dedup, event_inspector, event_gap_stats, annotation_cache,
     ]
-    return {f.__name__: f for f in found} | stage_queries.queries()
+    return {f.__name__: f for f in found} | stage_queries.queries() | group_queries.queries()
