@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import written
 
 #: Merges up to this number are put in order on the driver.
 SMALL_MERGES = 20_000
@@ -23,13 +23,13 @@ SMALL_MERGES = 20_000
 
 def roots(up: DataFrame) -> DataFrame:
     """``(story, row, up)`` with ``up`` the end of each row's way; a founder is its own ``up``. Ways double in length each round."""
-    up = checkpointed(up)
+    up = written(up)
     while True:
         further = up.where("up <> row").select(F.col("story").alias("s"), F.col("row").alias("r"), F.col("up").alias("next"))
-        moved = checkpointed(up.join(further, (F.col("story") == F.col("s")) & (F.col("up") == F.col("r")), "left"))
+        moved = written(up.join(further, (F.col("story") == F.col("s")) & (F.col("up") == F.col("r")), "left"))
         if moved.where("next is not null").isEmpty():
             return up
-        up = checkpointed(moved.select("story", "row", F.coalesce("next", "up").alias("up")))
+        up = written(moved.select("story", "row", F.coalesce("next", "up").alias("up")))
 
 
 def _taken_on_driver(merges: DataFrame) -> DataFrame:
@@ -60,15 +60,15 @@ def _taken_by_rounds(merges: DataFrame, small: int) -> DataFrame:
     while merges.count() > small:
         both = merges.select("story", F.col("hi").alias("row"), F.col("lo").alias("other"), "time").union(merges.select("story", F.col("lo").alias("row"), F.col("hi").alias("other"), "time"))
         first = both.groupBy("story", "row").agg(F.min(F.struct("time", "other")).alias("m")).where("m.other < row")
-        gone = checkpointed(first.select("story", "row", F.col("m.other").alias("up"), F.col("m.time").alias("time")))
+        gone = written(first.select("story", "row", F.col("m.other").alias("up"), F.col("m.time").alias("time")))
         out.append(gone)
         homes = gone.select("story", "row", "up").union(gone.join(gone.select("story", F.col("row").alias("up")), ["story", "up"], "left_anti").select("story", F.col("up").alias("row"), "up").distinct())
         homes = roots(homes)
-        merges = checkpointed(_between(merges, homes))
+        merges = written(_between(merges, homes))
     rest = _taken_on_driver(merges)
     for gone in out:
         rest = rest.union(gone)
-    return checkpointed(rest)
+    return written(rest)
 
 
 def _between(links: DataFrame, homes: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _climbed(rows: DataFrame, taken: DataFrame) -> DataFrame:
     while True:  # 2, 4, 8 ... steps at a time, the latest time of them
         j = jumps[-1]
         ahead = j.select(F.col("story").alias("s"), F.col("row").alias("r"), F.col("up").alias("next"), F.col("time").alias("then"))
-        longer = checkpointed(j.join(ahead, (F.col("story") == F.col("s")) & (F.col("up") == F.col("r"))).select("story", "row", F.col("next").alias("up"), F.greatest("time", "then").alias("time")))
+        longer = written(j.join(ahead, (F.col("story") == F.col("s")) & (F.col("up") == F.col("r"))).select("story", "row", F.col("next").alias("up"), F.greatest("time", "then").alias("time")))
         if longer.isEmpty():
             break
         jumps.append(longer)
@@ -100,9 +100,9 @@ def _ways(taken: DataFrame) -> DataFrame:
     """``(story, row, root, way)`` of each founder that was taken in: its group's first row in the end, and the list of ``(time, row)`` down to it."""
     ways = taken.select("story", "row", F.col("up").alias("root"), F.array(F.struct("time", "row")).alias("way"))
     while True:
-        ways = checkpointed(ways)
+        ways = written(ways)
         ahead = ways.select(F.col("story").alias("s"), F.col("row").alias("r"), F.col("root").alias("next"), F.col("way").alias("above"))
-        met = checkpointed(ways.join(ahead, (F.col("story") == F.col("s")) & (F.col("root") == F.col("r")), "left"))
+        met = written(ways.join(ahead, (F.col("story") == F.col("s")) & (F.col("root") == F.col("r")), "left"))
         if met.where("next is not null").isEmpty():
             return ways
         ways = met.select("story", "row", F.coalesce("next", "root").alias("root"), F.when(F.col("next").isNotNull(), F.concat("above", "way")).otherwise(F.col("way")).alias("way"))
@@ -119,20 +119,20 @@ def merge_order(rows: DataFrame, story: Column, row: Column, names: Column, smal
     named = keyed.select(F.col("_story").alias("story"), F.col("_row").alias("row"), F.explode(F.array_distinct(F.filter(names, lambda n: n.isNotNull()))).alias("name"))
     first = named.groupBy("story", "name").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.xxhash64("story", "name").alias("h"), F.col("story").alias("s"), F.col("name").alias("of"), "first")
     # on a hash beside the names: both sides are dealt out anew, and AQE can split a frequent name
-    links = checkpointed(named.join(first, (F.xxhash64("story", "name") == F.col("h")) & (F.col("story") == F.col("s")) & (F.col("name") == F.col("of"))).where("first < row").select("story", "row", "first").distinct())
+    links = written(named.join(first, (F.xxhash64("story", "name") == F.col("h")) & (F.col("story") == F.col("s")) & (F.col("name") == F.col("of"))).where("first < row").select("story", "row", "first").distinct())
     lowest = links.groupBy("story", "row").agg(F.min("first").alias("up"))
     up = own.join(lowest, ["story", "row"], "left").select("story", "row", F.coalesce("up", "row").alias("up"))
     homes = roots(up)
-    merges = checkpointed(_between(links.select("story", F.col("first").alias("lo"), F.col("row").alias("hi"), F.col("row").alias("time")), homes))
+    merges = written(_between(links.select("story", F.col("first").alias("lo"), F.col("row").alias("hi"), F.col("row").alias("time")), homes))
     n = merges.count()
     own_step = lambda time: F.array(F.struct(time.alias("time"), F.col("row").alias("row")))
     if not n:
         placed = homes.select("story", "row", F.col("up").alias("first_row"), F.when(F.col("up") == F.col("row"), F.expr("cast(array() as array<struct<time:bigint,row:bigint>>)")).otherwise(own_step(F.col("row"))).alias("place"))
     else:
         taken = _taken_on_driver(merges) if n <= small else _taken_by_rounds(merges, small)
-        taken = checkpointed(taken)
+        taken = written(taken)
         if n > small:  # what took them in may have been taken in before
-            taken = checkpointed(_climbed(taken.select("story", "row", "up", "time"), taken))
+            taken = written(_climbed(taken.select("story", "row", "up", "time"), taken))
         ways = _ways(taken)
         joined = homes.where("up <> row").select("story", "row", "up", F.col("row").alias("time"))
         children = _climbed(joined, taken).join(ways.select(F.col("story").alias("s"), F.col("row").alias("r"), "root", "way"), (F.col("story") == F.col("s")) & (F.col("up") == F.col("r")), "left")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import written
 from storyloom.operators.arrivals import roots
 
 #: What a candidate's event brings to a decision.
@@ -90,17 +90,17 @@ def ordered_clusters(candidates: DataFrame) -> DataFrame:
     asks = candidates.select("story_id", "at", F.explode(link_keys(F.col("object_id"), F.col("aliases"))).alias("key"))
     shared = asks.groupBy("story_id", "key").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").select(F.xxhash64("story_id", "key").alias("h"), F.col("story_id").alias("s"), F.col("key").alias("k"), "first")
     # on a hash beside the key: both sides are dealt out anew, and AQE can split a frequent key
-    asks = checkpointed(asks.join(shared, (F.xxhash64("story_id", "key") == F.col("h")) & (F.col("story_id") == F.col("s")) & (F.col("key") == F.col("k"))).select("story_id", "at", "key", "first"))
+    asks = written(asks.join(shared, (F.xxhash64("story_id", "key") == F.col("h")) & (F.col("story_id") == F.col("s")) & (F.col("key") == F.col("k"))).select("story_id", "at", "key", "first"))
     linked = asks.groupBy("story_id", "at").agg(F.min("first").alias("up"))
     assumed = roots(linked.select(F.col("story_id").alias("story"), F.col("at").alias("row"), "up"))
     assumed = assumed.select(F.col("story").alias("story_id"), F.col("row").alias("at"), F.col("up").alias("home"))
-    many = checkpointed(candidates.join(linked, ["story_id", "at"], "left_semi"))
+    many = written(candidates.join(linked, ["story_id", "at"], "left_semi"))
     while True:
-        states = checkpointed(_states(many.join(assumed, ["story_id", "at"])))
+        states = written(_states(many.join(assumed, ["story_id", "at"])))
         goes = _intervals(states).select(F.xxhash64("story_id", "key").alias("h"), F.col("story_id").alias("s"), F.col("key").alias("k"), F.col("home").alias("found"), "since", "until")
         met = asks.join(goes, (F.xxhash64("story_id", "key") == F.col("h")) & (F.col("story_id") == F.col("s")) & (F.col("key") == F.col("k")) & (F.col("since") < F.col("at")) & (F.col("at") <= F.col("until")))
         decided = met.groupBy("story_id", "at").agg(F.min("found").alias("decided"))
-        both = checkpointed(states.select("story_id", "at", "home").join(decided, ["story_id", "at"], "left").select("story_id", "at", "home", F.coalesce("decided", "at").alias("decided")))
+        both = written(states.select("story_id", "at", "home").join(decided, ["story_id", "at"], "left").select("story_id", "at", "home", F.coalesce("decided", "at").alias("decided")))
         if both.where("home <> decided").isEmpty():
             break
         assumed = both.select("story_id", "at", F.col("decided").alias("home"))
