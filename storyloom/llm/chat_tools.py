@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import checkpointed, written
 
 KINDS = {
     "string": lambda v: isinstance(v, str), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
@@ -110,41 +110,53 @@ def _checked(name: str | None, arguments: str | None, schemas: dict[str, dict])
     return value, schema_errors(value, schemas[name])
 
 
-def _ordered(calls: DataFrame, needs: DataFrame, max_rounds: int) -> DataFrame:
-    """``(k, key, level)`` of each call; level is null for calls that need each other in a circle."""
-    needs = checkpointed(needs.select("k", "need").distinct())
-    now = checkpointed(calls.select("k", F.col("turn").alias("key")))
-    linked = not needs.isEmpty()
-    for _ in range(max_rounds if linked else 0):
-        held = needs.join(now.select(F.col("k").alias("need"), F.col("key").alias("theirs")), "need").groupBy("k").agg(F.max("theirs").alias("theirs"))
-        later = checkpointed(now.join(held, "k", "left").withColumn("new", F.greatest("key", "theirs")))
-        moved = not later.where("new > key").isEmpty()
-        now = later.select("k", F.col("new").alias("key"))
-        if not moved:
+#: No way is counted longer; only circles are.
+LONGEST = 1 << 40
+
+
+def _step(values: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``values(k, value, was)`` and ``edges(k, need, way)`` one round on, and the edges that led to where none goes on.
+
+    A value becomes the largest of what its edges lead to, their ways added. Then an edge that leads to where one edge goes on leads where that one does, so ways along a chain double in length each
+    round; one that leads to where none goes on has told all and goes.
+    """
+    on = edges.groupBy(F.col("k").alias("at")).agg(F.count("*").alias("n"), F.max(F.struct("need", "way")).alias("next"))
+    met = written(edges.join(values.select(F.col("k").alias("of"), F.col("value").alias("theirs")), F.col("need") == F.col("of")).join(on, F.col("need") == F.col("at"), "left").select("k", "need", "way", "theirs", "n", "next"))
+    told = met.groupBy(F.col("k").alias("of")).agg(F.max(F.col("way") + F.col("theirs")).alias("told"))
+    values = values.join(told, F.col("k") == F.col("of"), "left").select("k", F.greatest("value", "told").alias("value"), F.col("value").alias("was"))
+    single = F.col("n") == 1
+    further = F.least(F.col("way") + F.col("next.way"), F.lit(LONGEST))
+    edges = met.where("n is not null").select("k", F.when(single, F.col("next.need")).otherwise(F.col("need")).alias("need"), F.when(single, further).otherwise(F.col("way")).alias("way"))
+    return written(values), written(edges.groupBy("k", "need").agg(F.max("way").alias("way"))), met.where("n is null")
+
+
+def _ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """``(k, key, level)`` of each call; level is null for calls that need each other in a circle, and for what needs them.
+
+    Chains of any length and shape settle in a number of rounds that grows with the logarithm of their length; needs that branch and meet again take at most as many as their longest way has branchings.
+    """
+    edges = written(needs.where("k <> need").select("k", "need", F.lit(0).cast("long").alias("way")).distinct())
+    values = written(calls.select("k", F.col("turn").alias("value")))
+    while not edges.isEmpty():
+        values, edges, _ = _step(values, edges)
+        if values.where("value > was").isEmpty():
+            break
+        edges = edges.where("k <> need")
+    keys = written(values.select("k", F.col("value").alias("key")))
+    theirs = keys.select(F.col("k").alias("need"), F.col("key").alias("theirs"))
+    edges = needs.select("k", "need").distinct().join(keys, "k").join(theirs, "need").where("key = theirs").select("k", "need", F.lit(1).cast("long").alias("way"))
+    edges = written(edges)
+    values = written(keys.select("k", F.lit(0).cast("long").alias("value")))
+    while not edges.isEmpty():
+        values, edges, last = _step(values, edges)
+        if last.isEmpty():  # what is left leads into circles
             break
-    else:
-        if linked:
-            raise RuntimeError(f"needs did not settle in {max_rounds} rounds")
-    if not linked:
-        return now.withColumn("level", F.lit(0))
-    keys = now.select(F.col("k").alias("need"), F.col("key").alias("theirs"))
-    within = checkpointed(needs.join(now, "k").join(keys, "need").where("key = theirs").select("k", "need"))
-    done = checkpointed(now.join(within.select("k").distinct(), "k", "left_anti").select("k", F.lit(0).alias("level")))
-    left, level = within, 0
-    while not left.isEmpty():
-        level += 1
-        if level > max_rounds:
-            raise RuntimeError(f"needs did not settle in {max_rounds} rounds")
-        rest = checkpointed(left.join(done.select(F.col("k").alias("need")), "need", "left_anti").select("k", "need"))
-        free = left.select("k").distinct().join(rest.select("k").distinct(), "k", "left_anti").select("k", F.lit(level).alias("level"))
-        free = checkpointed(free)
-        if free.isEmpty():
-            break  # what is left are circles and what needs them
-        done, left = checkpointed(done.union(free)), rest
-    return now.join(done, "k", "left")
-
-
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_rounds: int = 200) -> DataFrame:
+    circular = edges.select(F.col("k").alias("of")).distinct()
+    found = values.join(circular, F.col("k") == F.col("of"), "left").select("k", F.when(F.col("of").isNull(), F.col("value")).cast("int").alias("level"))
+    return keys.join(found, "k")
+
+
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``(conv_id, call_id, turn, key, level, status, errors, message)`` for every call and for every result without one.
 
     ``calls(conv_id, call_id, turn, name, arguments, needs)`` with arguments as JSON text and needs as call_ids of the
@@ -167,7 +179,7 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
     wanted = ids.select("k", F.explode("needs").alias("want")).where("want is not null").select("k", F.struct(F.col("k.conv").alias("conv"), F.col("want").alias("call_id")).alias("need")).distinct()
     there = wanted.join(ids.select(F.col("k").alias("need")), "need", "left_semi")
     absent = wanted.join(ids.select(F.col("k").alias("need")), "need", "left_anti").groupBy("k").agg(F.array_sort(F.collect_set("need.call_id")).alias("absent"))
-    order = _ordered(ids, there, max_rounds)
+    order = _ordered(ids, there)
     answers = results.where("conv_id is not null and call_id is not null").groupBy(F.col("conv_id").cast("string").alias("conv"), F.col("call_id").cast("string").alias("call_id")).agg(
         F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))).alias("answer"), F.first("conv_id").alias("of_conv")
     )

@@ -155,9 +155,69 @@ def test_order_is_topological(spark):
 def test_chat_empty_and_limits(spark):
     assert link(spark, [], []) == []
     assert [r.status for r in link(spark, [], [(1, "x", 0, "c")])] == ["orphan"]
-    chain = [(1, f"c{i}", 50 - i, "add", '{"x": 1}', [f"c{i - 1}"] if i else None) for i in range(12)]
-    with pytest.raises(RuntimeError):
-        link(spark, chain, [], max_rounds=3)
+
+
+def test_long_chains_of_needs(spark):
+    """5,000 calls that need the next, 5,000 that a later one holds back level by level, a chain that goes up and down, and a circle of 777 with a tail."""
+    n = 5000
+    order = list(range(900))
+    random.Random(3).shuffle(order)
+    calls = [(1, f"f{i}", i, "add", '{"x": 1}', [f"f{i + 1}"] if i < n - 1 else None) for i in range(n)]
+    calls += [(2, f"b{i}", n - i if i else 2 * n, "add", '{"x": 1}', [f"b{i - 1}"] if i else None) for i in range(n)]
+    calls += [(3, f"z{i}", order[i], "add", '{"x": 1}', [f"z{i + 1}"] if i < 899 else None) for i in range(900)]
+    calls += [(4, f"o{i}", 1, "add", '{"x": 1}', [f"o{(i + 1) % 777}"] if i < 777 else [f"o{i - 1}"]) for i in range(800)]
+    got = {(r.conv_id, r.call_id): (r.key, r.level) for r in link(spark, calls, [])}
+    assert all(got[1, f"f{i}"] == (n - 1, n - 1 - i) and got[2, f"b{i}"] == (2 * n, i) for i in range(n))
+    key, level = -1, 0
+    for i in reversed(range(900)):
+        key, level = (order[i], 0) if order[i] > key else (key, level + 1)
+        assert got[3, f"z{i}"] == (key, level)
+    assert all(got[4, f"o{i}"] == (1, None) for i in range(800))
+
+
+def naive_order(calls):
+    """Keys and levels by going every way, one conversation after another; a need that isn't there says nothing."""
+    out = {}
+    for conv in {c[0] for c in calls}:
+        turn = {c[1]: c[2] for c in calls if c[0] == conv}
+        needs = {c[1]: [n for n in c[5] or [] if n in turn] for c in calls if c[0] == conv}
+        reach = {}
+        for k in turn:
+            seen, todo = set(), [k]
+            while todo:
+                for x in needs[todo.pop()]:
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            reach[k] = seen
+        key = {k: max([turn[k], *(turn[x] for x in reach[k])]) for k in turn}
+        same_key = {k: [x for x in needs[k] if key[x] == key[k]] for k in turn}
+
+        def level(k, way=()):
+            if k in way:
+                return None
+            below = [level(x, (*way, k)) for x in same_key[k]]
+            return None if None in below else 1 + max(below, default=-1)
+
+        out.update({(conv, k): (key[k], level(k)) for k in turn})
+    return out
+
+
+def test_any_needs(spark):
+    r = random.Random(6)
+    calls = []
+    for conv in range(60):
+        n = r.choice([2, 5, 9])
+        calls += [(conv, f"c{i}", r.randrange(n), "add", '{"x": 1}', [f"c{r.randrange(n + 1)}" for _ in range(r.choice([0, 0, 1, 1, 2]))]) for i in range(n)]
+    got = {(x.conv_id, x.call_id): (x.key, x.level) for x in link(spark, calls, [])}
+    assert got == naive_order(calls)
+
+
+def test_chain_of_the_query_matches_sql(spark, tables, oracle):
+    """A conversation of 600 turns in which 300 calls need each other."""
+    rows = [(k, t, "user" if t % 2 == 0 else "assistant", "w") for k in (1, 2) for t in range(600)]
+    folder = tables(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert same(Q.op9_chat_tools(spark, folder), oracle(folder, oracles.chat_tools(Q.NEEDS), "conversations"))
 
 
 @settings(max_examples=100, deadline=None)
