@@ -11,6 +11,7 @@ whole body, where a page marks none) is the text.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +40,11 @@ BLOCK = frozenset(
 )
 #: Blocks that hold a text of their own; other blocks hold blocks.
 TEXTUAL = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li option p pre summary td th tr".split())
+#: What an article's own text stands in.
+PARAGRAPHS = frozenset("p pre blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of an article that stand between others: they recur as headings and items do, and go only with what they stand in.
+PARTS = HEADINGS | frozenset("li dt dd td th tr".split())
 #: What never is text of the article.
 DROPPED = frozenset(
     "script style title textarea noscript iframe template xmp head nav footer aside form button select option input svg canvas object audio video dialog menu dir".split()
@@ -88,18 +94,30 @@ class Page:
         self.marked.append(any(not MARKS.isdisjoint(v.lower().split()) for _, v in marks))
         return len(self.tag) - 1
 
-    def _close(self, stack: list[int], kinds: tuple, walls) -> None:
-        """Close the innermost open element of these kinds, and what is open in it, unless a wall stands before it."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in kinds:
-                del stack[k:]
-                return
-            if tag in walls:
-                return
+    def _push(self, stack: list[int], open_: dict[str, list[int]], node: int) -> None:
+        tag = self.tag[node]
+        open_[tag].append(len(stack))
+        if tag in BLOCK:
+            open_["#block"].append(len(stack))
+        stack.append(node)
+
+    def _close(self, stack: list[int], open_: dict[str, list[int]], kinds: tuple, walls) -> None:
+        """Close the innermost open element of these kinds, and what is open in it, unless a wall stands before it.
+
+        ``open_`` has the places of open elements of each kind, so that nothing is searched however deep the page is.
+        """
+        k = max((open_[kind][-1] for kind in kinds if open_[kind]), default=0)
+        if not k or any(open_[wall][-1] > k for wall in walls if open_[wall]):
+            return
+        for node in reversed(stack[k:]):
+            tag = self.tag[node]
+            open_[tag].pop()
+            if tag in BLOCK:
+                open_["#block"].pop()
+        del stack[k:]
 
     def _parse(self, html: str) -> None:
-        stack, at, events, n = [0], 0, self.events, len(html)
+        stack, open_, at, events, n = [0], defaultdict(list), 0, self.events, len(html)
         while at < n:
             m = TAG.search(html, at)
             if m is None:
@@ -121,14 +139,14 @@ class Page:
                 if tag == "br":
                     events.append((stack[-1], " "))
                     continue
-                self._close(stack, (tag,), () if block else BLOCK)
+                self._close(stack, open_, (tag,), () if block else ("#block",))
                 if block:
                     events.append((stack[-1], None))
                 continue
             if block and tag != "option":
-                self._close(stack, ("p",), WALLS)
+                self._close(stack, open_, ("p",), WALLS)
             if tag in CLOSES:
-                self._close(stack, *CLOSES[tag])
+                self._close(stack, open_, *CLOSES[tag])
             node = self._open(stack, tag, m[2] or m[4] or "")
             if block:
                 events.append((node, None))
@@ -145,7 +163,7 @@ class Page:
                 if tag not in DROPPED:
                     events.append((node, html[m.end() : end.start()]))
                 continue
-            stack.append(node)
+            self._push(stack, open_, node)
 
     def hashes(self) -> list[int]:
         """A hash of each element with all that is in it: kind, marks, texts and children in order."""
@@ -167,19 +185,55 @@ class Page:
         return out
 
     def content(self) -> list[bool]:
-        """For each element, whether it's in the content that the page marks: article, or main where there is none."""
-        wanted = "article" if any(t == "article" and not m for t, m in zip(self.tag, self.marked)) else "main"
+        """For each element, whether it's in the content that the page marks: article, or main where there is none.
+
+        One that stands in a menu, an aside or an element of a marked class counts only where the page has no other; a form about it says nothing.
+        An article in an article that has paragraphs of its own is a reader's comment, and is not in the content.
+        """
+        apart = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            tag = self.tag[k]
+            apart[k] = apart[self.parent[k]] or tag in DROPPED and tag != "form" or self.marked[k] and tag not in ("html", "body")
+        article = lambda k: self.tag[k] == "article" and not self.marked[k]
+        main = lambda k: (self.tag[k] == "main" or "role=main" in self.mark[k]) and not self.marked[k]
+        ways = [lambda k: article(k) and not apart[k], lambda k: main(k) and not apart[k], article, main]
+        found = next((w for w in ways if any(map(w, range(1, len(self.tag))))), None)
         inside = [False] * len(self.tag)
+        if found is None:
+            return inside
+        outer = [0] * len(self.tag)  # the innermost article about each element, itself included
+        for k in range(1, len(self.tag)):
+            inside[k] = inside[self.parent[k]] or found(k)
+            outer[k] = k if self.tag[k] == "article" and inside[k] else outer[self.parent[k]]
+        told = {outer[k] for k in range(1, len(self.tag)) if self.tag[k] in PARAGRAPHS and inside[k] and outer[k]}
         for k in range(1, len(self.tag)):
-            inside[k] = inside[self.parent[k]] or (not self.marked[k] and (self.tag[k] == wanted or wanted == "main" and "role=main" in self.mark[k]))
+            above = self.parent[k]
+            if self.tag[k] == "article" and outer[above] in told or inside[k] and not inside[above] and outer[above] in told:
+                inside[k] = False
         return inside
 
+    def holds(self, inside: list[bool]) -> list[bool]:
+        """For each element, whether content stands in it."""
+        out = [False] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            if inside[k] or out[k]:
+                out[self.parent[k]] = True
+        return out
+
+    def standing(self, template: np.ndarray, inside: list[bool]) -> list[int]:
+        """Recurring headings before what doesn't recur, and recurring items and cells of the content: they stay, unless what they stand in goes."""
+        follows: dict[int, int] = {}
+        out = []
+        for k in range(len(self.tag) - 1, 0, -1):
+            after = follows.get(self.parent[k])
+            follows[self.parent[k]] = k
+            if template[k] and (self.tag[k] in PARTS and inside[k] or self.tag[k] in HEADINGS and after is not None and not template[after]):
+                out.append(k)
+        return out
+
     def units(self, inside: list[bool]) -> list[int]:
         """The elements that can be template: blocks, and what stands directly in a block of blocks; none that holds what the page marks as its content."""
-        holds = [False] * len(self.tag)
-        for k in range(len(self.tag) - 1, 0, -1):
-            if inside[k] or holds[k]:
-                holds[self.parent[k]] = True
+        holds = self.holds(inside)
         out = []
         for k in range(1, len(self.tag)):
             tag, above = self.tag[k], self.tag[self.parent[k]]
@@ -226,10 +280,12 @@ class Page:
         """The blocks that are left, joined by two line feeds, and how many subtrees went as template. ``found`` has each element's level of recurrence."""
         inside = self.content()
         somewhere = any(inside)
+        holds = self.holds(inside)
         template = np.zeros(len(self.tag), bool)
         if found is not None and found.any():
             units = self.units(inside)
             template[units] = found[units] >= np.array(self.levels(inside))[units]
+            template[self.standing(template, inside)] = False
         gone, deleted = [False] * len(self.tag), 0
         for k, by_count in enumerate(template.tolist()):
             tag = self.tag[k]
@@ -238,7 +294,8 @@ class Page:
             elif by_count:
                 gone[k], deleted = True, deleted + 1
             else:
-                gone[k] = tag in DROPPED or self.marked[k] and tag not in ("html", "body", "article", "main") or tag == "header" and not inside[k]
+                named = self.marked[k] and (tag not in ("html", "body", "article", "main") or inside[self.parent[k]])
+                gone[k] = (tag in DROPPED or named or tag == "header" and not inside[k]) and not (holds[k] and not inside[k])
         keep = [not g and (i or not somewhere) for g, i in zip(gone, inside)]
         return "\n\n".join(self.blocks(keep)), deleted
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -40,6 +41,10 @@ def pages(spark, rows):
         ("<article><p>t</p><section class=comments><p>reader</p></section></article>", "t"), ("<ul><li>a<li>b</ul>", "a\n\nb"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("<title>no</title><p>a&nbsp;b&#233;&lt;i&gt;</p>", "a bé<i>"),
         ("<p>a<script>x", "a"), ("<P CLASS=x>up<BR/>per</P>", "up per"), ("<article>one</article><article>two</article>", "one\n\ntwo"), ("<p title='a>b'>q</p>", "q"), ("<div role=navigation>n</div><p>y</p>", "y"), ("</p></div>z", "z"),
         ("<head><title>t</title><body><p>b</p>", "b"), ("<p>&amp;amp; &ampx</p>", "&amp; &x"),
+        ('<form id="f"><article><p>Main text here.</p></article><input><button>Go</button></form>', "Main text here."), ("<div class='overlay'><p>x</p><main><p>m</p></main></div>", "m"),
+        ('<article><p>Main.</p><section><article class="comment"><p>Reader says hi</p></article></section></article>', "Main."), ("<article><p>Main.</p><div><article><p>Reader says hi</p></article></div></article>", "Main."),
+        ("<article><article><h1>T</h1><p>inner</p></article></article>", "T\n\ninner"), ("<main><p>the text</p></main><aside><article><p>teaser</p></article></aside>", "the text"), ("<aside><article><p>only one</p></article></aside>", "only one"),
+        ("<form><main><p>m</p><form><p>in it</p></form></main></form>", "m"), ("<article class=promo><p>all there is</p></article>", "all there is"),
     ],
 )
 def test_text_of_one_page(html, text):
@@ -53,6 +58,26 @@ def test_any_markup_is_read(parts):
     assert isinstance(p.text()[0], str) and len(p.hashes()) == len(p.tag)
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 100_000, "<span>" * 100_000 + "</em>" * 100_000, "<em><div>" + "<span>" * 100_000 + "</em>" * 100_000, "<p><table><tr><td>" + "<div>" * 100_000, "<ul>" + "<li><span>" * 50_000, "<p><b>" * 50_000, "<article>" * 50_000, "<dl>" + "<dt><i><dd>" * 30_000],
+)
+def test_depth_costs_no_more_than_length(html):
+    began = time.process_time()
+    assert Page(html + "deep").text()[0].endswith("deep")
+    assert time.process_time() - began < 4
+
+
+def test_headings_between_texts_of_their_own_stay(spark):
+    """20 recipes with equal headings and steps; 40 pages without marks, of which a fifth has a heading in common."""
+    recipe = lambda i: f"<nav>menu</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>salt</li><li>thing {i}</li></ul><h2>Method</h2><p>Do number {i} with it</p></article>"
+    got = main_text(pages(spark, [(i, f"http://r.example/{i}", recipe(i)) for i in range(20)])).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Dish {i}\n\nIngredients\n\nsalt\n\nthing {i}\n\nMethod\n\nDo number {i} with it" for i in range(20)}
+    plain = lambda i: "<div>" + ("<h2>History</h2>" if i % 5 == 0 else "") + f"<p>Place {i} was founded in {1500 + i}.</p></div><div><h2>Also here</h2><p>Call the office today</p></div>"
+    got = main_text(pages(spark, [(i, f"http://p.example/{i}", plain(i)) for i in range(40)])).collect()
+    assert {r.page_id: r.text for r in got} == {i: ("History\n\n" if i % 5 == 0 else "") + f"Place {i} was founded in {1500 + i}." for i in range(40)}
+
+
 def test_deep_and_long_pages():
     assert Page("<div>" * 30000 + "deep").text()[0] == "deep"
     t = "word " * 200000
