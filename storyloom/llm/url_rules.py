@@ -2,7 +2,7 @@
 
 Everything is a DataFrame function, or FP-growth as Spark has it. Labelled urls become sets of tokens with
 their label as one more; FP-growth mines the sets that occur together, rules from tokens to a label are
-kept if their support and confidence suffice, if they say more than the label's base rate does, and if no shorter rule says as much. A url is
+kept if their support and confidence suffice, if they say more than the label's base rate does, on the urls that they are mined from and on others held out, and if no shorter rule says as much. A url is
 matched by an inverted index: each rule stands under its rarest token, a url looks its own tokens up, and the rules found are verified
 against all its tokens. Of the rules of both labels that fit, the surest decides: a rule's certainty is the share of the way from
 its label's base rate to 1 that its confidence has gone, taken at the lower end of the confidence's interval, so that a
@@ -12,7 +12,7 @@ label that is rare everywhere can win, and a rule seen a few times counts for le
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
@@ -24,6 +24,8 @@ LABEL = "label="
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 10, 0.2
 #: A rule's confidence is so many times its label's base rate at least, and the interval below it that still exceeds the rate is so many standard errors wide.
 MIN_LIFT, ERRORS = 1.02, 1.0
+#: One labelled url of so many, by its hash, is held out from mining, and there a rule's confidence, so many standard errors lower, must exceed the label's rate as well.
+HELD_EVERY, HELD_ERRORS = 3, 1.64
 #: Up to so many rules are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -66,34 +68,46 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def _low(share: Column, n: Column, errors: float) -> Column:
+    """The lower end of Wilson's interval."""
+    z = errors * errors
+    return (share + z / (n * 2) - errors * F.sqrt((share * (1 - share) + z / (n * 4)) / n)) / (1 + z / n)
+
+
 def certainty(confidence: Column, lift: Column, support: Column, rows: int, errors: float) -> Column:
     """From 0 (no more than the base rate) to 1, at the lower end of Wilson's interval; negative below the rate."""
-    n, z = support * rows / confidence, errors * errors
-    low = (confidence + z / (n * 2) - errors * F.sqrt((confidence * (1 - confidence) + z / (n * 4)) / n)) / (1 + z / n)
     rate = confidence / lift
-    return (low - rate) / F.greatest(1 - rate, F.lit(1e-12))
+    return (_low(confidence, support * rows / confidence, errors) - rate) / F.greatest(1 - rate, F.lit(1e-12))
 
 
 def mined_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, errors: float = ERRORS
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, errors: float = ERRORS,
+    held_every: int = HELD_EVERY, held_errors: float = HELD_ERRORS,
 ) -> DataFrame:
-    """``(tokens, verdict, confidence, support, lift, certainty, under)`` from ``labelled(url, verdict)``.
+    """``(tokens, verdict, confidence, support, lift, certainty, under, held_n, held_confidence, held_rate)`` from ``labelled(url, verdict)``.
 
-    ``under`` is the rule's rarest token. Rows with a null url or verdict teach nothing; where fewer than ``min_count`` rows are left, only what
-    all of them share can be a rule; where all have one verdict, no rule says more than that. A rule is dropped if a rule from part of its tokens
+    ``under`` is the rule's rarest token. Rules are mined from the urls that aren't held out, and must hold on those that are; equal urls are on one side. Rows with a null url or verdict teach nothing; where
+    fewer than ``min_count`` rows are left, only what all of them share can be a rule; where all have one verdict, no rule says more than that. A rule is dropped if a rule from part of its tokens
     to the same verdict is at least as certain. Other columns are ignored.
     """
-    sets = labelled.where("url is not null and verdict is not null").select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    sets = checkpointed(sets)
-    rows = sets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(max(min_support, min_count / max(rows, 1)), 1.0), minConfidence=min_confidence).fit(sets)
+    known = labelled.where("url is not null and verdict is not null")
+    sets = checkpointed(known.select(url_tokens(F.col("url")).alias("tokens"), "verdict", (F.pmod(F.xxhash64("url"), F.lit(held_every)) == 0).alias("held")))
+    mine = sets.where("not held").select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    rows = mine.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(max(min_support, min_count / max(rows, 1)), 1.0), minConfidence=min_confidence).fit(mine)
     sure = certainty(F.col("confidence"), F.col("lift"), F.col("support"), rows, errors)
-    found = checkpointed(
+    found = (
         model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift))
         .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 99).alias("verdict"), "confidence", "support", "lift", sure.alias("certainty"))
         .where("certainty > 0")
     )
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq"))
+    figures = ["confidence", "support", "lift", "certainty"]
+    rarest = (
+        found.withColumn("token", F.explode("tokens")).join(single, "token")
+        .groupBy("tokens", "verdict").agg(*(F.max(c).alias(c) for c in figures), F.min_by("token", F.struct("freq", "token")).alias("under"))
+    )
+    found = checkpointed(_confirmed(checkpointed(rarest), sets.where("held"), held_errors))
     # shorter rules are found under each token of a longer one, and must be part of it
     part = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("short"), F.col("verdict").alias("v"), F.col("certainty").alias("c"))
     longer = found.where(F.size("tokens") > 1).withColumn("token", F.explode("tokens"))
@@ -102,13 +116,19 @@ def mined_rules(
         .where((F.col("verdict") == F.col("v")) & (F.size("short") < F.size("tokens")) & (F.col("c") >= F.col("certainty")) & (F.size(F.array_except("short", "tokens")) == 0))
         .select("tokens", "verdict").distinct()
     )
-    kept = found.join(covered, ["tokens", "verdict"], "left_anti")
-    figures = ["confidence", "support", "lift", "certainty"]
-    rarest = (
-        kept.select("tokens", "verdict", *figures, F.explode("tokens").alias("token")).join(single, "token")
-        .groupBy("tokens", "verdict").agg(*(F.max(c).alias(c) for c in figures), F.min_by("token", F.struct("freq", "token")).alias("under"))
-    )
-    return checkpointed(rarest)
+    return checkpointed(found.join(covered, ["tokens", "verdict"], "left_anti"))
+
+
+def _confirmed(rules: DataFrame, held: DataFrame, errors: float) -> DataFrame:
+    """The rules whose confidence on the held-out rows, ``errors`` standard errors lower, exceeds the rate of their label there."""
+    index = rules.select("under", F.col("tokens").alias("wanted"), F.col("verdict").alias("wants"))
+    few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = held.withColumn("token", F.explode("tokens")).join(F.broadcast(index) if few else index, F.col("token") == F.col("under")).where(F.size(F.array_except("wanted", "tokens")) == 0)
+    seen = met.groupBy("wanted", "wants").agg(F.count("*").alias("held_n"), F.avg((F.col("verdict") == F.col("wants")).cast("double")).alias("held_confidence"))
+    rates = held.groupBy(F.col("verdict").alias("of")).agg(F.count("*").alias("n"))
+    rates = rates.select("of", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("held_rate"))  # a row for each label
+    out = rules.join(seen, (F.col("tokens") == F.col("wanted")) & (F.col("verdict") == F.col("wants"))).join(F.broadcast(rates), F.col("verdict") == F.col("of"))
+    return out.where(_low(F.col("held_confidence"), F.col("held_n"), errors) > F.col("held_rate")).drop("wanted", "wants", "of")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

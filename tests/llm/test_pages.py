@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 from itertools import combinations
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -337,8 +338,15 @@ def labelled(n=400, seed=1):
     return out
 
 
-def naive_rules(sets, confidence=0.2, lift=1.02):
-    """All sets of tokens that some url has, counted one by one."""
+def wilson(p, m, z):
+    return (p + z * z / (2 * m) - z * math.sqrt((p * (1 - p) + z * z / (4 * m)) / m)) / (1 + z * z / m)
+
+
+def naive_rules(rows, confidence=0.2, lift=1.02):
+    """All sets of tokens that some url of ``(url, tokens, verdict)`` has, counted one by one; they must hold on the third of the urls that is held out."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    held = [(t, v) for u, t, v in rows if signed(xxhash.xxh64_intdigest(u.encode(), 42)) % 3 == 0]
+    sets = [(t, v) for u, t, v in rows if signed(xxhash.xxh64_intdigest(u.encode(), 42)) % 3]
     n, base, have = len(sets), Counter(v for _, v in sets), Counter()
     both = Counter()
     for tokens, v in sets:
@@ -349,8 +357,10 @@ def naive_rules(sets, confidence=0.2, lift=1.02):
     found = {}
     for (tokens, v), hit in both.items():
         p, rate, m = hit / have[tokens], base[v] / n, have[tokens]
-        low = (p + 1 / (2 * m) - math.sqrt((p * (1 - p) + 1 / (4 * m)) / m)) / (1 + 1 / m)
-        sure = (low - rate) / (1 - rate)
+        sure = (wilson(p, m, 1) - rate) / (1 - rate)
+        others = [w == v for t, w in held if tokens <= t]
+        if not others or wilson(sum(others) / len(others), len(others), 1.64) <= sum(w == v for _, w in held) / len(held):
+            continue
         if hit >= max(math.ceil(0.002 * n), 10) and p >= confidence and p / rate >= lift and sure > 0:
             found[tokens, v] = (p, hit / n, p / rate, sure)
     return {k: f for k, f in found.items() if not any(t < k[0] and v == k[1] and g[3] >= f[3] for (t, v), g in found.items())}
@@ -362,7 +372,7 @@ def test_mined_rules_by_brute_force(spark):
     sets = [(frozenset(r.t), v) for r, (_, v) in zip(df.select(url_tokens(F.col("url")).alias("t")).collect(), rows)]
     rules = mined_rules(df).collect()
     assert rules and {"name=casino"} in [set(r.tokens) for r in rules if r.verdict == "block"]
-    naive = naive_rules(sets)
+    naive = naive_rules([(u, s, v) for (u, _), (s, v) in zip(rows, sets)])
     assert {(frozenset(r.tokens), r.verdict) for r in rules} == set(naive) and {r.verdict for r in rules} == {"allow", "block"}
     for r in rules:
         assert (r.confidence, r.support, r.lift, r.certainty) == pytest.approx(naive[frozenset(r.tokens), r.verdict]) and r.under in r.tokens
@@ -375,6 +385,18 @@ def test_mined_rules_by_brute_force(spark):
     assert {m.url for m in matched(df, spark.createDataFrame(rules)).collect()} == {u for u, s in tokens.items() if any(set(r.tokens) <= s for r in rules)}
 
 
+def test_rules_by_chance_are_dropped(spark):
+    """Labels drawn without a look at the url teach nothing, however many sets of tokens are tried; on the given pages a rule is kept only if it beats the rate of its label on urls that it wasn't mined from."""
+    r = random.Random(9)
+    kept = mined_rules(spark.createDataFrame([(u, "block" if r.random() < 0.15 else "allow") for u, _ in labelled(1500, 4)], "url string, verdict string")).collect()
+    assert len(kept) <= 2
+    sf = "/root/testdata/sf0.1"
+    pages_, labels = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), spark.read.parquet(f"{sf}/labels.parquet")
+    number = F.regexp_extract(url_parts(F.col("url"))[1], "([0-9]{1,18})(?:[.][a-z]+)?/?$", 1).try_cast("long")
+    known = pages_.withColumn("of", number).join(labels.where("quality is not null"), F.col("of") == F.col("doc_id")).select("url", F.when(F.col("quality") == 0, "block").otherwise("allow").alias("verdict"))
+    assert all(x.held_confidence > x.held_rate for x in mined_rules(known).collect())
+
+
 def test_judged_rows(spark):
     mined = mined_rules(spark.createDataFrame(labelled(), "url string, verdict string"))
     rows = [(i, u) for i, u in enumerate(URLS)] + [(100, "http://casino-win.example.com/en/5"), (101, "http://garden.example.com/en/5"), (101, "http://garden.example.com/en/5"), (None, "http://casino-win.example.net/en/1")]
@@ -417,7 +439,7 @@ def test_query_of_urls_by_brute_force(spark, tables):
     quality = [(i, 0 if ("casino" in u) == (r.random() < 0.7) else 1, 0) for i, u in enumerate(urls) if i % 3]
     folder = tables(pages=spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string"), labels=spark.createDataFrame(quality, "doc_id long, quality int, toxic int"))
     split = {u: frozenset(t.t) for u, t in zip(urls, spark.createDataFrame([(u,) for u in urls], "url string").select(url_tokens(F.col("url")).alias("t")).collect())}
-    known = naive_rules([(split[urls[i]], "allow" if q else "block") for i, q, _ in quality])
+    known = naive_rules([(urls[i], split[urls[i]], "allow" if q else "block") for i, q, _ in quality])
     for row in Q.op10_url_filter(spark, folder).collect():
         url = dict(rows)[row.page_id]
         host, path, rule, verdict = plain_judge(url)
