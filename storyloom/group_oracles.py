@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries in which rows are taken for one in order: rows are replayed one after another by recursion."""
+"""DuckDB SQL of the queries in which rows are taken for one in order, replayed one after another by recursion, and of those over whole tables as one story."""
 
 from __future__ import annotations
 
@@ -82,5 +82,26 @@ done AS (SELECT conv_id, unnest(cl) AS x FROM fold QUALIFY row_number() OVER (PA
 SELECT conv_id, CAST(unnest(x.held) AS BIGINT) AS turn, CAST(x.held[1] AS BIGINT) AS cluster_turn, len(x.held) = 1 AS alone, x.name AS told_name, x.id AS told_id FROM done"""
 
 
+TIMELINE_ISLANDS = f"""WITH {oracles.MENTIONS},
+s AS (SELECT event_id, at_s AS b, at_s + ((cents % 91) + 91) % 91 AS e, cents FROM m),
+f AS (SELECT *, CASE WHEN b > max(e) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 5 THEN 1 ELSE 0 END AS f FROM s),
+i AS (SELECT *, CAST(sum(f) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS island FROM f)
+SELECT island, count(*) AS n_events, min(b) AS began, max(e) AS ended, max(cents) AS top_cents FROM i GROUP BY island"""
+
+TIMELINE_NEAREST = f"""WITH {oracles.MENTIONS}, o AS (SELECT DISTINCT at_s FROM m WHERE event_type <> 'purchase'), p AS (SELECT event_id, at_s AS t FROM m WHERE event_type = 'purchase'),
+lo AS (SELECT p.*, o.at_s AS lo FROM p ASOF LEFT JOIN o ON p.t >= o.at_s), both_sides AS (SELECT lo.*, o.at_s AS hi FROM lo ASOF LEFT JOIN o ON lo.t <= o.at_s)
+SELECT event_id, t AS "at", CASE WHEN lo IS NOT NULL AND (hi IS NULL OR t - lo <= hi - t) THEN lo ELSE hi END AS nearest_at FROM both_sides"""
+
+TIMELINE_WINDOWS = """WITH u AS (SELECT conv_id * 1000 + turn AS i, coalesce(text, '') AS text FROM conversations)
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS center_index, array_to_string(list(i) OVER k, ',') AS segments, CAST(first_value(i) OVER k * 10.0 AS DOUBLE) AS start_sec, CAST(last_value(i) OVER k * 10.0 + 8.0 AS DOUBLE) AS end_sec,
+  CAST(i * 10.0 + 4.0 AS DOUBLE) AS center_sec, CAST(length(array_to_string(list(text) OVER k, ' ')) AS INT) AS n_chars FROM u WINDOW k AS (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
+
+SCRIPT_OF_ALL = r"""WITH d AS (SELECT doc_id, doc_id % 5 = 0 AS omitted, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS scene_idx, CAST(sum(CASE WHEN omitted THEN 0 ELSE 1 END) OVER (ORDER BY doc_id) - 1 AS INT) AS dense, CAST(doc_id % 99 + 1 AS INT) AS label FROM d)
+SELECT scene_idx, CASE WHEN omitted THEN -1 ELSE dense END AS scene_idx_non_omitted, label AS scene_label_int, CASE WHEN omitted THEN 'OMITTED' ELSE 'INT.' END AS marker_type,
+  CASE WHEN omitted THEN 'OMITTED ' || label ELSE 'INT. PLACE OF ' || doc_id || ' - DAY' END AS heading, CAST(doc_id AS INT) AS page_start, CAST(doc_id AS INT) AS page_end,
+  CAST(len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END AS INT) AS n_lines FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}
+    return {"timeline_islands": TIMELINE_ISLANDS, "timeline_nearest": TIMELINE_NEAREST, "timeline_windows": TIMELINE_WINDOWS, "script_of_all": SCRIPT_OF_ALL, "story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}

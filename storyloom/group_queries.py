@@ -1,4 +1,4 @@
-"""Queries in which rows of a story arrive in order and are taken for one where names meet."""
+"""Queries in which rows of a story arrive in order and are taken for one where names meet, and queries over whole tables as one story, whose rows lie in many tasks."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.functions.session import checkpointed, read_table
+from storyloom.operators.joins import nearest
+from storyloom.operators.sequences import islands, neighbour_windows
 from storyloom.plans.candidates import inventory_groups
 from storyloom.plans.clusters import TRAIT, ordered_clusters
 from storyloom.plans.inventory import merge_records
+from storyloom.plans.scenes import page_lines, split_scenes
 
 
 def turn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +84,42 @@ def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("story_id").cast("long").alias("conv_id"), F.col("at").alias("turn"), F.col("cluster").alias("cluster_turn"), "alone", "told_name", "told_id")
 
 
+def timeline_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as spans of one timeline, up to 90 seconds long; spans that are 5 seconds apart or less become one."""
+    from storyloom.queries import event_mentions
+
+    spans = event_mentions(spark, sf_dir).select("event_id", "at", (F.col("at") + F.pmod("cents", F.lit(91))).alias("until"), "cents")
+    found = islands(spans, [], "at", "until", 5, spread=True)
+    return found.groupBy("island").agg(F.count("*").alias("n_events"), F.min("at").alias("began"), F.max("until").alias("ended"), F.max("cents").alias("top_cents"))
+
+
+def timeline_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the moment of any user's nearest other event."""
+    from storyloom.queries import event_mentions
+
+    e = event_mentions(spark, sf_dir)
+    bought = e.where("event_type = 'purchase'").select("event_id", "at")
+    return nearest(bought, e.where("event_type <> 'purchase'").select(F.col("at").alias("other")), "at", "other", [], "nearest_at", spread=True)
+
+
+def timeline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations as one subtitle track: windows of two turns on both sides."""
+    c = read_table(spark, sf_dir, "conversations")
+    index = F.col("conv_id") * 1000 + F.col("turn")
+    turns = c.select(index.alias("index"), (index * 10.0).alias("start_sec"), (index * 10.0 + 8.0).alias("end_sec"), F.coalesce("text", F.lit("")).alias("text"))
+    w = neighbour_windows(turns, [], "index", 2, spread=True, block=4096)
+    return w.select("center_index", F.array_join(F.transform("segment_indices", lambda i: i.cast("string")), ",").alias("segments"), "start_sec", "end_sec", "center_sec", F.length("text").alias("n_chars"))
+
+
+def script_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the pages of one script, each under a heading, every fifth of them omitted: scenes numbered through the whole script."""
+    d = read_table(spark, sf_dir, "documents").where("text is not null")
+    label = (F.col("doc_id") % 99 + 1).cast("string")
+    heading = F.when(F.col("doc_id") % 5 == 0, F.concat(label, F.lit(" OMITTED "), label)).otherwise(F.concat(label, F.lit("  INT. PLACE   OF "), F.col("doc_id").cast("string"), F.lit(" - DAY")))
+    pages = d.select(F.lit("all").alias("story_id"), F.col("doc_id").cast("int").alias("page_no"), F.concat(heading, F.lit("\n"), "text").alias("text"))
+    s = split_scenes(page_lines(pages), spread=True)
+    return s.select("scene_idx", "scene_idx_non_omitted", "scene_label_int", "marker_type", "heading", "page_start", "page_end", F.size("lines").alias("n_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (story_groups, role_inventory, candidate_dedup)}
+    return {f.__name__: f for f in (story_groups, role_inventory, candidate_dedup, timeline_islands, timeline_nearest, timeline_windows, script_of_all)}

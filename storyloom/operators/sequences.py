@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
+from storyloom.operators.stretches import Stretches, shared_borders
 
 
 def ordered_list(order: Column, value: Column) -> Column:
@@ -19,11 +20,15 @@ def ordered_union(order: Column, values: Column, most: int | None = None) -> Col
     return out if most is None else F.slice(out, 1, most)
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: float, out: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: float, out: str = "island", spread: bool = False) -> DataFrame:
     """Adds ``out``: the number of the merged interval that a row belongs to, from 0 in order of start.
 
-    A row joins the island before it if it starts no later than ``gap`` after the latest end so far.
+    A row joins the island before it if it starts no later than ``gap`` after the latest end so far. A window holds a key's rows; with ``spread`` they lie in many tasks, for keys of any size.
     """
+    if spread:
+        s = Stretches(df, keys, [F.col(start).asc(), F.col(end).asc()]).running("_reach", "max", F.col(end), before=True)
+        new = F.when(F.col(start) > F.col("_reach") + gap, 1).otherwise(0)
+        return s.running(out, "sum", new).done().withColumn(out, F.col(out).cast("int")).drop("_reach")
     order = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col(start) > reach + gap, 1).otherwise(0)
@@ -58,18 +63,26 @@ def running_index(df: DataFrame, order: str, active: Column, out: str, keys: lis
     )
 
 
-def neighbour_windows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+def neighbour_windows(df: DataFrame, keys: list[str], order: str, n: int, spread: bool = False, block: int = 65536) -> DataFrame:
     """For each timed text the window of ``n`` rows on both sides.
 
     Needs ``index, start_sec, end_sec, text``. Start is the first row's, end the last row's (not the latest), centre the row's own.
+    A window holds a key's rows; with ``spread`` it holds ``block`` of them, and the ``n`` beyond its borders.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
+    if spread:
+        placed = Stretches(df, keys, [F.col(order).asc()]).running("_place", "sum", F.lit(1).cast("long"), before=True).done()
+        df = shared_borders(placed.withColumn("_place", F.coalesce("_place", F.lit(0)).cast("long")), keys, "_place", n, max(block, 2 * n + 1))
+        w, place = Window.partitionBy(*keys, "_block").orderBy("_place"), F.col("_place").cast("int")
+    else:
+        df = df.withColumn("_home", F.lit(True))
+        w = Window.partitionBy(*keys).orderBy(order)
+        place = F.row_number().over(w) - 1
     around = w.rowsBetween(-n, n)
     return df.select(
-        *keys, (F.row_number().over(w) - 1).alias("center_index"), F.collect_list("index").over(around).alias("segment_indices"),
+        *keys, "_home", place.alias("center_index"), F.collect_list("index").over(around).alias("segment_indices"),
         F.first("start_sec").over(around).alias("start_sec"), F.last("end_sec").over(around).alias("end_sec"),
         (F.lit(0.5) * (F.col("start_sec") + F.col("end_sec"))).alias("center_sec"), F.array_join(F.collect_list("text").over(around), " ").alias("text"),
-    )
+    ).where("_home").drop("_home")
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators.sequences import ordered_list
+from storyloom.operators.stretches import Stretches
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -16,15 +17,24 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return out.where(~((F.col("line") == "") & (F.col("line_no") == F.col("_n") - 1))).drop("_n")  # what follows the last line end
 
 
-def split_scenes(lines: DataFrame) -> DataFrame:
+def _counted(rows: DataFrame, order: list[str], on: Column, out: str, spread: bool) -> DataFrame:
+    """Adds ``out``: the rows so far of a story that are ``on``."""
+    one = on.cast("int")
+    if spread:
+        return Stretches(rows, ["story_id"], [F.col(c).asc() for c in order]).running(out, "sum", one).done()
+    return rows.withColumn(out, F.sum(one).over(Window.partitionBy("story_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def split_scenes(lines: DataFrame, spread: bool = False) -> DataFrame:
     """Scenes in order from ``lines(story_id, page_no, line_no, line)``.
 
     A heading opens a scene; lines before the first belong to none. Revision and title headers are dropped.
     A scene ends on the page of its last line that isn't blank. Omitted scenes have no index of their own (-1).
+    Scenes are numbered by a window that holds a story's lines; with ``spread`` they lie in many tasks, for a story of any length, and a scene's own lines are all that is gathered.
     """
-    w = Window.partitionBy("story_id").orderBy("page_no", "line_no")
     marked = lines.withColumn("_s", T.strip(F.col("line"))).withColumn("_h", T.heading_parts(F.col("line")))
-    marked = marked.withColumn("scene_idx", F.sum(F.col("_h").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).where("scene_idx >= 0")
+    marked = _counted(marked, ["page_no", "line_no"], F.col("_h").isNotNull(), "_scene", spread)
+    marked = marked.withColumn("scene_idx", F.col("_scene") - 1).drop("_scene").where("scene_idx >= 0")
     header = F.col("_s").startswith("Rev.") | F.col("_s").startswith("HARRY POTTER")
     kept = F.col("_h").isNull() & ~header
     at = F.struct("page_no", "line_no")
@@ -34,9 +44,9 @@ def split_scenes(lines: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("_s") != "", F.col("page_no"))), F.min("page_no")).alias("page_end"),
         F.filter(ordered_list(at, F.when(kept, text)), lambda x: x.isNotNull()).alias("lines"),
     )
-    order = Window.partitionBy("story_id").orderBy("scene_idx")
     told = F.col("_h.kind") != "OMITTED"
-    dense = F.sum(told.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    scenes = _counted(scenes, ["scene_idx"], told, "_told", spread)
+    dense = F.col("_told") - 1
     return scenes.select(
         "story_id", F.col("scene_idx").cast("int").alias("scene_idx"), F.when(told, dense).otherwise(-1).cast("int").alias("scene_idx_non_omitted"), F.col("_h.label").alias("scene_label_raw"),
         F.regexp_extract("_h.label", r"^\d{1,3}", 0).cast("int").alias("scene_label_int"), F.col("_h.kind").alias("marker_type"),
