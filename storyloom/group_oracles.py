@@ -103,5 +103,43 @@ SELECT scene_idx, CASE WHEN omitted THEN -1 ELSE dense END AS scene_idx_non_omit
   CAST(len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END AS INT) AS n_lines FROM n"""
 
 
+D, CLAMP, R4 = (lambda x: f"CAST({x} AS DOUBLE)"), (lambda x: f"least(greatest({x}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))"), (lambda x: f"CAST(round(CAST({x} AS DECIMAL(24, 12)), 4) AS DOUBLE)")
+_TOLD = lambda on, name: f"CASE WHEN {on} THEN '{name}' END"
+_LISTED = lambda parts: f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+_JOINED = lambda c: f"array_to_string({c}, ',')"
+
+#: Every word of a conversation as an object: its turns, its gap in what the assistant says, how it scores as setup and payoff, and why.
+NARRATIVE_CANDIDATES = f"""WITH {oracles.TURN_WORDS.replace('x -> ', 'lambda x: ')},
+w AS (SELECT DISTINCT conv_id, turn, role = 'assistant' AS acted, object_id AS word FROM t WHERE role <> 'system'),{oracles.max_gaps_sql('ev0', '(SELECT * FROM w WHERE acted)', 'conv_id, word', 'turn')},
+ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY gap_jump DESC, word) - 1 AS INT) AS event_idx FROM ev0),
+c AS (SELECT conv_id, turn, role || ' ' || turn AS heading, least(CAST(floor(length(text) / 20) AS INT), 100) AS climax FROM conversations), tot AS (SELECT conv_id, max(turn) + 1 AS total FROM c GROUP BY conv_id),
+q AS (SELECT conv_id, quantile_cont(gap_jump, 0.5) AS q50, quantile_cont(gap_jump, 0.75) AS q75 FROM ev GROUP BY conv_id),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY word DESC) - 1 AS pos FROM w),
+r AS (SELECT w.conv_id, w.word, w.turn, w.acted, c.heading, c.climax, e.event_idx IS NOT NULL AND w.acted AS anchor, {GENERIC('w.word')} AS single FROM w JOIN c USING (conv_id, turn) LEFT JOIN ev e ON e.conv_id = w.conv_id AND e.word = w.word
+  WHERE NOT {GENERIC('w.word')} OR e.event_idx IS NOT NULL AND w.acted), -- of a generic word there is the event alone
+g AS (SELECT conv_id, word, list(turn ORDER BY turn) AS turns, count(*) AS n, min(turn) AS lo, max(turn) AS hi, bool_or(acted) AS any_acted, sum(CASE WHEN acted THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) / count(*) AS visual, sum(CASE WHEN acted THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END) / count(*) AS sure,
+  list_sort(list_distinct(list(CASE WHEN acted THEN 'action' ELSE 'dialogue' END))) AS channels, bool_or(NOT anchor) AS loose, bool_or(NOT anchor AND acted) AS loose_acted, bool_or(NOT acted) AS spoken, bool_or(single) AS single FROM r GROUP BY conv_id, word HAVING count(*) >= 2),
+gap AS (SELECT conv_id, word, turn AS a, nx AS b, nx - turn AS gap FROM (SELECT conv_id, word, turn, lead(turn) OVER (PARTITION BY conv_id, word ORDER BY turn) AS nx FROM r) WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, word ORDER BY nx - turn DESC, turn) = 1),
+s0 AS (SELECT g.*, e.event_idx, e.event_idx IS NOT NULL AS prior, coalesce(e.a, gap.a) AS a, coalesce(e.b, gap.b) AS b, CAST(coalesce(e.gap_jump, gap.gap) AS INT) AS gap_jump, CAST(coalesce(e.freq, g.n) AS INT) AS freq, coalesce(e.coverage, g.n / {D('greatest(g.hi - g.lo + 1, 1)')}) AS coverage,
+  CASE WHEN e.event_idx IS NOT NULL THEN 0.6::DOUBLE WHEN any_acted THEN 0.6::DOUBLE ELSE 0.2275::DOUBLE END AS act, CASE WHEN e.event_idx IS NOT NULL THEN 0.7::DOUBLE ELSE {R4('visual')} END AS vis,
+  CASE WHEN e.event_idx IS NOT NULL THEN 0.4::DOUBLE ELSE 0.35::DOUBLE END AS sta, CASE WHEN e.event_idx IS NOT NULL THEN 0.8::DOUBLE ELSE {R4('sure')} END AS con, total, coalesce(q50, 0) AS q50, coalesce(q75, 0) AS q75, {D('greatest(total - 1, 1)')} AS d
+  FROM g JOIN gap USING (conv_id, word) JOIN tot USING (conv_id) LEFT JOIN q USING (conv_id) LEFT JOIN ev e ON e.conv_id = g.conv_id AND e.word = g.word),
+s1 AS (SELECT s0.*, (SELECT max(climax) FROM r WHERE r.conv_id = s0.conv_id AND r.word = s0.word AND r.turn >= s0.b) AS climax FROM s0),
+s2 AS (SELECT *, {CLAMP(f"{D('0.22')} * {CLAMP('gap_jump / greatest(q75, CAST(1.0 AS DOUBLE))')} + {D('0.15')} * {CLAMP(D('1.0') + ' - lo / d')} + {D('0.15')} * {CLAMP('hi / d')} + {D('0.16')} * {CLAMP('climax / ' + D('100.0'))} + {D('0.10')} * act + {D('0.08')} * vis + {D('0.05')} * sta + {D('0.04')} * con + {D('0.04')} * {CLAMP(D('1.0') + ' - coverage')} + {D('0.03')} * (CASE WHEN freq <= 5 THEN {D('1.0')} ELSE {CLAMP(D('1.0') + ' - (freq - 5) / ' + D('10.0'))} END) + (CASE WHEN loose THEN {D('0.04')} ELSE {D('0.0')} END) + (CASE WHEN loose_acted THEN {D('0.02')} ELSE {D('0.0')} END) + (CASE WHEN prior THEN {D('0.03')} ELSE {D('0.0')} END)")} AS raw FROM s1),
+s AS (SELECT *, {R4('raw')} AS score, CASE WHEN len(list_filter(turns, lambda x: x <= a)) > 0 THEN list_filter(turns, lambda x: x <= a)[1:2] ELSE [lo] END AS setup, CASE WHEN len(list_filter(turns, lambda x: x >= b)) > 0 THEN list_filter(turns, lambda x: x >= b) ELSE [hi] END AS payoff FROM s2),
+roles AS (SELECT s.conv_id, s.word, string_agg(array_to_string({_LISTED([
+    _TOLD('list_contains(setup, turn)', 'setup_candidate'), _TOLD('list_contains(payoff, turn)', 'payoff_candidate'), _TOLD('turn = a', 'gap_anchor_a'), _TOLD('turn = b', 'gap_anchor_b'), _TOLD('r.climax >= 70', 'high_climax_scene'),
+    _TOLD('NOT anchor', 'scene_inventory_loose_match'), "CASE WHEN r.single THEN NULL WHEN acted THEN 'action_supported_match' ELSE 'dialogue_only_match' END"])}, '+'), '|' ORDER BY turn) AS roles, string_agg(heading, '|' ORDER BY turn) AS headings FROM s JOIN r USING (conv_id, word) GROUP BY s.conv_id, s.word)
+SELECT s.conv_id, CAST(row_number() OVER (PARTITION BY s.conv_id ORDER BY score DESC, gap_jump DESC, act DESC, vis DESC, single, CASE WHEN single THEN event_idx ELSE lo END, pos.pos) - 1 AS INT) AS candidate_index, s.word AS object_id, s.word AS canonical_name,
+  CASE WHEN single THEN 'stage1_fallback' WHEN prior THEN 'inventory_with_stage1_prior' ELSE 'inventory_only' END AS candidate_source, score AS possible_chekhov_score, CASE WHEN raw >= 0.72 THEN 'high' WHEN raw >= 0.58 THEN 'medium' WHEN raw >= 0.45 THEN 'low' ELSE 'unlikely' END AS possible_chekhov_label,
+  CAST(n AS INT) AS chain_size, gap_jump, freq AS freq_scenes, array_to_string({_LISTED([
+    _TOLD('NOT prior', 'inventory_only_candidate'), _TOLD('single', 'stage1_fallback_candidate'), _TOLD('prior', 'stage1_prior_support'), _TOLD('total > 1 AND lo <= 0.35::DOUBLE * (total - 1)', 'early_setup_scene'),
+    "CASE WHEN q75 > 0 AND gap_jump >= q75 THEN 'extreme_reappearance_gap' WHEN q50 > 0 AND gap_jump >= q50 THEN 'long_reappearance_gap' END", _TOLD('total > 1 AND hi >= 0.65::DOUBLE * (total - 1)', 'late_story_return'), _TOLD('climax >= 70', 'high_climax_payoff_scene'),
+    _TOLD('coverage <= 0.35::DOUBLE', 'sparse_reoccurrence_pattern'), _TOLD('act >= 0.55::DOUBLE', 'action_central_object'), _TOLD('sta >= 0.35::DOUBLE', 'state_changeable_object'), _TOLD('loose', 'scene_inventory_loose_reinforcement'),
+    _TOLD('loose_acted', 'action_channel_reinforcement'), _TOLD('spoken', 'dialogue_only_support')])}, '|') AS reasons,
+  {_JOINED('setup')} AS setup, {_JOINED('payoff')} AS payoff, event_idx AS prior, CASE WHEN single THEN '' ELSE {_JOINED('turns')} END AS inventory, CASE WHEN single THEN '' ELSE array_to_string(channels, '|') END AS channels, roles, headings
+FROM s JOIN roles USING (conv_id, word) JOIN pos ON pos.conv_id = s.conv_id AND pos.word = s.word AND pos.turn = s.lo WHERE score >= 0.4"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"timeline_islands": TIMELINE_ISLANDS, "timeline_nearest": TIMELINE_NEAREST, "timeline_windows": TIMELINE_WINDOWS, "script_of_all": SCRIPT_OF_ALL, "story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}
+    return {"narrative_candidates": NARRATIVE_CANDIDATES, "timeline_islands": TIMELINE_ISLANDS, "timeline_nearest": TIMELINE_NEAREST, "timeline_windows": TIMELINE_WINDOWS, "script_of_all": SCRIPT_OF_ALL, "story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}

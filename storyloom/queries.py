@@ -210,7 +210,13 @@ def narrative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     headings = turns.select("story_id", "scene_idx", "heading")
     found = mine_candidates(events, objects, headings, turns, story_meta(events, headings, turns), CandidateRules(min_score=0.4))
-    return found.select(F.col("story_id").cast("long").alias("conv_id"), "candidate_index", "object_id", "canonical_name", "candidate_source", "possible_chekhov_score", "possible_chekhov_label", F.size("loose_scene_chain").alias("chain_size"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select(
+        F.col("story_id").cast("long").alias("conv_id"), "candidate_index", "object_id", "canonical_name", "candidate_source", "possible_chekhov_score", "possible_chekhov_label", F.size("loose_scene_chain").alias("chain_size"),
+        "candidate_stats.gap_jump", "candidate_stats.freq_scenes", F.array_join("validation_reasons", "|").alias("reasons"), listed(F.col("setup_scene_indices")).alias("setup"), listed(F.col("payoff_scene_indices")).alias("payoff"),
+        F.col("stage1_prior.source_event_index").alias("prior"), listed(F.col("inventory_support.inventory_scene_indices")).alias("inventory"), F.array_join("inventory_support.source_channels_seen", "|").alias("channels"),
+        F.array_join(F.transform("loose_scene_chain", lambda r: F.array_join(r["role_tags"], "+")), "|").alias("roles"), F.array_join(F.transform("loose_scene_chain", lambda r: r["heading"]), "|").alias("headings"),
+    )
 
 
 def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

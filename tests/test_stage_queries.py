@@ -3,19 +3,23 @@
 import duckdb
 import pytest
 
-from storyloom import stage_oracles, stage_queries
+from storyloom import group_oracles, group_queries, queries, stage_oracles, stage_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(stage_queries.queries()))
+QUERIES = stage_queries.queries() | group_queries.queries() | {"narrative_candidates": queries.narrative_candidates}
+SQL = stage_oracles.oracle_sql() | group_oracles.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_stage_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("events", "conversations", "benchmark"):
+    for table in ("events", "conversations", "benchmark", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
-    cur = con.execute(stage_oracles.oracle_sql()[name])
+    cur = con.execute(SQL[name])
     theirs = [d[0] for d in cur.description]
-    df = stage_queries.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     order = sorted(df.columns)
     assert sorted(theirs) == order
     want = sorted(repr(tuple(r[theirs.index(c)] for c in order)) for r in cur.fetchall())
