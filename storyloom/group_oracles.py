@@ -142,4 +142,5 @@ FROM s JOIN roles USING (conv_id, word) JOIN pos ON pos.conv_id = s.conv_id AND
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"narrative_candidates": NARRATIVE_CANDIDATES, "timeline_islands": TIMELINE_ISLANDS, "timeline_nearest": TIMELINE_NEAREST, "timeline_windows": TIMELINE_WINDOWS, "script_of_all": SCRIPT_OF_ALL, "story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}
+    vowels = "SELECT doc_id, 'vowels=' || length(regexp_replace(coalesce(text, ''), '[^aeiou]', '', 'g')) AS response FROM documents"
+    return {"annotation_steps": vowels, "narrative_candidates": NARRATIVE_CANDIDATES, "timeline_islands": TIMELINE_ISLANDS, "timeline_nearest": TIMELINE_NEAREST, "timeline_windows": TIMELINE_WINDOWS, "script_of_all": SCRIPT_OF_ALL, "story_groups": STORY_GROUPS, "role_inventory": ROLE_INVENTORY, "candidate_dedup": CANDIDATE_DEDUP}

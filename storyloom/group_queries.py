@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.functions.session import checkpointed, read_table
+from storyloom.functions.session import checkpoint_dir, checkpointed, read_table
 from storyloom.operators.joins import nearest
 from storyloom.operators.sequences import islands, neighbour_windows
+from storyloom.plans.annotate import annotated_by_steps
 from storyloom.plans.candidates import inventory_groups
 from storyloom.plans.clusters import TRAIT, ordered_clusters
 from storyloom.plans.inventory import merge_records
@@ -121,5 +123,17 @@ def script_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("scene_idx", "scene_idx_non_omitted", "scene_label_int", "marker_type", "heading", "page_start", "page_end", F.size("lines").alias("n_lines"))
 
 
+def _vowels(requests: list[dict]) -> list[str]:
+    return [f"vowels={sum(c in 'aeiou' for c in r['text'] or '')}" for r in requests]
+
+
+def annotation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents annotated by a plain function step by step, those with an even number by a first run whose answers a second run finds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{checkpoint_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    annotated_by_steps(docs.where("doc_id % 2 = 0"), folder, _vowels, ["text"])
+    return annotated_by_steps(docs, folder, _vowels, ["text"]).select("doc_id", "response")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (story_groups, role_inventory, candidate_dedup, timeline_islands, timeline_nearest, timeline_windows, script_of_all)}
+    return {f.__name__: f for f in (story_groups, role_inventory, candidate_dedup, timeline_islands, timeline_nearest, timeline_windows, script_of_all, annotation_steps)}

@@ -8,10 +8,11 @@ function on a list of requests, passed in; nothing here reaches a network.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions.session import checkpointed
@@ -74,6 +75,50 @@ def annotated(
     return keyed.join(known, "key", "left").drop("key"), fresh
 
 
+CACHE = "key string, response string"
+
+
+def cached(spark: SparkSession, folder: str) -> DataFrame:
+    """``(key, response)`` of all answers that runs with this folder have kept; of a key that two runs asked at once the least answer."""
+    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(f"{folder}/answers/run=none")
+    return spark.read.schema(f"{CACHE}, run string").option("basePath", f"{folder}/answers").parquet(f"{folder}/answers").groupBy("key").agg(F.min("response").alias("response"))
+
+
+def annotated_by_steps(
+    requests: DataFrame, folder: str, ask: Callable[[list[dict]], list[str]], parts: list[str], batch: int = 64, model: str = "", wording: Column | None = None, per_task: int = 256, width: int = 32
+) -> DataFrame:
+    """``requests`` with ``response``, as ``annotated`` gives them, answers kept in ``folder`` step by step.
+
+    What ``folder`` has no answer for is written there as a table of ``per_task`` requests a file, and a stream over it asks for ``width`` files at a time; a step's answers are kept before the next one begins.
+    A run that ends by a failure has lost its last step: the next one with the same folder asks for what has no answer yet. A step that Spark repeats replaces its own answers. The
+    folder is one that executors share and outlives the session; what was asked for is left in it, too.
+    """
+    spark = requests.sparkSession
+    keyed = requests.withColumn("key", request_key(*([F.lit(model).alias("model")] if model else []), *(F.col(p) for p in parts)))
+    missing = keyed.select("key", *parts).dropDuplicates(["key"]).join(cached(spark, folder).select("key"), "key", "left_anti")
+    fields = list(parts)
+    if wording is not None:
+        missing, fields = missing.withColumn("prompt", wording), [*parts, "prompt"]
+    run_id = uuid.uuid4().hex
+    missing = checkpointed(missing)
+    files = max(1, -(-missing.count() // per_task))
+    missing.repartition(files, "key").write.parquet(f"{folder}/asked/{run_id}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(0, len(rows), batch):
+                part = rows.iloc[i : i + batch]
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": ask(part[fields].to_dict("records"))})
+
+    def step(asked: DataFrame, number: int) -> None:
+        asked.mapInPandas(run, CACHE).where("response is not null").write.mode("overwrite").parquet(f"{folder}/answers/run={run_id}-{number}")
+
+    stream = spark.readStream.schema(missing.schema).option("maxFilesPerTrigger", width).parquet(f"{folder}/asked/{run_id}")
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress/{run_id}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return keyed.join(cached(spark, folder), "key", "left").drop("key")
+
+
 def scene_mentions(answers: DataFrame) -> DataFrame:
     """``answers(story_id, scene_idx, response)`` as rows of ``schemas.ENTITY_MENTIONS``."""
     rows = answers.select("story_id", "scene_idx", F.posexplode(F.from_json("response", MENTION_JSON)["entities"]).alias("pos", "e"))
