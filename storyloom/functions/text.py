@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word lists that results depend on.
+# Word lists and patterns that results depend on.
 ARTICLES = ("the", "a", "an")
 DETERMINERS = ("the", "a", "an", "my", "his", "her", "their", "this", "that", "these", "those", "our", "your")
 POSSESSIVES = ("the", "a", "an", "my", "his", "her", "their")

@@ -30,6 +30,10 @@ CURATION_JSON = (
 )
 
 
+#: Requests that fail one after another in a batch before the rest of it isn't asked any more.
+DOWN_AFTER = 5
+
+
 def request_key(*parts: Column) -> Column:
     """SHA-1 of the parts as a JSON object; nulls are kept, so different requests have different keys."""
     return F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
@@ -41,8 +45,8 @@ def annotated(
     """``requests`` with ``response``, and the rows to append to ``cache(key, response)``.
 
     ``parts`` are the columns that make a request; equal requests are asked once. ``model`` names who answers: another name has other keys. ``wording`` is
-    given to the model as ``prompt``. Where ``tolerant``, a batch that the model fails on is asked again one by one, and a request that fails
-    alone has a null response that no cache takes; else the failure ends the job.
+    given to the model as ``prompt``. Where ``tolerant``, a batch that the model fails on is asked again one by one until ``DOWN_AFTER`` of them fail one after another; a request that fails
+    alone, or isn't asked any more, has a null response that no cache takes. Else the failure ends the job.
     """
     keyed = requests.withColumn("key", request_key(*([F.lit(model).alias("model")] if model else []), *(F.col(p) for p in parts)))
     missing = keyed.select("key", *parts).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
@@ -62,7 +66,10 @@ def annotated(
         try:
             return ask(asked)
         except Exception:
-            return [alone(r) for r in asked]
+            told: list[str | None] = []
+            for r in asked:  # a model that fails this often one after another is down, and isn't asked again
+                told.append(None if told[-DOWN_AFTER:] == [None] * DOWN_AFTER else alone(r))
+            return told
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -11,6 +11,7 @@ from storyloom.functions import text as T
 from storyloom.operators.gaps import gap_level, gap_quantiles, max_gaps, reappearance_score
 from storyloom.operators.sequences import ordered_list, top_rows
 
+# Patterns of the older miner.
 LEGACY_HEADING = r"^\s*(\d+)\s+(INT\.|EXT\.|INT/EXT\.|EXT/INT\.)\s+(.+)$"
 LEGACY_SPEAKER = r"^([A-Z][A-Z \-'.]+?)(?:\s*\(.*\))?\s*$"
 

@@ -59,7 +59,7 @@ def _draw_sheet(images: list[bytes], columns: int = 4, width: int = 320) -> byte
     return cv2.imencode(".jpg", np.vstack([np.hstack(small[i : i + columns]) for i in range(0, len(small), columns)]))[1].tobytes()
 
 
-def _placed(target: str, write: Callable[[str], None]) -> None:
+def placed(target: str, write: Callable[[str], None]) -> None:
     """``write`` to a name of its own beside the target, then rename: a task that is run again leaves no half of a file."""
     os.makedirs(os.path.dirname(target), exist_ok=True)
     stem, ext = os.path.splitext(target)
@@ -132,7 +132,7 @@ def write_frames(frames: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for image, target in zip(batch["image"], batch["output_path"]):
-                _placed(target, _save(bytes(image)))
+                placed(target, _save(bytes(image)))
             yield pd.DataFrame({"output_path": batch["output_path"], "bytes": [len(i) for i in batch["image"]]})
 
     return frames.select("image", "output_path").mapInPandas(run, "output_path string, bytes long")
@@ -151,7 +151,7 @@ def write_clips(clips: DataFrame, open_video: Callable[[str], object] = _OpenCv,
                 video = open_video(path)
                 first = max(0, min(int(first), video.frames - 1))
                 last = max(first, min(int(last), video.frames - 1))
-                _placed(target, lambda part: encode((video.read(i) for i in range(first, last + 1)), float(video.fps), part))
+                placed(target, lambda part: encode((video.read(i) for i in range(first, last + 1)), float(video.fps), part))
                 rows.append((target, float(video.fps), last - first + 1))
             yield pd.DataFrame(rows, columns=["output_path", "fps", "frames"])
 
@@ -165,7 +165,7 @@ def write_sheets(sheets: DataFrame, open_video: Callable[[str], object] = _OpenC
         for batch in batches:
             for path, indices, target in zip(batch["path"], batch["frame_indices"], batch["output_path"]):
                 video = open_video(path)
-                _placed(target, _save(draw([video.read(max(0, min(int(i), video.frames - 1))) for i in indices])))
+                placed(target, _save(draw([video.read(max(0, min(int(i), video.frames - 1))) for i in indices])))
             yield pd.DataFrame({"output_path": batch["output_path"], "frames": [len(i) for i in batch["frame_indices"]]})
 
     return sheets.select("path", "frame_indices", "output_path").mapInPandas(run, "output_path string, frames long")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.sources.video import placed
+
+# The columns of the summary file.
 SUMMARY_COLUMNS = ["name", "category", "gap", "scene_a", "scene_b", "page_a", "page_b", "heading_a", "heading_b", "score", "action", "visual", "state", "conf"]
 
 
@@ -35,15 +41,11 @@ def copy_frames(samples: DataFrame) -> DataFrame:
     """``(output_path, bytes)``: copies each sample's frame on the executors; both paths must be in a folder that all machines share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import shutil
-
         for batch in batches:
             sizes = []
             for source, target in zip(batch["source_path"], batch["output_path"]):
                 source = source.removeprefix("file://").removeprefix("file:")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                shutil.copy2(source, target)
+                placed(target, partial(shutil.copy2, source))
                 sizes.append(os.path.getsize(target))
             yield pd.DataFrame({"output_path": batch["output_path"], "bytes": sizes})
 

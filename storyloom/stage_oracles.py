@@ -133,5 +133,9 @@ INVENTORY = f"""SELECT CAST(scene AS INT) AS scene_idx, CAST(0 AS INT) AS pos, o
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "stage1_reappearances": STAGE1, "scene_alignments": ALIGNMENTS, "film_segments": FILM_SEGMENTS, "frame_samples": FRAMES, "review_windows": REVIEW, "candidate_story": CANDIDATES, "inventory_story": INVENTORY,
+        "stage1_reappearances": STAGE1, "scene_alignments": ALIGNMENTS, "film_segments": FILM_SEGMENTS, "frame_samples": FRAMES, "review_windows": REVIEW,
     }
+
+
+def literal_sql() -> dict[str, str]:
+    return {"candidate_story": CANDIDATES, "inventory_story": INVENTORY}

@@ -8,8 +8,8 @@ from storyloom import group_oracles, group_queries, queries, stage_oracles, stag
 FOLDER = "/root/testdata/sf0.001"
 
 
-QUERIES = stage_queries.queries() | group_queries.queries() | {"narrative_candidates": queries.narrative_candidates}
-SQL = stage_oracles.oracle_sql() | group_oracles.oracle_sql()
+QUERIES = stage_queries.queries() | stage_queries.literal_stories() | group_queries.queries() | {"narrative_candidates": queries.narrative_candidates}
+SQL = stage_oracles.oracle_sql() | stage_oracles.literal_sql() | group_oracles.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
