@@ -92,7 +92,11 @@ def specific(keys: Column) -> Column:
 
 def name_rank(name: Column) -> Column:
     """How telling a name is: specific before generic, then more words, then longer; -1s for an empty one."""
-    k = alias_key(name)
+    return key_rank(alias_key(name))
+
+
+def key_rank(k: Column) -> Column:
+    """``name_rank`` of a name by its alias key, which is read several times: keep it as a column of a written table, not as an expression."""
     rank = lambda a, b, c: F.struct(a.cast("int").alias("specific"), b.cast("int").alias("words"), c.cast("int").alias("size"))
     return F.when(F.coalesce(k, F.lit("")) == "", rank(F.lit(-1), F.lit(-1), F.lit(-1))).otherwise(
         rank(F.when(is_generic(k), 0).otherwise(1), F.size(F.split(k, " ")), F.length(k))

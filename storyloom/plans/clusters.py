@@ -44,20 +44,20 @@ def _states(rows: DataFrame) -> DataFrame:
     """Adds to ``rows(story_id, home, at, ...)`` what a cluster is called after each of its candidates: ``home`` (its first candidate), ``n``, ``told_name``, ``told_key``, ``told_id``."""
     each = Window.partitionBy("story_id", "home").orderBy("at")
     upto, before = each.rowsBetween(Window.unboundedPreceding, 0), each.rowsBetween(Window.unboundedPreceding, -1)
-    rank = T.name_rank(F.col("name"))
+    rank = T.key_rank(F.col("_key"))
     # the best event so far by gap, confidence and name; of equal ones the first event, as the first candidate told it
-    best = F.array_max(F.transform(F.filter("traits", lambda p: p["event"] >= 0), lambda p, i: _named(p["gap"], p["confidence"], T.name_rank(p["name"]), -p["event"], -F.col("at"), -i, p["name"])))
+    best = F.array_max(F.transform(F.filter("traits", lambda p: p["event"] >= 0), lambda p, i: _named(p["gap"], p["confidence"], T.key_rank(p["key"]), -p["event"], -F.col("at"), -i, p["name"])))
     rows = rows.withColumns({"_rank": rank, "_force": F.struct("score", "gap"), "_prior": F.max(best).over(upto), "n": F.row_number().over(each), "_first": F.min("at").over(upto)})
     rows = rows.withColumn("_heard", F.when(F.col("n") > 1, F.col("_prior.c2")))
     top = F.max(F.greatest(F.col("_rank"), F.coalesce("_heard", F.col("_rank"))))
     rows = rows.withColumns({"_top": top.over(before), "_most": F.max("_force").over(before)})
     by_name = F.col("_top").isNull() | (F.col("_rank") > F.col("_top")) | ((F.col("_rank") == F.col("_top")) & (F.col("_force") > F.col("_most")))
     chosen = F.when(F.col("_heard") > F.greatest("_top", "_rank"), F.struct(F.col("_prior.c6").alias("name"))).when(by_name, F.struct("name"))
-    telling = F.array_min(F.transform(T.specific(F.col("aliases")), lambda a: _named(-T.name_rank(a)["words"], -T.name_rank(a)["size"], a)))
+    telling = F.array_min(F.transform(T.specific(F.col("aliases")), lambda a: _named(-T.key_rank(a)["words"], -T.key_rank(a)["size"], a)))
     rows = rows.withColumns({"_name": F.last(chosen, ignorenulls=True).over(upto), "_telling": F.min(telling).over(upto), "_any": F.min(F.array_min("aliases")).over(upto)})
     rows = rows.withColumns({"told_name": F.col("_name.name"), "told_key": F.coalesce(T.alias_key(F.col("_name.name")), F.lit("")), "home": F.col("_first")})
     own = F.coalesce(F.when(~T.is_generic(F.col("told_key")), F.col("told_key")), F.col("_telling.c2"), F.nullif("told_key", F.lit("")), F.col("_any"), F.lit(""))
-    return rows.withColumn("told_id", F.when(F.col("n") == 1, F.col("object_id")).otherwise(own)).drop("_rank", "_force", "_prior", "_heard", "_top", "_most", "_name", "_telling", "_any", "_first")
+    return rows.withColumn("told_id", F.when(F.col("n") == 1, F.col("object_id")).otherwise(own)).drop("_key", "_rank", "_force", "_prior", "_heard", "_top", "_most", "_name", "_telling", "_any", "_first")
 
 
 def _intervals(states: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _intervals(states: DataFrame) -> DataFrame:
     called = changes.select("story_id", "home", F.col("at").alias("since"), "until", F.explode(link_keys(F.col("told_id"), F.array("told_id", "told_key"))).alias("key"))
     # of each event the best account so far
     p = states.where("second is not null").select("story_id", "home", "at", "second", F.posexplode("traits").alias("i", "p")).where("p.event >= 0")
-    p = p.select("story_id", "home", F.greatest("at", "second").alias("since"), "at", "i", F.col("p.event").alias("event"), _named(F.col("p.gap"), F.col("p.confidence"), T.name_rank(F.col("p.name"))).alias("weight"), "p.key", "p.aliases")
+    p = p.select("story_id", "home", F.greatest("at", "second").alias("since"), "at", "i", F.col("p.event").alias("event"), _named(F.col("p.gap"), F.col("p.confidence"), T.key_rank(F.col("p.key"))).alias("weight"), "p.key", "p.aliases")
     of_event = Window.partitionBy("story_id", "home", "event").orderBy("at", "i")
     kept = p.withColumn("best", F.max("weight").over(of_event.rowsBetween(Window.unboundedPreceding, -1))).where("best is null or weight > best")
     kept = kept.withColumn("until", F.coalesce(F.lead("since").over(of_event), F.lit(LAST))).where("since < until")
@@ -94,7 +94,7 @@ def ordered_clusters(candidates: DataFrame) -> DataFrame:
     linked = asks.groupBy("story_id", "at").agg(F.min("first").alias("up"))
     assumed = roots(linked.select(F.col("story_id").alias("story"), F.col("at").alias("row"), "up"))
     assumed = assumed.select(F.col("story").alias("story_id"), F.col("row").alias("at"), F.col("up").alias("home"))
-    many = written(candidates.join(linked, ["story_id", "at"], "left_semi"))
+    many = written(candidates.join(linked, ["story_id", "at"], "left_semi").withColumn("_key", F.coalesce(T.alias_key(F.col("name")), F.lit(""))))
     while True:
         states = written(_states(many.join(assumed, ["story_id", "at"])))
         goes = _intervals(states).select(F.xxhash64("story_id", "key").alias("h"), F.col("story_id").alias("s"), F.col("key").alias("k"), F.col("home").alias("found"), "since", "until")

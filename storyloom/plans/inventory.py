@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.functions.numeric import rounded
-from storyloom.functions.session import checkpointed
+from storyloom.functions.session import written
 from storyloom.operators.arrivals import merge_order, most_voted, ordered_distinct
 
 TRACKED = ("object", "artifact", "weapon", "creature", "vehicle", "substance")
@@ -86,8 +86,8 @@ def dialogue_channel(
         return patterns
     try:
         found = model(texts)
-    except (PySparkException, Py4JError):
-        raise
+    except (PySparkException, Py4JError, TypeError, NameError, AttributeError, ImportError, LookupError, AssertionError):
+        raise  # Spark's own, and mistakes in the code that calls the model
     except Exception:
         if mode == "llm":
             raise
@@ -105,7 +105,7 @@ def merge_records(records: DataFrame) -> DataFrame:
     """
     aliased = records.withColumn("aliases", T.keys_of(F.concat(F.array("object_id", "canonical_name"), F.coalesce("surface_forms", _none())), T.object_key))
     scene = ["story_id", "scene_idx"]
-    told = checkpointed(merge_order(aliased, F.concat_ws("\x01", F.col("scene_idx").cast("string"), "story_id"), F.col("channel_no").cast("long") * F.lit(1 << 32) + F.col("pos"), F.col("aliases")))
+    told = written(merge_order(aliased, F.concat_ws("\x01", F.col("scene_idx").cast("string"), "story_id"), F.col("channel_no").cast("long") * F.lit(1 << 32) + F.col("pos"), F.col("aliases")))
     key, place = [*scene, "first_row"], [F.col("place")]
     name = F.coalesce("canonical_name", F.lit(""))
     base = told.groupBy(*key).agg(

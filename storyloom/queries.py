@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storyloom import group_queries, stage_queries
 from storyloom.functions import text as T
-from storyloom.functions.session import checkpointed, read_table
+from storyloom.functions.session import read_table, written
 from storyloom.operators.components import connected_components
 from storyloom.operators.gaps import gap_level, gap_quantiles, majority, max_gaps, reappearance_score, top_values
 from storyloom.operators.joins import band_join, nearest
@@ -191,14 +191,14 @@ def scene_chain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def narrative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on conversations: merged objects of each turn, assistants' names as prior events, turn length as climax."""
     acted = F.col("role") == "assistant"
-    m = checkpointed(
+    m = written(
         turn_words(spark, sf_dir).where("role <> 'system'").select(
             F.col("conv_id").cast("string").alias("story_id"), F.col("turn").alias("scene_idx"), "role", "pos", "object_id", F.col("object_id").alias("canonical_name"), F.array("object_id").alias("surface_forms"),
             F.when(acted, 0).otherwise(1).alias("channel_no"), F.lit("object").alias("category"), acted.alias("direct_visual_evidence"), F.when(acted, 0.6).otherwise(0.35).alias("mention_strength"),
             F.when(acted, 0.7).otherwise(0.3).alias("confidence"), F.array().cast("array<string>").alias("evidence"), F.when(acted, "action").otherwise("dialogue").alias("source_channel"), F.lit(False).alias("tracking_keep"),
         )
     )
-    objects = checkpointed(merge_records(m))
+    objects = written(merge_records(m))
     turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("story_id"), F.col("turn").cast("int").alias("scene_idx"), F.concat_ws(" ", "role", "turn").alias("heading"), F.least(F.floor(F.length("text") / 20).cast("int"), F.lit(100)).alias("climax_score"))
     said = max_gaps(m.where("role = 'assistant'"), ["story_id", "object_id"], "scene_idx")
     place = F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("gap_jump"), "object_id")) - 1
