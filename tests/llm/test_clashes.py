@@ -43,7 +43,7 @@ def both(spark, rows, tmp_path):
     return f"{tmp_path}/plain", f"{tmp_path}/wide"
 
 
-@pytest.mark.parametrize("name", ["op1_language_id", "op3_exact_dedup", "op4_quality", "op5_media_columns", "op6_bpe", "op7_simhash_near_dedup", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op1_language_id", "op3_exact_dedup", "op4_quality", "op5_media_columns", "op6_bpe", "op7_simhash_near_dedup", "op8_mixing", "op11_fill_in_middle", "op12_best_fit_packing", "op13_merkle_manifest"])
 def test_operators_ignore_other_columns(spark, both, name):
     query = Q.queries()[name]
     a, b = (sorted(query(spark, folder).collect(), key=repr) for folder in both)
