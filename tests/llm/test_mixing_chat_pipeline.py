@@ -319,7 +319,7 @@ def test_registry():
     import __spark_entry__ as E
 
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(E.oracle_sql()) <= set(names)
     assert hashlib.sha256(b"").hexdigest() and F is not None
